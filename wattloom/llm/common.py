@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +40,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session: what tasks import need not lie on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wattloom_sent", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    d = tempfile.mkdtemp(prefix="wattloom-")  # the driver serves the file for as long as it runs
+    atexit.register(shutil.rmtree, d, True)
+    out = f"{d}/wattloom-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.glob("wattloom/**/*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(out)
+    sc._wattloom_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,7 +90,7 @@ def dense_rank_by_hash(df: DataFrame, group: str, order: str, out: str, weight:
     return ranked.drop(*[f"{P}{x}" for x in ("b", "b2", "g", "r", "s", "n0", "w0")])
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16) -> int:
+def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 256) -> int:
     """A power of two such that a range of a group holds about per_bucket rows at most."""
     return 1 << max(least.bit_length() - 1, (max(1, rows // per_bucket)).bit_length())
 

@@ -12,6 +12,8 @@ from wattloom.llm.common import P, WORD, buckets_for, dense_rank_by_hash, stored
 
 #: A document is used at most this often.
 EPOCHS = 3
+#: Rows that a pattern adds at most to fill what its rows in seeded order leave open, largest first.
+FILLS = 6
 
 
 def targets_by_weight(sizes: dict[str | None, int], weights: list[int], most: int = EPOCHS) -> dict[str | None, float]:
@@ -106,7 +108,7 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
 
     Rows are summed by membership pattern; min_cost_flow routes the patterns' words to the quotas; each
     pattern then gives whole passes over its rows, and for the rest rows in seeded order while they fit,
-    and the one that fills the gap best.  Ranks and running words come by hash range, so that a pattern
+    and then FILLS more at most, each the largest that still fits.  Ranks and running words come by hash range, so that a pattern
     with a third of all rows is no single task.  A null or empty membership takes nothing; rows of size 0
     are used as often as their pattern's passes say.  The driver holds one row for each pattern."""
     spark: SparkSession = df.sparkSession
@@ -132,12 +134,44 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
     d = stored(d.join(plan_df, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p2")), "left"), "mixing")
     own = F.coalesce(F.col(size), F.lit(0))
     fits = F.col(f"{P}k_sum") + own <= F.col("rest")
-    used = d.groupBy(f"{P}p").agg(F.max(F.when(fits, F.col(f"{P}k_sum") + own)).alias("filled")).withColumnRenamed(f"{P}p", f"{P}p3")
-    gap = d.where(~fits).join(F.broadcast(used), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where(own <= F.col("rest") - F.coalesce("filled", F.lit(0)))
-    best = gap.groupBy(f"{P}p").agg(F.max(F.struct(own.alias("w"), (-F.col(f"{P}k")).alias("k"))).alias("b")).where(F.col("b.w") > 0)
-    best = best.select(F.col(f"{P}p").alias(f"{P}p4"), (-F.col("b.k")).alias(f"{P}fill"))
-    d = d.join(F.broadcast(best), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p4")), "left")
-    once = (F.coalesce(fits, F.lit(False)) | F.coalesce(F.col(f"{P}k") == F.col(f"{P}fill"), F.lit(False))) & (F.col("rest") > 0)
+    used = {r[f"{P}p"]: r["f"] for r in d.groupBy(f"{P}p").agg(F.max(F.when(fits, F.col(f"{P}k_sum") + own)).alias("f")).collect()}
+    gap = {p: rest - (used.get(p) or 0) for p, _, rest, _, _ in plan if rest}
+    fills: list[tuple] = []
+    below: dict = {p: (2**62, 0) for p in gap}
+    order = F.struct(own.alias("w"), (-F.col(f"{P}k")).alias("k"))
+    for _ in range(FILLS):
+        open_ = [(p, g, *below[p]) for p, g in gap.items() if g > 0 and p in below]
+        if not open_:
+            break
+        now = F.broadcast(spark.createDataFrame(open_, f"{P}p3 string, gap bigint, bw bigint, bk bigint").coalesce(1))
+        fit_in = d.where(~fits & (own > 0)).join(now, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where((own <= F.col("gap")) & (order < F.struct(F.col("bw").alias("w"), F.col("bk").alias("k"))))
+        best = {r[f"{P}p"]: r["b"] for r in fit_in.groupBy(f"{P}p").agg(F.max(order).alias("b")).collect()}
+        for p, *_ in open_:
+            if p in best:
+                fills.append((p, -best[p]["k"]))
+                gap[p] -= best[p]["w"]
+                below[p] = (best[p]["w"], best[p]["k"])
+            else:
+                del below[p]
+    marks = [(p, k, 1) for p, k in fills]
+    marked = lambda m: d.join(F.broadcast(spark.createDataFrame(m, f"{P}p4 string, {P}at bigint, {P}mark int").coalesce(1)), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p4")) & (F.col(f"{P}k") == F.col(f"{P}at")), "left")
+    # what is still open: one row more in exchange for one that is smaller by about the gap
+    state = marked(marks)
+    taken_once = (F.coalesce(fits, F.lit(False)) & F.coalesce(F.col(f"{P}mark") != -1, F.lit(True)) | F.coalesce(F.col(f"{P}mark") == 1, F.lit(False))) & (F.col("rest") > 0)
+    gap = {p: g for p, g in gap.items() if g > 0}
+    if gap:
+        small = spark.createDataFrame(list(gap.items()), f"{P}p3 string, gap bigint").coalesce(1)
+        extra = {r[f"{P}p"]: r["b"] for r in state.where(~taken_once).join(F.broadcast(small), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where(own > F.col("gap")).groupBy(f"{P}p").agg(F.min(F.struct(own.alias("w"), F.col(f"{P}k").alias("k"))).alias("b")).collect()}
+        want = [(p, x["w"] - gap[p]) for p, x in extra.items()]
+        out_of = F.broadcast(spark.createDataFrame(want, f"{P}p3 string, want bigint").coalesce(1))
+        off = F.struct(F.abs(own - F.col("want")).alias("off"), F.col(f"{P}k").alias("k"))
+        back = state.where(taken_once).join(out_of, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).groupBy(f"{P}p").agg(F.min(off).alias("b")).collect()
+        for r in back:
+            p = r[f"{P}p"]
+            if r["b"]["off"] < gap[p]:
+                marks = [m for m in marks if m[:2] != (p, r["b"]["k"])] + [(p, r["b"]["k"], -1), (p, extra[p]["k"], 1)]
+    d = marked(marks)
+    once = taken_once
     uses = (F.coalesce("passes", F.lit(0)) + once.cast("int")).cast("int")
     middle = lambda e: e * F.col("words") + F.col(f"{P}k_sum") + F.expr(f"`{size}` div 2")
     credit = F.when(F.col("uses") > 0, F.transform(F.sequence(F.lit(0), F.col("uses") - 1), lambda e: F.coalesce(F.filter("ends", lambda x: x["at"] > middle(e))[0], F.element_at("ends", -1))["s"])).otherwise(F.array().cast("array<string>"))
