@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import embed_dedup, quality
+from wattloom.llm import embed_dedup, quality, token_files
 from wattloom.llm.common import stored, table
 from wattloom.llm.fingerprints import likeness, near_counts, with_next
 from wattloom.llm.mixing import mix, targets_by_weight, word_count
@@ -94,6 +94,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(named, F.col("source").eqNullSafe(F.col("t_source")), "left").select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write(d, "text", "doc_id", tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read(files, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "vec_id", 0.9)
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_token_files": op9_token_files,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
