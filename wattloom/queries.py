@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from wattloom.plans import feature_queries
+
+_PARTS = [feature_queries.R]
+QUERIES: dict = {k: v for r in _PARTS for k, v in r.queries.items()}
+SQL: dict = {k: v for r in _PARTS for k, v in r.sql.items()}
 FLAGSHIP = "features_train"
