@@ -128,12 +128,12 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
             at += f
             ends.append((s, at))
         plan.append((r[f"{P}p"], int(passes), int(rest), int(r["words"]), ends))
-    kind = f"{P}p2 string, passes int, rest bigint, words bigint, ends array<struct<s:string,at:bigint>>"
+    kind = f"{P}p2 string, {P}passes int, {P}rest bigint, {P}words bigint, {P}ends array<struct<s:string,at:bigint>>"
     plan_df = F.broadcast(spark.createDataFrame(plan, kind).coalesce(1)) if plan else spark.createDataFrame([], kind)  # most_patterns rows at most
     d = dense_rank_by_hash(d, f"{P}p", f"{P}h", f"{P}k", weight=size, buckets=buckets_for(sum(r["n"] for r in per)), ties=key)
     d = stored(d.join(plan_df, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p2")), "left"), "mixing")
     own = F.coalesce(F.col(size), F.lit(0))
-    fits = F.col(f"{P}k_sum") + own <= F.col("rest")
+    fits = F.col(f"{P}k_sum") + own <= F.col(f"{P}rest")
     used = {r[f"{P}p"]: r["f"] for r in d.groupBy(f"{P}p").agg(F.max(F.when(fits, F.col(f"{P}k_sum") + own)).alias("f")).collect()}
     gap = {p: rest - (used.get(p) or 0) for p, _, rest, _, _ in plan if rest}
     fills: list[tuple] = []
@@ -143,8 +143,8 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
         open_ = [(p, g, *below[p]) for p, g in gap.items() if g > 0 and p in below]
         if not open_:
             break
-        now = F.broadcast(spark.createDataFrame(open_, f"{P}p3 string, gap bigint, bw bigint, bk bigint").coalesce(1))
-        fit_in = d.where(~fits & (own > 0)).join(now, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where((own <= F.col("gap")) & (order < F.struct(F.col("bw").alias("w"), F.col("bk").alias("k"))))
+        now = F.broadcast(spark.createDataFrame(open_, f"{P}p3 string, {P}gap bigint, {P}bw bigint, {P}bk bigint").coalesce(1))
+        fit_in = d.where(~fits & (own > 0)).join(now, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where((own <= F.col(f"{P}gap")) & (order < F.struct(F.col(f"{P}bw").alias("w"), F.col(f"{P}bk").alias("k"))))
         best = {r[f"{P}p"]: r["b"] for r in fit_in.groupBy(f"{P}p").agg(F.max(order).alias("b")).collect()}
         for p, *_ in open_:
             if p in best:
@@ -157,14 +157,14 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
     marked = lambda m: d.join(F.broadcast(spark.createDataFrame(m, f"{P}p4 string, {P}at bigint, {P}mark int").coalesce(1)), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p4")) & (F.col(f"{P}k") == F.col(f"{P}at")), "left")
     # what is still open: one row more in exchange for one that is smaller by about the gap
     state = marked(marks)
-    taken_once = (F.coalesce(fits, F.lit(False)) & F.coalesce(F.col(f"{P}mark") != -1, F.lit(True)) | F.coalesce(F.col(f"{P}mark") == 1, F.lit(False))) & (F.col("rest") > 0)
+    taken_once = (F.coalesce(fits, F.lit(False)) & F.coalesce(F.col(f"{P}mark") != -1, F.lit(True)) | F.coalesce(F.col(f"{P}mark") == 1, F.lit(False))) & (F.col(f"{P}rest") > 0)
     gap = {p: g for p, g in gap.items() if g > 0}
     if gap:
-        small = spark.createDataFrame(list(gap.items()), f"{P}p3 string, gap bigint").coalesce(1)
-        extra = {r[f"{P}p"]: r["b"] for r in state.where(~taken_once).join(F.broadcast(small), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where(own > F.col("gap")).groupBy(f"{P}p").agg(F.min(F.struct(own.alias("w"), F.col(f"{P}k").alias("k"))).alias("b")).collect()}
+        small = spark.createDataFrame(list(gap.items()), f"{P}p3 string, {P}gap bigint").coalesce(1)
+        extra = {r[f"{P}p"]: r["b"] for r in state.where(~taken_once).join(F.broadcast(small), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where(own > F.col(f"{P}gap")).groupBy(f"{P}p").agg(F.min(F.struct(own.alias("w"), F.col(f"{P}k").alias("k"))).alias("b")).collect()}
         want = [(p, x["w"] - gap[p]) for p, x in extra.items()]
-        out_of = F.broadcast(spark.createDataFrame(want, f"{P}p3 string, want bigint").coalesce(1))
-        off = F.struct(F.abs(own - F.col("want")).alias("off"), F.col(f"{P}k").alias("k"))
+        out_of = F.broadcast(spark.createDataFrame(want, f"{P}p3 string, {P}want bigint").coalesce(1))
+        off = F.struct(F.abs(own - F.col(f"{P}want")).alias("off"), F.col(f"{P}k").alias("k"))
         back = state.where(taken_once).join(out_of, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).groupBy(f"{P}p").agg(F.min(off).alias("b")).collect()
         for r in back:
             p = r[f"{P}p"]
@@ -172,8 +172,8 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
                 marks = [m for m in marks if m[:2] != (p, r["b"]["k"])] + [(p, r["b"]["k"], -1), (p, extra[p]["k"], 1)]
     d = marked(marks)
     once = taken_once
-    uses = (F.coalesce("passes", F.lit(0)) + once.cast("int")).cast("int")
-    middle = lambda e: e * F.col("words") + F.col(f"{P}k_sum") + F.expr(f"`{size}` div 2")
-    credit = F.when(F.col("uses") > 0, F.transform(F.sequence(F.lit(0), F.col("uses") - 1), lambda e: F.coalesce(F.filter("ends", lambda x: x["at"] > middle(e))[0], F.element_at("ends", -1))["s"])).otherwise(F.array().cast("array<string>"))
+    uses = (F.coalesce(f"{P}passes", F.lit(0)) + once.cast("int")).cast("int")
+    middle = lambda e: e * F.col(f"{P}words") + F.col(f"{P}k_sum") + F.expr(f"`{size}` div 2")
+    credit = F.when(F.col("uses") > 0, F.transform(F.sequence(F.lit(0), F.col("uses") - 1), lambda e: F.coalesce(F.get(F.filter(f"{P}ends", lambda x: x["at"] > middle(e)), F.lit(0)), F.try_element_at(f"{P}ends", F.lit(-1)))["s"])).otherwise(F.array().cast("array<string>"))
     out = d.withColumn("uses", uses).withColumn("credit", credit).withColumn("taken", (own * F.col("uses")).cast("long"))
     return out.select(*cols, "taken", "uses", "credit")
