@@ -7,7 +7,7 @@ fixed month-days in every year that the data has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.calendar import weekday_name
@@ -33,16 +33,16 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(where, F.col("o_custkey") == F.col("c_custkey")).groupBy("UCP", "FECHA").agg(F.sum("v").cast("double").alias("TOTAL"))
 
 
-def _weight(h: int) -> Column:
-    return F.lit(10 + h * (25 - h) / 20.0) + (F.weekday("FECHA") * 3 + F.dayofmonth("FECHA") + h) % 7
-
-
 def demand_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(UCP, VARIABLE, FECHA, Clasificador interno, TIPO DIA, P1..P24, TOTAL)."""
-    # the 24 weights add up to this: the remainders repeat every seven hours
-    total = F.lit(433.0) + sum(((F.weekday("FECHA") * 3 + F.dayofmonth("FECHA") + h) % 7 for h in (2, 3)), (F.weekday("FECHA") * 3 + F.dayofmonth("FECHA") + 1) % 7)
-    d = demand(spark, sf_dir).withColumn("w", total)
-    return d.select("UCP", F.lit("Demanda_Real").alias("VARIABLE"), "FECHA", F.lit("NORMAL").alias("Clasificador interno"), weekday_name("FECHA").alias("TIPO DIA"), *[(F.col("TOTAL") * _weight(h) / F.col("w")).alias(f"P{h}") for h in range(1, 25)], "TOTAL")
+    d = demand(spark, sf_dir).withColumn("a", F.weekday("FECHA") * 3 + F.dayofmonth("FECHA"))
+    # the 24 weights add up to w: their remainders repeat every seven hours
+    d = d.withColumn("w", F.lit(433.0) + (F.col("a") + 1) % 7 + (F.col("a") + 2) % 7 + (F.col("a") + 3) % 7)
+    # rows by hour, then a pivot, as a feed would bring them
+    hours = d.select("UCP", "FECHA", "TOTAL", "a", "w", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("h"))
+    hours = hours.withColumn("v", F.col("TOTAL") * (F.lit(10) + F.col("h") * (25 - F.col("h")) / F.lit(20.0) + (F.col("a") + F.col("h")) % 7) / F.col("w"))
+    p = hours.groupBy("UCP", "FECHA").agg(F.max("TOTAL").alias("TOTAL"), *[F.max(F.when(F.col("h") == h, F.col("v"))).alias(f"P{h}") for h in range(1, 25)])
+    return p.select("UCP", F.lit("Demanda_Real").alias("VARIABLE"), "FECHA", F.lit("NORMAL").alias("Clasificador interno"), weekday_name("FECHA").alias("TIPO DIA"), *HOURS, "TOTAL")
 
 
 def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:

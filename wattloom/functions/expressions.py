@@ -28,9 +28,10 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
-def normalised(a: Column) -> Column:
-    """The 24 values as shares of their sum; null where the sum is 0."""
-    total = array_sum(a)
+def normalised(a: Column, total: Column | None = None) -> Column:
+    """The 24 values as shares of their sum; null where the sum is 0.  A total that is a column already is
+    used as it is: inside the lambda a sum would be written out, and worked out, once for each value."""
+    total = array_sum(a) if total is None else total
     return F.when(total != 0, F.transform(a, lambda x: x / total))
 
 

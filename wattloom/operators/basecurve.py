@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.calendar import holiday_flags, is_christmas, mmdd
-from wattloom.functions.expressions import array_sum, hours_array, mean_profile, normalised, scaled, wide
+from wattloom.functions.expressions import array_sum, hours_array, mean_profile, normalised, row_sum, scaled, wide
 from wattloom.schema import HOURS
 
 #: How many same days count, weights and factors of the Christmas blend.
@@ -26,10 +26,10 @@ def targets(keys_df: DataFrame, start: str, end: str, holidays: DataFrame, keys:
 
 def history_of(df: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, h_date, h_total, h_hours, h_shares, h_hol, dow, mmdd); a null total is the sum of the hours."""
-    d = holiday_flags(df, holidays, keys)
+    d = holiday_flags(df, holidays, keys).withColumn("__t", row_sum(HOURS))
     hours = hours_array()
-    total = F.coalesce(F.col("TOTAL"), array_sum(hours)) if "TOTAL" in df.columns else array_sum(hours)
-    return d.select(*keys, F.col("FECHA").alias("h_date"), total.alias("h_total"), hours.alias("h_hours"), normalised(hours).alias("h_shares"), F.col("es_festivo").alias("h_hol"), F.weekday("FECHA").alias("dow"), mmdd("FECHA").alias("mmdd"))
+    total = F.coalesce(F.col("TOTAL"), F.col("__t")) if "TOTAL" in df.columns else F.col("__t")
+    return d.select(*keys, F.col("FECHA").alias("h_date"), total.alias("h_total"), hours.alias("h_hours"), normalised(hours, F.col("__t")).alias("h_shares"), F.col("es_festivo").alias("h_hol"), F.weekday("FECHA").alias("dow"), mmdd("FECHA").alias("mmdd"))
 
 
 def same_day(t: DataFrame, h: DataFrame, keys: list[str], most: int = SAME_DAY_HOLIDAY) -> DataFrame:

@@ -133,12 +133,10 @@ def fill_zero(df: DataFrame, cols: list[str], target: str = "TOTAL") -> DataFram
 
 
 def fill_mean(df: DataFrame, cols: list[str], target: str = "TOTAL") -> DataFrame:
-    """Null to the column's mean, then infinite to 0.  The means are one row."""
-    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
-    means = df.agg(*[F.avg(finite(c)).alias(f"__{c}") for c in cols])
-    d = df.where(F.col(target).isNotNull()).join(F.broadcast(means))
-    clean = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}"))
-    return d.withColumns({c: F.when(F.abs(clean(c)) == float("inf"), 0.0).otherwise(clean(c)) for c in cols}).drop(*[f"__{c}" for c in cols])
+    """Null to the column's mean over finite values, then infinite to 0.  The means are one row, fetched first."""
+    d = df.where(F.col(target).isNotNull()).withColumns({c: F.col(c).cast("double") for c in cols})
+    means = d.agg(*[F.avg(F.when(F.abs(F.col(c)) < float("inf"), F.col(c))).alias(c) for c in cols]).first().asDict()
+    return d.fillna({c: m for c, m in means.items() if m is not None}).replace([float("inf"), float("-inf")], [0.0, 0.0], cols)
 
 
 #: Feature groups by what a name holds.

@@ -31,14 +31,20 @@ def normal_days(df: DataFrame, holidays: DataFrame, keys: list[str], days: int =
     last = d.groupBy(*keys).agg(F.max("FECHA").alias("__end"))
     d = d.join(last, keys).where(F.col("FECHA") >= F.date_sub("__end", days)).drop("__end").dropna(subset=HOURS)
     h = holidays.select(*keys, "FECHA").distinct()
-    return d.join(h, [*keys, "FECHA"], "left_anti").select(*keys, "FECHA", normalised(hours_array()).alias("profile")).where("profile is not null")
+    return _shares(d.join(h, [*keys, "FECHA"], "left_anti"), keys)
+
+
+def _shares(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, FECHA, profile): each date's mean hours as shares of their sum.  The test for a sum of 0 comes after
+    the aggregate on purpose: a filter over two dozen computed hours, pushed below the projection that computes
+    them, makes the optimizer derive a constraint for every combination of their aliases."""
+    mean = df.withColumn("__a", hours_array()).groupBy(*keys, "FECHA").agg(mean_profile("__a").alias("__m")).withColumn("__t", array_sum(F.col("__m"))).where("__t <> 0")
+    return mean.select(*keys, "FECHA", normalised(F.col("__m"), F.col("__t")).alias("profile"))
 
 
 def special_days(df: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, FECHA, profile): the mean hours of each holiday and of 24 December and 2 January, as shares."""
-    d = holiday_flags(df, holidays, keys).where(F.col("es_festivo") | mmdd("FECHA").isin(*SPECIAL_SPLIT)).withColumn("__a", hours_array())
-    mean = d.groupBy(*keys, "FECHA").agg(mean_profile("__a").alias("__m"))
-    return mean.select(*keys, "FECHA", normalised(F.col("__m")).alias("profile")).where("profile is not null")
+    return _shares(holiday_flags(df, holidays, keys).where(F.col("es_festivo") | mmdd("FECHA").isin(*SPECIAL_SPLIT)), keys)
 
 
 def kmeans_helper(n_keys: int, clusters: int, seed: int, starts: int) -> Callable:

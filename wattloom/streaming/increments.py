@@ -1,0 +1,37 @@
+"""Increments as they arrive: the same merges and aggregates over Structured Streaming.
+
+The batch library is incremental by design (append_demand, append_weather, next_start); these two functions
+run the same semantics where files keep landing in a folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattloom.functions.expressions import to_double
+from wattloom.operators.cleaning import append_demand
+from wattloom.schema import DEMAND_FEED
+from wattloom.sources.files import demand_from_feed
+
+
+def demand_increments(spark: SparkSession, feed_path: str, store_path: str, ucp: str, checkpoint: str, keys: list[str]):
+    """Starts a query that merges each batch of feed files into the Parquet table at store_path; an existing row
+    wins over a new one.  The table is rewritten to a new version folder, named in the returned query's batches."""
+    feed = spark.readStream.schema(DEMAND_FEED).option("multiLine", True).json(feed_path)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = demand_from_feed(batch, ucp)
+        last = f"{store_path}/v{number - 1}"
+        merged = append_demand(spark.read.schema(new.schema).parquet(last), new, keys) if number else append_demand(new.limit(0), new, keys)
+        merged.write.mode("overwrite").parquet(f"{store_path}/v{number}")
+
+    return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def weather_stream(readings: DataFrame, keys: list[str], late: str = "2 days") -> DataFrame:
+    """Readings (keys, ts, p_t, p_h, p_v, p_i) of a stream to one row a day, closed when the watermark has passed
+    the day by `late`."""
+    r = readings.withColumns({c: to_double(c) for c in ("p_t", "p_h", "p_v", "p_i")}).withWatermark("ts", late)
+    agg = [F.avg("p_t").alias("temp_mean"), F.min("p_t").alias("temp_min"), F.max("p_t").alias("temp_max"), F.avg("p_h").alias("humidity_mean"), F.avg("p_v").alias("wind_speed_mean"), F.avg("p_i").alias("rain_mean"), F.sum("p_i").alias("rain_sum")]
+    return r.groupBy(*keys, F.window("ts", "1 day")).agg(*agg).select(*keys, F.to_date("window.start").alias("FECHA"), *[c for c in ("temp_mean", "temp_min", "temp_max", "humidity_mean", "wind_speed_mean", "rain_mean", "rain_sum")])
