@@ -11,6 +11,7 @@ from wattloom.llm.common import stored, table
 from wattloom.llm.fingerprints import likeness, near_counts, with_next
 from wattloom.llm.mixing import mix, targets_by_weight, word_count
 from wattloom.llm.neardup import hex16, near_duplicates
+from wattloom.llm.oracle import SQL as SQL
 from wattloom.llm.packing import pack
 from wattloom.llm.secret_scan import BASE, joined, scan
 from wattloom.llm.sharding import interleave
@@ -116,5 +117,3 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-
-SQL: dict[str, str] = {}
