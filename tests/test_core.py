@@ -88,7 +88,7 @@ def test_feature_set_has_its_68_names(spark):
     clean = C.clean_demand(d)
     f = E.build_features(clean, w, K)
     names = [*E.feature_names(f, clean.columns)]
-    assert len(names) == len(set(names)) == 67  # and the text column season
+    assert len(names) == len(set(names)) == 68  # the text column season aside
     assert f.count() == 20 and E.feature_counts(f, names).agg(F.sum("nulls")).first()[0] == 0
     assert {r["temp_std"] for r in w.collect()} == {2.5}
     assert E.fill_mean(f, names).count() == 20

@@ -105,34 +105,44 @@ def lagged(targets: DataFrame, history: DataFrame, keys: list[str], back: Column
     return got.withColumnsRenamed(names).drop("__back")
 
 
-def annual_lags(targets: DataFrame, history: DataFrame, keys: list[str], years: tuple[int, ...] = (1, 2, 3), value: str = "TOTAL") -> DataFrame:
-    """total_lag_{n}y when serving: the as-of value n years before; where that is 0, the mean of earlier days of
-    that month-day, else the as-of value 365 n days before, else total_lag_1d."""
-    h = history.select(*keys, "FECHA", value)
-    past = h.withColumn("__md", mmdd("FECHA")).groupBy(*keys, "__md").agg(F.collect_list(F.struct("FECHA", F.col(value).alias("v"))).alias("__same"))  # one a year
-    d = targets.withColumn("__md", mmdd("FECHA")).join(past, [*keys, "__md"], "left")
-    earlier = F.filter("__same", lambda x: x["FECHA"] < F.col("FECHA"))
-    mean = F.try_divide(F.aggregate(earlier, F.lit(0.0), lambda s, x: s + F.coalesce(x["v"], F.lit(0.0))), F.size(F.filter(earlier, lambda x: x["v"].isNotNull())))
-    d = d.withColumn("__mean", mean).drop("__same", "__md")
+def as_of_table(days: DataFrame, history: DataFrame, keys: list[str], asks: dict[str, Column], values: list[str]) -> DataFrame:
+    """(keys, FECHA, {ask}_{value}): many as-of lookups for each day at once.  All asked dates go through one
+    as_of as rows, and come back as columns, so the plan doesn't grow with their number."""
+    long = days.select(*keys, "FECHA", F.explode(F.array(*[F.struct(F.lit(n).alias("ask"), c.alias("at")) for n, c in asks.items()])).alias("__q")).select(*keys, "FECHA", "__q.ask", "__q.at")
+    got = as_of(long, history, keys, "at", values)
+    return got.groupBy(*keys, "FECHA").agg(*[F.max(F.when(F.col("ask") == n, F.col(v))).alias(f"{n}_{v}") for n in asks for v in values])
+
+
+def same_day_means(days: DataFrame, history: DataFrame, keys: list[str], value: str = "TOTAL") -> DataFrame:
+    """(keys, FECHA, same_day_mean): the mean of earlier days of the same month-day."""
+    past = history.select(*keys, mmdd("FECHA").alias("__md"), F.col("FECHA").alias("__h"), F.col(value).alias("__v"))
+    j = days.select(*keys, "FECHA", mmdd("FECHA").alias("__md")).join(past, [*keys, "__md"]).where(F.col("__h") < F.col("FECHA"))
+    return j.groupBy(*keys, "FECHA").agg(F.avg("__v").alias("same_day_mean"))
+
+
+def serving_lags(days: DataFrame, history: DataFrame, keys: list[str], years: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(keys, FECHA, lags) when serving: as-of values 1, 7 and 14 days back, of the peak hours too; and by year the
+    as-of value n years before; where that is 0, the mean of earlier days of that month-day, else the as-of
+    value 365 n days before, else total_lag_1d."""
+    peaks = [p for p in ("P8", "P12", "P18", "P20") if p in history.columns]
+    asks = {f"b{n}": F.date_sub("FECHA", n) for n in (1, 7, 14)} | {f"y{n}": F.add_months("FECHA", -12 * n) for n in years} | {f"d{n}": F.date_sub("FECHA", 365 * n) for n in years}
+    d = as_of_table(days, history.select(*keys, "FECHA", "TOTAL", *peaks), keys, asks, ["TOTAL", *peaks])
+    d = d.join(same_day_means(days, history, keys), [*keys, "FECHA"], "left")
+    out = {f"total_lag_{n}d": F.col(f"b{n}_TOTAL") for n in (1, 7, 14)} | {f"{p.lower()}_lag_{n}d": F.col(f"b{n}_{p}") for p in peaks for n in (1, 7)}
+    zero = F.lit(0.0)
     for n in years:
-        d = lagged(d, h, keys, F.add_months("FECHA", -12 * n), {value: "__y"})
-        d = lagged(d, h, keys, F.date_sub("FECHA", 365 * n), {value: "__d"})
-        d = d.withColumn(f"total_lag_{n}y", F.when(F.col("__y") != 0, F.col("__y")).otherwise(F.coalesce("__mean", F.nullif("__d", F.lit(0.0)), "total_lag_1d"))).drop("__y", "__d")
-    return d.drop("__mean")
+        out[f"total_lag_{n}y"] = F.when(F.col(f"y{n}_TOTAL") != 0, F.col(f"y{n}_TOTAL")).otherwise(F.coalesce("same_day_mean", F.nullif(f"d{n}_TOTAL", zero), "b1_TOTAL"))
+    return d.select(*keys, "FECHA", *[c.alias(n) for n, c in out.items()])
 
 
 def serving_features(history: DataFrame, weather: DataFrame, holidays: DataFrame, keys: list[str], n: int = 30) -> DataFrame:
     """One row for each key and horizon day with everything a model asks for, in one job.  Lags are by date and
     as of; rolling statistics end on the last real day; is_festivo is the holiday calendar's."""
-    t = holiday_flags(horizon(history, n, keys), holidays, keys).drop("festivo_nombre")
+    days = horizon(history, n, keys)
+    t = holiday_flags(days, holidays, keys).drop("festivo_nombre")
     t = season_features(cyclic_features(calendar_features(t, festivo=F.col("es_festivo")), mode="serve"))
-    past = holiday_flags(history, holidays, keys).drop("festivo_nombre")
-    t = days_since_holiday(t, past, keys)
-    peaks = [p for p in ("P8", "P12", "P18", "P20") if p in history.columns]
-    for back in (1, 7, 14):
-        names = {"TOTAL": f"total_lag_{back}d"} | ({p: f"{p.lower()}_lag_{back}d" for p in peaks} if back < 14 else {})
-        t = lagged(t, history.select(*keys, "FECHA", *names), keys, F.date_sub("FECHA", back), names)
-    t = annual_lags(t, history, keys).join(anchored_rolling(history, keys), keys, "left")
+    t = days_since_holiday(t, holiday_flags(history.select(*keys, "FECHA"), holidays, keys), keys)
+    t = t.join(serving_lags(days, history, keys), [*keys, "FECHA"], "left").join(anchored_rolling(history, keys), keys, "left")
     change = F.col("total_lag_1d") - F.col("total_lag_7d")
     t = t.withColumns({"total_day_change": change, "total_day_change_pct": F.coalesce(F.try_divide(change * 100, F.col("total_lag_7d")), F.lit(0.0))})
     return interaction_features(serving_weather(climate_for(t, weather, keys)))

@@ -168,13 +168,13 @@ def forecast_summary(spark, sf):
     return F_.summary(holiday_flags(X.naive_forecast(d), X.holidays(d), KEYS), KEYS, "FECHA", "pred")
 
 
-@R.add("forecast_output", "UCP, fecha:s, dia_semana, demanda_predicha, es_festivo:b, metodo_desagregacion", with_tables("SELECT n.UCP, n.FECHA AS fecha, list_extract(['LUNES','MARTES','MIÉRCOLES','JUEVES','VIERNES','SÁBADO','DOMINGO'], CAST(isodow(n.FECHA) AS INT)) AS dia_semana, ROUND(pred * 1.05, 2) AS demanda_predicha, h.FECHA IS NOT NULL AS es_festivo, CASE WHEN h.FECHA IS NOT NULL THEN 'special' ELSE 'normal' END AS metodo_desagregacion FROM naive n LEFT JOIN holidays h ON h.UCP = n.UCP AND h.FECHA = n.FECHA", "naive", "holidays"))
+@R.add("forecast_output", "UCP, fecha:s, dia_semana, demanda_predicha, es_festivo:b, metodo_desagregacion", with_tables("SELECT n.UCP, n.FECHA AS fecha, list_extract(['LUNES','MARTES','MIÉRCOLES','JUEVES','VIERNES','SÁBADO','DOMINGO'], CAST(isodow(n.FECHA) AS INT)) AS dia_semana, ROUND(pred * 1.037137, 2) AS demanda_predicha, h.FECHA IS NOT NULL AS es_festivo, CASE WHEN h.FECHA IS NOT NULL THEN 'special' ELSE 'normal' END AS metodo_desagregacion FROM naive n LEFT JOIN holidays h ON h.UCP = n.UCP AND h.FECHA = n.FECHA", "naive", "holidays"))
 def forecast_output(spark, sf):
     from wattloom.functions.calendar import holiday_flags
 
     d = X.demand(spark, sf)
     n = holiday_flags(X.naive_forecast(d).withColumnRenamed("pred", "demanda_predicha"), X.holidays(d), KEYS)
-    return F_.output_rows(F_.apply_offset(n, 1.05), KEYS)
+    return F_.output_rows(F_.apply_offset(n, 1.037137), KEYS)
 
 
 @R.add("forecast_backtest", "UCP, FECHA:s, real:r, pred:r, abs_error_pct:r", with_tables("SELECT t.UCP, t.FECHA, d.TOTAL AS real, p.TOTAL AS pred, ABS((p.TOTAL - d.TOTAL) * 100.0 / d.TOTAL) AS abs_error_pct FROM (SELECT UCP, e - 30 + CAST(k AS INT) AS FECHA, e - 30 AS cut FROM (SELECT UCP, MAX(FECHA) AS e FROM demand GROUP BY 1), (SELECT UNNEST(range(1, 31)) AS k)) t JOIN demand d ON d.UCP = t.UCP AND d.FECHA = t.FECHA ASOF JOIN (SELECT * FROM demand) p ON p.UCP = t.UCP AND p.FECHA <= t.FECHA - 365", "demand"))
