@@ -17,9 +17,17 @@ from wattloom.operators import metrics as M
 from wattloom.operators import models as ML
 from wattloom.operators import profiles as H
 from wattloom.schema import HOURS
+from wattloom.session import prepare
 from wattloom.sources import files as S
 
 K = ["UCP"]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def settings(spark):
+    prepare(spark)
+
+
 D = dt.date
 
 
@@ -282,7 +290,7 @@ def test_splits_and_folds(spark):
 
 
 def test_trees_beat_the_mean_and_recursion_runs(spark):
-    d = series(spark, days(D(2020, 1, 1), [100 + 20 * (k % 7) for k in range(120)]))
+    d = series(spark, days(D(2020, 2, 1), [100 + 20 * (k % 7) for k in range(120)]))
     f = E.row_lags(d, K).where("total_lag_14d is not null").withColumn("dow", F.weekday("FECHA"))
     models = {"forest": ML.estimators()["forest"]}
     fitted_models = ML.train(f, ["dow"], models=models)

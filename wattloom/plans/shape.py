@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.session import prepare
+
 #: Added before rounding: sums of values with a few decimals end in a 5 at times, and two engines that add in
 #: another order then round to different sides.
 OFF_TIES = 0.00000037
@@ -35,7 +37,7 @@ class Registry:
 
     def add(self, name: str, spec: str, sql: str | None = None):
         def register(fn):
-            self.queries[name] = lambda spark, sf_dir: spark_shape(fn(spark, sf_dir), spec)
+            self.queries[name] = lambda spark, sf_dir: spark_shape(fn(prepare(spark), sf_dir), spec)
             if sql is not None:
                 self.sql[name] = sql_shape(sql, spec)
             return fn
