@@ -4,20 +4,23 @@ Each block starts from nothing.  For every id three orders make their prediction
 the two ids before (order 2), the one before (order 1), and the block's recent ids with their frequencies
 (order 0).  Counts by the confidence of orders 2 and 1 are mixed into the odds of four cases: order 2 is
 right, order 1 is right, order 0 holds the id, none does.  An id that order 0 holds is coded by its slot's
-adaptive odds in two nibbles, a new one with even odds.  All blocks take each step together, as vectors.
+adaptive odds in two nibbles, a new one with even odds.  All blocks take each step together, as vectors over
+flat tables: an entry of a context table is (id + 1) << 4 | confidence, an entry of the odds is four counts of
+16 bits in one word, and frequencies of nibbles are kept as running sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Fixed values of the format: contexts by hash, recent ids, confidence levels, count added at each step.
-CONTEXTS, SLOTS, LEVELS, ADD = 1024, 256, 8, 12
+#: Fixed values of the format: contexts by hash, recent ids, confidence levels, counts added at each step.
+CONTEXTS, SLOTS, LEVELS, ADD_CASE, ADD_SLOT = 1024, 256, 8, 6, 12
 #: Ids in a block at most (counts stay below 2^16), and blocks that are coded at once.
-BLOCK, LANES = 4096, 2048
-_LOW32 = np.uint64(0xFFFFFFFF)
-_32, _16 = np.uint64(32), np.uint64(16)
-_TOP = np.uint64(1 << 32)
+BLOCK, LANES = 4096, 4096
+_U = np.uint64
+_LOW32, _TOP, _M16 = _U(0xFFFFFFFF), _U(1 << 32), _U(0xFFFF)
+_STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.uint16) * np.uint16(ADD_SLOT)
+_CASE = np.array([ADD_CASE << 16 * k for k in range(4)], np.uint64)
 
 
 class _Coder:
@@ -30,106 +33,116 @@ class _Coder:
         self.encoding = words is None
         self.words = np.zeros((n, most), np.uint32) if words is None else words
         if not self.encoding:
-            self.code = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1].astype(np.uint64)
+            self.code = self.words[:, 0].astype(np.uint64) << _U(32) | self.words[:, 1].astype(np.uint64)
             self.at += 2
 
-    def narrow(self, idx, lo: np.ndarray, hi: np.ndarray) -> None:
-        """Takes [lo, hi) of 2^16 in the lanes idx, and moves on the words that are settled."""
-        part = self.range[idx] >> _16
-        low = self.low[idx] + part * lo
-        span = part * (hi - lo)
-        self.low[idx], self.range[idx] = low, span
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            need = np.nonzero(settled | (span < _TOP))[0]
-            if not len(need):
-                return
-            idx = (np.arange(len(self.low))[idx] if isinstance(idx, slice) else idx)[need]
-            low, span, settled = low[need], span[need], settled[need]
-            span = np.where(settled, span, (np.uint64(0) - low) & _LOW32)
+    def settle(self, idx: np.ndarray | None, low: np.ndarray, span: np.ndarray) -> None:
+        """Moves on the words that are settled in the lanes idx (None: the first lanes)."""
+        m = len(low)
+        if idx is None:
+            self.low[:m], self.range[:m] = low, span
+        else:
+            self.low[idx], self.range[idx] = low, span
+        need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _TOP))
+        while len(need):
+            lanes = need if idx is None else idx[need]
+            low, span = low[need], span[need]
+            span = np.where((low ^ (low + span)) < _TOP, span, (_U(0) - low) & _LOW32)
             if self.encoding:
-                self.words[idx, self.at[idx]] = (low >> _32).astype(np.uint32)
+                self.words[lanes, self.at[lanes]] = low >> _U(32)
             else:
-                self.code[idx] = self.code[idx] << _32 | self.words[idx, self.at[idx]].astype(np.uint64)
-            self.at[idx] += 1
-            low, span = low << _32, span << _32
+                self.code[lanes] = self.code[lanes] << _U(32) | self.words[lanes, self.at[lanes]].astype(np.uint64)
+            self.at[lanes] += 1
+            low, span, idx = low << _U(32), span << _U(32), lanes
             self.low[idx], self.range[idx] = low, span
+            need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _TOP))
 
-    def target(self, idx) -> np.ndarray:
-        return np.minimum((self.code[idx] - self.low[idx]) // (self.range[idx] >> _16), np.uint64(65535))
-
-    def symbol(self, idx, counts: np.ndarray, sym: np.ndarray | None) -> np.ndarray:
-        """Codes sym (or finds it, where it is None) by the counts of its alternatives, a row for each lane."""
-        cum = np.cumsum(counts, axis=1, dtype=np.float64)
-        scale = 65536.0 / cum[:, -1]
-        row = np.arange(len(cum))
+    def nibble(self, idx: np.ndarray, sums: np.ndarray, rows: np.ndarray, sym: np.ndarray | None) -> np.ndarray:
+        """Codes sym, or finds it where it is None, by the running sums in `rows` of the table, and counts it."""
+        own = sums.take(rows, axis=0)
+        low, part = self.low[idx], self.range[idx] // own[:, 15]
         if sym is None:
-            edges = np.floor(cum * scale[:, None])
-            sym = (edges <= self.target(idx).astype(np.float64)[:, None]).sum(axis=1)
-            sym = np.minimum(sym, counts.shape[1] - 1)
-            hi = edges[row, sym]
-        else:
-            hi = np.floor(cum[row, sym] * scale)
-        lo = np.floor((cum[row, sym] - counts[row, sym]) * scale)
-        self.narrow(idx, lo.astype(np.uint64), hi.astype(np.uint64))
+            q = (self.code[idx] - low) // part
+            sym = np.minimum((own <= q[:, None]).sum(axis=1), 15)
+        flat, at = own.reshape(-1), np.arange(0, len(own) * 16, 16) + sym
+        hi = flat[at].astype(np.uint64)
+        lo = np.where(sym > 0, flat[at - 1], 0).astype(np.uint64)
+        sums[rows] = own + _STEP[sym]
+        self.settle(idx, low + part * lo, part * (hi - lo))
         return sym
 
-    def plain(self, idx, value: np.ndarray | None) -> np.ndarray:
+    def plain(self, idx: np.ndarray, value: np.ndarray | None) -> np.ndarray:
         """16 bits with even odds."""
+        low, part = self.low[idx], self.range[idx] >> _U(16)
         if value is None:
-            value = self.target(idx).astype(np.int64)
-        lo = value.astype(np.uint64)
-        self.narrow(idx, lo, lo + np.uint64(1))
+            value = np.minimum((self.code[idx] - low) // part, _M16).astype(np.int64)
+        self.settle(idx, low + part * value.astype(np.uint64), part)
         return value
 
 
 def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     """Codes, or fills in, the ids of all lanes; lengths don't rise from lane to lane."""
     n = len(lengths)
-    t = [np.zeros((n, CONTEXTS), np.uint16) for _ in range(2)]  # id + 1 that followed, by order
-    sure = [np.zeros((n, CONTEXTS), np.uint8) for _ in range(2)]
-    odds = [np.full((n, LEVELS, 4), 4, np.uint16) for _ in range(2)]
-    recent = np.zeros((n, SLOTS), np.uint16)
-    high, low = np.ones((n, 16), np.uint16), np.ones((n, 16, 16), np.uint16)
-    p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    after = [np.zeros(n * CONTEXTS, np.uint32) for _ in range(2)]
+    odds = [np.full(n * LEVELS, sum(4 << 16 * k for k in range(4)), np.uint64) for _ in range(2)]
+    recent = np.zeros(n * SLOTS, np.uint16)
+    high = np.tile(np.arange(1, 17, dtype=np.uint16), (n, 1))
+    low = np.tile(np.arange(1, 17, dtype=np.uint16), (n * 16, 1))
+    row = np.arange(n)
     active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), side="left")
-    for step, m in enumerate(active):
-        m = int(m)
-        row = np.arange(m)
-        ctx = [p1[:m] * 0x9E5 >> 2 & CONTEXTS - 1, (p1[:m] * 0x2F35 + p2[:m] * 0x6A9) >> 3 & CONTEXTS - 1]
-        said = [t[k][row, ctx[k]].astype(np.int64) for k in range(2)]
-        level = [sure[k][row, ctx[k]] for k in range(2)]
-        counts = (odds[1][row, level[1]].astype(np.int64) + odds[0][row, level[0]])[:, :]
-        counts[:, 0] *= said[1] > 0
-        counts[:, 1] *= (said[0] > 0) & (said[0] != said[1])
+    steps = np.ascontiguousarray(ids.T) if coder.encoding else np.zeros((ids.shape[1], n), np.uint32)
+    p1, p2, was = np.zeros(n, np.int64), np.zeros(n, np.int64), -1
+    for step, m in enumerate(active.tolist()):
+        if m != was:
+            row, p1, p2, was = row[:m], p1[:m], p2[:m], m
+            c_row, l_row, s_row = row * CONTEXTS, row * LEVELS, row * SLOTS
+        at1 = c_row + (p1 * 0x9E5 >> 2 & CONTEXTS - 1)
+        at2 = c_row + ((p1 * 0x2F35 + p2 * 0x6A9) >> 3 & CONTEXTS - 1)
+        e1, e2 = after[0].take(at1), after[1].take(at2)
+        said1, said2, sure1, sure2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
+        o1, o2 = l_row + sure1, l_row + sure2
+        w1, w2 = odds[0].take(o1), odds[1].take(o2)
+        w = w1 + w2
+        a = (w & _M16) * (said2 > 0)
+        b = a + (w >> _U(16) & _M16) * ((said1 > 0) & (said1 != said2))
+        c = b + (w >> _U(32) & _M16)
+        d = c + (w >> _U(48))
+        base, part = coder.low[:m], coder.range[:m] // d
         if coder.encoding:
-            x = ids[:m, step].astype(np.int64)
-            case = np.where(said[1] == x + 1, 0, np.where(said[0] == x + 1, 1, np.where(recent[row, x & SLOTS - 1] == x + 1, 2, 3)))
-            coder.symbol(slice(0, m), counts, case)
+            x = steps[step, :m].astype(np.int64)
+            y = x + 1
+            held = recent.take(s_row + (x & SLOTS - 1))
+            case = np.where(said2 == y, 0, np.where(said1 == y, 1, np.where(held == y, 2, 3)))
         else:
-            case = coder.symbol(slice(0, m), counts, None)
-            x = np.where(case == 0, said[1], said[0]) - 1
-        old, new = np.nonzero(case == 2)[0], np.nonzero(case == 3)[0]
+            q = (coder.code[:m] - base) // part
+            case = (q >= a).astype(np.int64) + (q >= b) + (q >= c)
+            y = np.where(case == 0, said2, said1).astype(np.int64)
+            x = y - 1
+        lo = np.choose(case, (_U(0), a, b, c))
+        coder.settle(None, base + part * lo, part * (np.choose(case, (a, b, c, d)) - lo))
+        old, new = np.flatnonzero(case == 2), np.flatnonzero(case == 3)
         if len(old):
             slot = x[old] & SLOTS - 1 if coder.encoding else None
-            a = coder.symbol(old, high[old], None if slot is None else slot >> 4)
-            b = coder.symbol(old, low[old, a], None if slot is None else slot & 15)
-            high[old, a] += ADD
-            low[old, a, b] += ADD
+            h = coder.nibble(old, high, old, None if slot is None else slot >> 4)
+            k = coder.nibble(old, low, old * 16 + h, None if slot is None else slot & 15)
             if slot is None:
-                x[old] = recent[old, a << 4 | b].astype(np.int64) - 1
+                y[old] = recent.take(old * SLOTS + (h << 4 | k))
         if len(new):
-            x[new] = coder.plain(new, x[new] if coder.encoding else None)
-        for k in range(2):
-            odds[k][row, level[k], case] += ADD
-            right = said[k] == x + 1
-            sure[k][row, ctx[k]] = np.where(right, np.minimum(level[k] + 1, LEVELS - 1), level[k] >> 1)
-            t[k][row, ctx[k]] = np.where(right | (level[k] < 2), x + 1, said[k])
-        recent[row, x & SLOTS - 1] = x + 1
-        p2[:m] = p1[:m]
-        p1[:m] = x
+            v = coder.plain(new, x[new] if coder.encoding else None)
+            if not coder.encoding:
+                y[new] = v + 1
         if not coder.encoding:
-            ids[:m, step] = x
+            x = y - 1
+            steps[step, :m] = x
+        add = _CASE.take(case)
+        odds[0][o1], odds[1][o2] = w1 + add, w2 + add
+        fresh = y.astype(np.uint32) << 4
+        after[0][at1] = np.where(said1 == y, (e1 & ~np.uint32(15)) | np.minimum(sure1 + 1, LEVELS - 1), np.where(sure1 < 2, fresh, e1 & ~np.uint32(15)) | sure1 >> 1)
+        after[1][at2] = np.where(said2 == y, (e2 & ~np.uint32(15)) | np.minimum(sure2 + 1, LEVELS - 1), np.where(sure2 < 2, fresh, e2 & ~np.uint32(15)) | sure2 >> 1)
+        recent[s_row + (x & SLOTS - 1)] = y
+        p1, p2 = x, p1
+    if not coder.encoding:
+        ids[:] = steps.T
 
 
 def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
@@ -144,8 +157,8 @@ def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
         coder = _Coder(n, None, block * 3 // 2 + 8)
         _run(grid.reshape(n, block), lengths, coder)
         for half in range(2):
-            coder.words[np.arange(n), coder.at] = (coder.low >> _32).astype(np.uint32)
-            coder.low = coder.low << _32
+            coder.words[np.arange(n), coder.at] = coder.low >> _U(32)
+            coder.low = coder.low << _U(32)
             coder.at += 1
         out += [coder.words[k, : coder.at[k]].astype("<u4").tobytes() for k in range(n)]
     return out
