@@ -81,6 +81,7 @@ def matched(df: DataFrame, items: str, rules: DataFrame) -> DataFrame:
     sets = d.groupBy(f"{P}set").agg(F.first(items).alias(f"{P}items"))
     hits = sets.select(f"{P}set", F.explode(f"{P}items").alias("token")).join(index, "token").groupBy(f"{P}set", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("r").alias("r"))
     best = hits.where("n = need").groupBy(f"{P}set").agg(F.max("r").alias("r")).select(F.col(f"{P}set").alias(f"{P}s2"), F.struct("r.antecedent", "r.verdict", "r.confidence").alias("mined"))
+    best = stored(best, "url-matches")  # read anew, both sides of the join are dealt by it, and AQE can split a set that most URLs share
     return d.join(best, F.col(f"{P}set") == F.col(f"{P}s2"), "left").drop(f"{P}set", f"{P}s2")
 
 
