@@ -43,7 +43,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_docs: for every document whose id is divisible by 20, the other documents within 3 bits."""
     d = stored(with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id"), "op4")
     asked = F.col("doc_id") % 20 == 0
-    near = near_counts(d.select("fp"), d.where(asked).select("fp")).select(F.col("fp").alias("fp2"), "near")
+    near = stored(near_counts(d.select("fp"), d.where(asked).select("fp")).select(F.col("fp").alias("fp2"), "near"), "op4-near")  # so that AQE can split a fingerprint that many share
     out = d.join(near, asked & (F.col("fp") == F.col("fp2")), "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("fp_edited").alias("edited_fingerprint"),
