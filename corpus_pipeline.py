@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import ship, stored, table
+from wattloom.llm.common import P, ship, stored, table
 from wattloom.llm.mixing import mix, targets_by_weight, word_count
-from wattloom.llm.neardup import near_duplicates
 from wattloom.llm.packing import pack
 from wattloom.llm.queries import WEIGHTS, quality_scores
 from wattloom.llm.secret_scan import redacted, scan
+from wattloom.llm.shingle_dedup import near_copies
 
 #: The columns of documents, which every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,13 +24,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component: the one that names it.  Rows without an id can't be
-    named, so they all stay; so do rows that share the id that is kept."""
+    """Keeps one document of each component of texts at a similarity of 0.8 of their 5-word shingles: the one
+    that has the component's least id."""
     ship(spark)
-    d = docs.select(COLUMNS)
-    found = near_duplicates(d.select("doc_id", "text"), "text", "doc_id", words=3)
-    named = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return d.join(named, F.col("doc_id") == F.col("keep_id"), "left_semi").unionByName(d.where("doc_id is null"))
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(f"{P}row")), "rows")
+    found = near_copies(rows, "text", f"{P}row").withColumnRenamed(f"{P}row", f"{P}row2")
+    d = rows.join(found, F.col(f"{P}row") == F.col(f"{P}row2"))
+    least = d.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = least.where("component_id is not null").select("component_id").distinct()
+    return rows.select(COLUMNS).join(named, F.col("doc_id") == F.col("component_id"), "left_semi").unionByName(rows.select(COLUMNS).where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
