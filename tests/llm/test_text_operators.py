@@ -205,6 +205,14 @@ def test_mix(docs, empty, spark):
     assert mix(d.where("false"), "m", "size", {}, key=["id"]).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 23])
+def test_mix_goes_on_behind_a_long_document(spark, seed):
+    d = spark.range(1001).select("id", F.when(F.col("id") == 0, 100_000).otherwise(100).cast("bigint").alias("size"), F.array(F.lit("a")).alias("m"))
+    for target in (90_050, 150_000):
+        taken = mix(d, "m", "size", {"a": target}, key=["id"], seed=seed).agg(F.sum("taken")).first()[0]
+        assert target - 100 < taken <= target
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 

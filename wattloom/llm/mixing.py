@@ -12,8 +12,6 @@ from wattloom.llm.common import P, WORD, buckets_for, dense_rank_by_hash, stored
 
 #: A document is used at most this often.
 EPOCHS = 3
-#: Rows that a pattern adds at most to fill what its rows in seeded order leave open, largest first.
-FILLS = 6
 
 
 def targets_by_weight(sizes: dict[str | None, int], weights: list[int], most: int = EPOCHS) -> dict[str | None, float]:
@@ -107,9 +105,9 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
     `targets` the words wanted by source, `key` the columns that seed the order.
 
     Rows are summed by membership pattern; min_cost_flow routes the patterns' words to the quotas; each
-    pattern then gives whole passes over its rows, and for the rest rows in seeded order while they fit,
-    and then FILLS more at most, each the largest that still fits.  Ranks and running words come by hash range, so that a pattern
-    with a third of all rows is no single task.  A null or empty membership takes nothing; rows of size 0
+    pattern then gives whole passes over its rows, and for the rest rows in seeded order while they fit; the
+    same is repeated over the other rows that aren't longer than what is still open, until none is.  Ranks and
+    running words come by hash range, so that a pattern with a third of all rows is no single task.  A null or empty membership takes nothing; rows of size 0
     are used as often as their pattern's passes say.  The driver holds one row for each pattern."""
     spark: SparkSession = df.sparkSession
     cols = [c for c in df.columns if c not in ("taken", "uses", "credit")]
@@ -136,28 +134,29 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
     fits = F.col(f"{P}k_sum") + own <= F.col(f"{P}rest")
     used = {r[f"{P}p"]: r["f"] for r in d.groupBy(f"{P}p").agg(F.max(F.when(fits, F.col(f"{P}k_sum") + own)).alias("f")).collect()}
     gap = {p: rest - (used.get(p) or 0) for p, _, rest, _, _ in plan if rest}
-    fills: list[tuple] = []
-    below: dict = {p: (2**62, 0) for p in gap}
-    order = F.struct(own.alias("w"), (-F.col(f"{P}k")).alias("k"))
-    for _ in range(FILLS):
-        open_ = [(p, g, *below[p]) for p, g in gap.items() if g > 0 and p in below]
-        if not open_:
+    filled = None
+    left = d.where(~fits & (own > 0)).select(F.col(f"{P}p").alias("p"), F.col(f"{P}k").alias("k"), F.col(f"{P}h").alias("h"), own.alias("w"))
+    while open_ := [(p, g) for p, g in gap.items() if g > 0]:
+        now = F.broadcast(spark.createDataFrame(open_, "p string, g bigint").coalesce(1))
+        left = stored(left.select("p", "k", "h", "w").join(now, "p").where("w <= g"), "mixing-left")
+        n = left.count()
+        if not n:
             break
-        now = F.broadcast(spark.createDataFrame(open_, f"{P}p3 string, {P}gap bigint, {P}bw bigint, {P}bk bigint").coalesce(1))
-        fit_in = d.where(~fits & (own > 0)).join(now, F.col(f"{P}p").eqNullSafe(F.col(f"{P}p3"))).where((own <= F.col(f"{P}gap")) & (order < F.struct(F.col(f"{P}bw").alias("w"), F.col(f"{P}bk").alias("k"))))
-        best = {r[f"{P}p"]: r["b"] for r in fit_in.groupBy(f"{P}p").agg(F.max(order).alias("b")).collect()}
-        for p, *_ in open_:
-            if p in best:
-                fills.append((p, -best[p]["k"]))
-                gap[p] -= best[p]["w"]
-                below[p] = (best[p]["w"], best[p]["k"])
-            else:
-                del below[p]
-    marks = [(p, k, 1) for p, k in fills]
+        left = stored(dense_rank_by_hash(left, "p", "h", "at", weight="w", buckets=buckets_for(n), ties=["k"]), "mixing-ranked")
+        more = left.where("at_sum + w <= g").select("p", "k", "w")
+        for r in more.groupBy("p").agg(F.sum("w").alias("w")).collect():
+            gap[r["p"]] -= r["w"]
+        filled = more if filled is None else filled.unionByName(more)
+        left = left.where("at_sum + w > g")
+    if filled is not None:
+        d = stored(d.join(filled.select(F.col("p").alias(f"{P}p6"), F.col("k").alias(f"{P}k6")), (F.col(f"{P}p") == F.col(f"{P}p6")) & (F.col(f"{P}k") == F.col(f"{P}k6")), "left"), "mixing-filled")
+    else:
+        d = d.withColumn(f"{P}k6", F.lit(None).cast("bigint"))
+    marks: list[tuple] = []
     marked = lambda m: d.join(F.broadcast(spark.createDataFrame(m, f"{P}p4 string, {P}at bigint, {P}mark int").coalesce(1)), F.col(f"{P}p").eqNullSafe(F.col(f"{P}p4")) & (F.col(f"{P}k") == F.col(f"{P}at")), "left")
     # what is still open: one row more in exchange for one that is smaller by about the gap
     state = marked(marks)
-    taken_once = (F.coalesce(fits, F.lit(False)) & F.coalesce(F.col(f"{P}mark") != -1, F.lit(True)) | F.coalesce(F.col(f"{P}mark") == 1, F.lit(False))) & (F.col(f"{P}rest") > 0)
+    taken_once = ((F.coalesce(fits, F.lit(False)) | F.col(f"{P}k6").isNotNull()) & F.coalesce(F.col(f"{P}mark") != -1, F.lit(True)) | F.coalesce(F.col(f"{P}mark") == 1, F.lit(False))) & (F.col(f"{P}rest") > 0)
     gap = {p: g for p, g in gap.items() if g > 0}
     if gap:
         small = spark.createDataFrame(list(gap.items()), f"{P}p3 string, {P}gap bigint").coalesce(1)
@@ -169,7 +168,7 @@ def mix(df: DataFrame, members: str, size: str, targets: dict, *, seed: int = 23
         for r in back:
             p = r[f"{P}p"]
             if r["b"]["off"] < gap[p]:
-                marks = [m for m in marks if m[:2] != (p, r["b"]["k"])] + [(p, r["b"]["k"], -1), (p, extra[p]["k"], 1)]
+                marks += [(p, r["b"]["k"], -1), (p, extra[p]["k"], 1)]
     d = marked(marks)
     once = taken_once
     uses = (F.coalesce(f"{P}passes", F.lit(0)) + once.cast("int")).cast("int")
