@@ -24,15 +24,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of texts at a similarity of 0.8 of their 5-word shingles: the one
-    that has the component's least id."""
+    """Keeps one row of each component of texts at a similarity of 0.8 of their 5-word shingles: the one with
+    the least doc_id (null last), by a hash of its columns and then its place where more rows have that id."""
     ship(spark)
     rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(f"{P}row")), "rows")
     found = near_copies(rows, "text", f"{P}row").withColumnRenamed(f"{P}row", f"{P}row2")
-    d = rows.join(found, F.col(f"{P}row") == F.col(f"{P}row2"))
-    least = d.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = least.where("component_id is not null").select("component_id").distinct()
-    return rows.select(COLUMNS).join(named, F.col("doc_id") == F.col("component_id"), "left_semi").unionByName(rows.select(COLUMNS).where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), f"{P}row")
+    d = rows.select(f"{P}row", order.alias("o")).join(found, F.col(f"{P}row") == F.col(f"{P}row2"))
+    kept = d.groupBy("root").agg(F.min("o").alias("o")).select(F.col(f"o.{P}row").alias(f"{P}kept"))
+    return rows.join(kept, F.col(f"{P}row") == F.col(f"{P}kept"), "left_semi").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

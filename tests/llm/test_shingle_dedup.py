@@ -77,3 +77,20 @@ def test_stage_drops_edited_copies(spark, sf):
     d = d.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, sf).collect())
     assert got == sorted(1000 + k for k in set(want))
+
+
+def test_stage_keeps_one_row_of_each_component(spark, sf):
+    """A third of the rows share an id, others have none; ids repeat over components."""
+    texts = planted(5)
+    want = brute(texts)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, t) for k, t in enumerate(texts)] + [(7, texts[6])] * 20 + [(None, texts[10])] * 20
+    root = want + [want[6]] * 20 + [want[10]] * 20
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    d = d.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, d, sf).collect()]
+    assert len(got) == len(set(root))
+    of = {(t or "").lower(): r for (_, t), r in zip(rows, root)}
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, 1 << 62), 1 << 62 if i is None else i)
+    assert {of[(t or "").lower()]: 1 << 62 if i is None else i for i, t in got} == least
