@@ -89,7 +89,7 @@ def split_relevance(spark, sf):
 
 def _model(spark, sf):
     d = X.demand_hours(spark, sf)
-    return d, X.holidays(d), H.fit_hourly(d, X.holidays(d), KEYS, clusters=(8, 5))
+    return d, X.holidays(d), H.fit_hourly(d, X.holidays(d), KEYS)
 
 
 @R.add("split_days", "UCP, FECHA:s, method, cluster_id:i, sum_hours:r, sum_valid:b, P1:r, P12:r, P24:r")
