@@ -256,6 +256,18 @@ def test_quality_held_out_accuracy(spark):
     assert good["predicted"].mean() > 0.95 and bad["predicted"].mean() < 0.2
 
 
+def test_quality_learns_one_row_of_each_id(spark, monkeypatch):
+    rows = [(1, f"one {k} text") for k in range(300)] + [(k, f"text {k} " * k) for k in range(2, 40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)] + [(1, 1)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_nnpu", lambda pos, unl, prior: seen.append((pos, unl)))
+    quality.train(d, labels, sample=100)
+    quality.train(d.repartition(5), labels, sample=100)
+    assert [(len(p), len(u)) for p, u in seen] == [(20, 39)] * 2
+    assert (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
+
+
 def test_quality_edges(docs, empty, spark):
     labels = spark.createDataFrame([(8, 1), (20, 1), (4, 0), (None, 1), (5, None)], "doc_id bigint, quality int")
     model = quality.train(docs, labels, sample=50)

@@ -99,17 +99,19 @@ def class_prior(labels: DataFrame, label: str) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, seed: int = 11) -> Model | None:
     """Fits the model on `sample` trusted positives (rows of labels with 1) and as many texts of docs taken
-    as unlabelled.  Null keys and labels aren't learned from.  None if there is no positive at all."""
+    as unlabelled.  Where rows share a key, the one with the least hash of its text is learned from.  Null keys
+    and labels aren't learned from.  None if there is no positive at all."""
     ids = lambda d, kind: d.where(F.col(key).isNotNull()).select(F.col(key).alias(f"{P}id")).distinct().orderBy(F.xxhash64(F.lit(seed), f"{P}id"), f"{P}id").limit(sample).withColumn(f"{P}kind", F.lit(kind))
     chosen = ids(labels.where(F.col(label) == 1), 1).unionByName(ids(docs, 0))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    picked = docs.select(F.col(key), body.alias(f"{P}t")).join(F.broadcast(chosen), F.col(key) == F.col(f"{P}id"))  # 2 x sample rows
+    picked = docs.select(F.col(key), body.alias(f"{P}t")).join(F.broadcast(chosen), F.col(key) == F.col(f"{P}id"))
+    one = picked.groupBy(f"{P}kind", f"{P}id").agg(F.min(F.struct(F.xxhash64(f"{P}t").alias("h"), F.col(f"{P}t").alias("t"))).alias("r")).select(f"{P}kind", F.col("r.t").alias(f"{P}t"))  # 2 x sample rows
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], names=["kind", "x"])
 
-    rows = picked.select(f"{P}kind", f"{P}t").mapInArrow(measure, "kind int, x array<double>").toArrow()
+    rows = one.mapInArrow(measure, "kind int, x array<double>").toArrow()
     kind = rows.column("kind").to_numpy()
     if not (kind == 1).any():
         return None
