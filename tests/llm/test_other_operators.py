@@ -92,6 +92,13 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.near_duplicates(d.where("false")).count() == 0
 
 
+def test_one_id_on_two_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (9, [-1.0, 0.0]), (None, [0.0, -1.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    want = [(2, 1, 2), (3, 1, 3), (5, 1, 2), (5, 1, 3), (9, 0, 9), (None, 0, None)]
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)]

@@ -133,12 +133,12 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     good = F.col(f"{P}v").isNotNull() & ~F.exists(F.col(f"{P}v"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(F.col(f"{P}v"), lambda v: v != 0)
     rows = df.select(F.col(key).cast("long").alias("id"), nums.alias(f"{P}v")).withColumn("v", F.when(F.coalesce(good, F.lit(False)), F.transform(F.col(f"{P}v"), lambda v: v + 0.0))).select("id", "v")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = stored(classes.select(F.coalesce("least", F.xxhash64("v")).alias("node"), "least", "n", "v", F.size("v").alias("dim")), "vectors")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "least", "n", "v", F.size("v").alias("dim")), "vectors")
     sizes = {r["dim"]: r["m"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("m")).collect()}  # one row a vector length
     parts = []
     for dim, m in sizes.items():
         own = classes.where(F.col("dim") == dim)
-        sample = np.array([r["v"] for r in own.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(SAMPLE).select("v").collect()])
+        sample = np.array([r["v"] for r in own.orderBy(F.xxhash64(F.lit(3), "v"), "v").limit(SAMPLE).select("v").collect()])
         turn, tree = fit(sample / np.sqrt((sample * sample).sum(1))[:, None], min(256, max(1, m // TILE)))
         parts.append(_pairs(own, dim, turn, tree, threshold))
     if parts:
