@@ -2,6 +2,7 @@
 
 from wattloom.operators import profiles as H
 from wattloom.plans import forecast_queries as Q
+from wattloom.session import prepare
 
 
 def test_split_queries_fit_all_clusters(spark, sf):
@@ -13,3 +14,16 @@ def test_split_queries_fit_all_clusters(spark, sf):
         key = max(kinds, key=kinds.get)
         assert got[key] > (8 if most == H.CLUSTERS_NORMAL else 5)
         assert all(n <= most for n in got.values())
+
+
+def test_training_takes_every_estimator(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q.ML, "train", lambda df, names, models=None: seen.append(models or Q.ML.estimators()))
+    monkeypatch.setattr(Q.ML, "evaluate", lambda *a: None)
+    Q.model_training(prepare(spark), sf)
+    assert set(seen[0]) == set(Q.ML.estimators())
+
+
+def test_curves_reach_the_profile_rules(spark, sf):
+    got = {r["source"] for r in Q.R.queries["curve_base_profiles"](spark, sf).select("source").distinct().collect()}
+    assert "normal_cluster" in got

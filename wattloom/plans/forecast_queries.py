@@ -252,6 +252,13 @@ def curve_base(spark, sf):
     return B.base_curves(d, "2000-11-20", "2001-01-20", hol, KEYS)
 
 
+@R.add("curve_base_profiles", "UCP, FECHA:s, route, source, P1:r, P12:r, P24:r")
+def curve_base_profiles(spark, sf):
+    """As curve_base, with the cluster and special profiles of a fitted model."""
+    d, hol, model = _model(spark, sf)
+    return B.base_curves(d, "2000-11-20", "2001-01-20", hol, KEYS, model)
+
+
 _PAIR = "SELECT a.UCP, a.FECHA, {hours_a} AS v, {hours_b} AS r, a.TOTAL FROM demand_hours a JOIN demand_hours b ON b.UCP = a.UCP AND b.FECHA = a.FECHA - 7".format(hours_a="[" + ", ".join(f"a.{h}" for h in HOURS) + "]", hours_b="[" + ", ".join(f"b.{h}" for h in HOURS) + "]")
 
 
@@ -298,5 +305,4 @@ def model_training(spark, sf):
     f = E.build_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), KEYS, shift=1)
     names = [n for n in E.feature_names(f, d.columns, lag_free=True)]
     s = ML.temporal_split(E.fill_zero(f, names), KEYS).cache()
-    models = {k: v for k, v in ML.estimators().items() if k != "boosted_flat"}
-    return ML.evaluate(ML.train(s.where("split = 'train'"), names, models=models), s, ["split"])
+    return ML.evaluate(ML.train(s.where("split = 'train'"), names), s, ["split"])
