@@ -96,6 +96,8 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         if not text:
             return b""
+        if self.lower and b"<|" in text:  # a special token stands as it is written, so its piece keeps its case
+            return b"".join([self._full(p) if b"<|" in p else self.pieces[p.lower()] for p in text.split()])
         if self.lower:
             return b"".join(map(self.pieces.__getitem__, text.lower().split()))
         if text[0] in b" \n" or text[-1] in b" \n" or any(x in text for x in _CARE):
