@@ -108,10 +108,14 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return None if frozenset() in clauses else sorted(clauses, key=sorted)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def postings(df: DataFrame, text: str, terms: list[str], key: str) -> DataFrame:
     """The inverted index for the terms that the rules can ask for: (term, key), once for each text."""
-    low = F.lower(F.col(text))
-    found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    found = bound(F.lower(F.col(text)), lambda low: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)))
     return df.select(F.col(key), F.explode(found).alias("term")).distinct()
 
 
@@ -126,20 +130,32 @@ def candidates(df: DataFrame, text: str, rules: list[Rule], key: str) -> DataFra
     return met.where(F.col("n") == F.col("need")).groupBy(key).agg(F.collect_set("rule").alias("rules"))
 
 
+def in_blocks(items: Column, zero: Column, carry, use, block: int = 256) -> Column:
+    """use(block, state) for each run of `block` items, as an array: state is zero and then, before each further
+    run, carry(state, run before).  What a fold over all items would append to one growing result is so built a
+    run at a time, in about linear time."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(items, k * block + 1, block))
+    step = lambda acc, run: F.concat(acc, F.array(carry(F.element_at(acc, -1), run)))
+    return bound(cut, lambda runs: bound(F.aggregate(runs, F.array(zero), step), lambda states: F.transform(runs, lambda run, k: use(run, F.get(states, k)))))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """The rule's matches as array<struct<start,ord,stop,kind>>, in code points, stop exclusive."""
     pattern = F.lit(rule.java)
     parts = F.arrays_zip(F.split(text, rule.java, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
+    sized = F.transform(parts, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.coalesce(F.char_length(x["hit"]), F.lit(0)).alias("hit"), F.char_length(x["part"]).alias("part")))
     span = lambda a, b: F.struct(a.alias("start"), F.lit(order).alias("ord"), b.alias("stop"), F.lit(rule.kind).alias("kind"))
     none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        stop = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        keep = x["hit"].isNotNull() & (F.char_length(x["part"]) >= rule.least)
-        return F.struct(stop.cast("int").alias("at"), F.when(keep, F.concat(acc["out"], F.array(span(start, stop)))).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + x["gap"]
+        stop = start + x["hit"]
+        return F.struct(stop.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(span(start, stop)))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.java), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+    past = lambda at, run: F.aggregate(run, at, lambda s, x: s + x["gap"] + x["hit"])
+    within = lambda run, at: F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = bound(sized, lambda items: F.flatten(in_blocks(items, F.lit(0), past, within)))
+    return F.when(text.rlike(rule.java), found).otherwise(none)
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "spans", rules: list[Rule] = RULES) -> DataFrame:
@@ -168,15 +184,32 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every run of spans that touch or overlap replaced by the mark."""
-    piece = lambda a, n: F.substring(text, a, n)
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(new, F.concat(acc["out"], piece(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-
-    end = lambda acc: F.concat(acc["out"], piece(acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)).otherwise(text)
+    """The text with every run of spans that touch or overlap replaced by the mark.
+
+    A block of spans works on its own stretch of the text, from the end of what the blocks before have
+    covered to its own, so no span is looked up from the text's start."""
+    own = lambda s: s["stop"]
+
+    def past(at: Column, run: Column) -> Column:
+        return F.greatest(at, F.array_max(F.transform(run, own)))
+
+    def within(run: Column, at: Column) -> Column:
+        stretch = F.substring(text, at + 1, past(at, run) - at)
+
+        def cut(part: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                new = s["start"] >= acc["at"]
+                gap = F.substring(part, acc["at"] - at + 1, s["start"] - acc["at"])
+                # a span that touches the one before it joins that one's mark
+                apart = (s["start"] > acc["at"]) | (acc["at"] == 0)
+                return F.struct(
+                    F.greatest(acc["at"], s["stop"]).alias("at"),
+                    F.when(new & apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
+                )
+
+            return F.aggregate(run, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+        return bound(stretch, cut)
+
+    end = F.substring(text, F.array_max(F.transform(spans, own)) + 1, F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(in_blocks(spans, F.lit(0), past, within), ""), end)).otherwise(text)
