@@ -9,10 +9,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import P, stored
+from wattloom.llm.common import ARROW_BYTES, P, stored
 
 
-def encoded(df: DataFrame, text: str, keep: str, tokenizer: str, end_id: int, out_batch: int = 16 << 20) -> DataFrame:
+def encoded(df: DataFrame, text: str, keep: str, tokenizer: str, end_id: int, out_batch: int = ARROW_BYTES) -> DataFrame:
     """First pass, a map without a shuffle: each row of `df` as (part, start, keep, n, ids).  `ids` holds the
     whole text's ids and then end_id as little-endian unsigned 32-bit integers; `start` is the number of ids
     before the row in its partition `part`.  A null text counts as empty and leaves the end id alone."""

@@ -1,9 +1,10 @@
-"""Ids of whole texts by the tokenizers library, word by word with a bounded memo.
+"""Ids of whole texts by the tokenizers library, run by run with a bounded memo.
 
 The library's own call normalises and splits every text anew, which costs ten times what its BPE model
-does.  Both public byte-pair files split a text at white space into pieces whose ids don't depend on what
-lies around them, so a piece is looked up once, and only new pieces reach the library: plain runs of
-letters, digits or signs go straight to its model, any other piece through its full encode().
+does.  In a text of ASCII and plain Latin letters alone, the runs of letters, digits or signs that it splits a
+text into are found by one expression over bytes; a run is looked up, and only a new one goes to the model.
+Any other text is cut at white space into pieces whose ids don't depend on what lies around them, and a piece
+that holds anything unusual goes through the library's full encode().
 """
 
 from __future__ import annotations
@@ -11,9 +12,14 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Entries of each memo before it starts anew; bounds a Python worker's memory to about 150 MB.
-MEMO = 400_000
+#: Bytes that the memo of runs, and each memo of pieces, may take for its present and for its past entries; and
+#: what an entry takes besides its two strings.
+RUNS, PIECES, ENTRY = 32 << 20, 4 << 20, 160
 
+#: What keeps a text from the plain way: control bytes, all but Latin letters below U+0250, broken UTF-8, special tokens.
+_ODD = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\xc0-\xc2\xca-\xff]|\xc3[\x97\xb7]|\xc4\xb0|\xc9[\x90-\xbf]|[\xc3-\xc9](?![\x80-\xbf])|(?<![\xc3-\xc9])[\x80-\xbf]|<\|")
+_PLAIN_WORD_ENDS = re.compile(rb"'(?:[stmd]|re|ve|ll)|[A-Za-z\x80-\xff]+|[0-9]|[^\sA-Za-z0-9\x80-\xff]+")
+_PLAIN_BYTE_LEVEL = re.compile(rb"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
 _RUNS_SINGLE_DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]|[^A-Za-z0-9\x80-\xff]+")
 _RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff]+")
 #: Pieces with a contraction sign, a control byte or the start of a special token take the full encode().
@@ -37,13 +43,20 @@ _LETTER = dict(enumerate(_byte_chars()))
 
 
 class _Memo(dict):
-    def __init__(self, make):
-        self.make = make
+    """make(piece) by piece.  Full, its entries become the past ones; what is asked for again comes back from there."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.held, self.past = make, most, 0, {}
 
     def __missing__(self, piece):
-        ids = self.make(piece)
-        if len(self) >= MEMO:
+        ids = self.past.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self.held += len(piece) + len(ids) + ENTRY
+        if self.held > self.most:
+            self.past = dict(self)
             self.clear()
+            self.held = 0
         self[piece] = ids
         return ids
 
@@ -58,15 +71,18 @@ class Encoder:
         self.model = self.whole.model
         self.lower = self.model.end_of_word_suffix is not None  # the file with word ends drops case and white space
         self.runs = _RUNS_SINGLE_DIGITS if self.lower else _RUNS
-        self.run_ids = _Memo(self._run)
-        self.pieces = _Memo(lambda piece: self._piece(piece, b""))
-        self.spaced = _Memo(lambda piece: self._piece(piece, b" "))
+        self.plain = (_PLAIN_WORD_ENDS if self.lower else _PLAIN_BYTE_LEVEL).findall
+        self.run_ids = _Memo(self._run, RUNS // 2)
+        self.pieces = _Memo(lambda piece: self._piece(piece, b""), PIECES // 2)
+        self.spaced = _Memo(lambda piece: self._piece(piece, b" "), PIECES // 2)
         self.newline = self._full(b"\n") if not self.lower else b""
 
     def _full(self, piece: bytes) -> bytes:
         return array("I", self.whole.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: bytes) -> bytes:
+        if self.lower and not run.isascii():
+            run = run.decode().lower().encode()
         return array("I", [t.id for t in self.model.tokenize(run.decode("latin-1").translate(_LETTER))]).tobytes()
 
     def _piece(self, piece: bytes, before: bytes) -> bytes:
@@ -86,8 +102,6 @@ class Encoder:
                 # letters below U+0250 are composed already and change case one by one
                 if not s.isalpha() or max(s) >= "\u0250" or "\u0130" in s:
                     return self._full(before + piece)
-                if self.lower:
-                    run = s.lower().encode()
             runs.append(run)
         if before and runs:
             runs[0] = before + runs[0]
@@ -96,10 +110,10 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         if not text:
             return b""
-        if self.lower and b"<|" in text:  # a special token stands as it is written, so its piece keeps its case
+        if not _ODD.search(text):
+            return b"".join(map(self.run_ids.__getitem__, self.plain(text.lower() if self.lower else text)))
+        if self.lower:  # a special token stands as it is written, so its piece keeps its case
             return b"".join([self._full(p) if b"<|" in p else self.pieces[p.lower()] for p in text.split()])
-        if self.lower:
-            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
         if text[0] in b" \n" or text[-1] in b" \n" or any(x in text for x in _CARE):
             return b"".join(map(self._cut_with_care, self._blocks(text)))
         out = []
