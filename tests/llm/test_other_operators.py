@@ -8,7 +8,7 @@ import corpus_pipeline
 from wattloom.llm import embed_dedup
 from wattloom.llm.common import components
 from wattloom.llm.queries import QUERIES, URL_RULES
-from wattloom.llm.url_filter import host_of, judge, matched, mine, path_of
+from wattloom.llm.url_filter import host_of, judge, listed, matched, mine, path_of, tokens
 
 
 def brute_rule(host, path):
@@ -60,6 +60,32 @@ def test_mined_rules(spark):
     assert m == {("a", "b"): "block", ("x",): None, ("b", "c"): "allow"}
 
 
+def test_long_path_that_many_urls_repeat(spark):
+    long = "http://a.net/es/" + "/".join("w" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(40))
+    rows = [(k, long) for k in range(60)] + [(100 + k, f"http://b{k}.com/x") for k in range(60)] + [(900, "http://c.org/wab/q"), (901, "http://c.org/q")]
+    got = {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id int, url string"), "url", URL_RULES).collect()}
+    assert len(got) == len(rows) and got[0]["verdict"] == "block" and got[100]["verdict"] == "allow"
+    assert got[900]["verdict"] == "block" and got[900]["mined"]["confidence"] == 1.0 and got[901]["verdict"] == "allow" and got[901]["mined"] is None
+
+
+def test_query_urls_and_verdicts(spark, sf):
+    """Host, path and rule of each URL of the table, and the verdicts of the others by brute force over the rules."""
+    url = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = QUERIES["op5_url_filter"](spark, sf).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(url)
+    d = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    own = {r["page_id"]: r for r in d.select("page_id", tokens(F.coalesce("url", F.lit("")), host, path).alias("t"), listed(host, path, URL_RULES).alias("l")).collect()}
+    labelled = spark.createDataFrame([(r["t"], r["l"]["verdict"]) for r in own.values() if r["l"]], "t array<string>, y string")
+    rules = mine(labelled, "t", "y").collect()
+    for r in got:
+        assert (r["host"], r["path"]) == split_url(url[r["page_id"]])
+        if r["rule"] is None:
+            fit = [x for x in rules if all(set(m) & set(own[r["page_id"]]["t"]) for m in x["members"])]
+            best = max(fit, key=lambda x: (x["confidence"], x["support"], -x["rule_id"]), default=None)
+            assert r["verdict"] == (best["verdict"] if best else "allow")
+
+
 def brute_links(ids, vecs, t=0.9):
     out = {}
     ok = [v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v) for v in vecs]
@@ -99,6 +125,14 @@ def test_one_id_on_two_vectors(spark):
     assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
 
 
+def test_vectors_of_any_finite_size(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e200, 1e190]), (3, [2.0, 0.0]), (4, [0.0, 1e-300]), (5, [0.0, 3.0]), (6, [1e308, -1e308])]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for threshold in (0.9, 1.0):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(d, threshold=threshold).collect()}
+        assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)]
