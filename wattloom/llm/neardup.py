@@ -40,6 +40,17 @@ def bit_votes(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
+def shingle_parts(text: bytes, words: int) -> Iterator[list[int]]:
+    """shingle_hashes in lists of VOTE at most."""
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    if len(w) < words:
+        yield [xxh64_intdigest(b" ".join(w), 42)] if w else []
+    for k in range(0, len(w) - words + 1, VOTE):
+        yield list(map(xxh64_intdigest, map(b" ".join, zip(*(w[k + j : k + j + min(VOTE, len(w) - words + 1 - k)] for j in range(words)))), repeat(42)))
+
+
 def shingle_hashes(text: bytes, words: int) -> list[int]:
     """XXH64 (seed 42) of the text's word shingles, A-Z in lower case, repeats included."""
     from xxhash import xxh64_intdigest
@@ -65,13 +76,16 @@ def fingerprints(df: DataFrame, text: str = "text", keep: str = "doc_id", words:
             h: list[int] = []
             doc: list[np.ndarray] = []
             for k, t in enumerate(b.column(1)):
-                own = shingle_hashes(t.as_py(), words)
-                count[k] = len(own)
-                h += own
-                doc.append(np.full(len(own), k))
-                if len(h) >= VOTE or k == b.num_rows - 1:
-                    total += bit_votes(np.fromiter(h, np.uint64, len(h)), np.concatenate(doc), b.num_rows)
-                    h, doc = [], []
+                body = t.as_py()
+                for own in [shingle_hashes(body, words)] if len(body) < VOTE else shingle_parts(body, words):
+                    count[k] += len(own)
+                    h += own
+                    doc.append(np.full(len(own), k))
+                    if len(h) >= VOTE:
+                        total += bit_votes(np.fromiter(h, np.uint64, len(h)), np.concatenate(doc), b.num_rows)
+                        h, doc = [], []
+            if h:
+                total += bit_votes(np.fromiter(h, np.uint64, len(h)), np.concatenate(doc), b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash(total, count).view(np.int64))], names=[keep, "fp"])
 
     src = df.select(F.col(keep), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(f"{P}t"))
