@@ -21,11 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only where the session names
-    none (local tests) a folder of our own is made, set as the checkpoint folder and removed at exit."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where a local session names
+    none (tests) a folder of our own is made, set as the checkpoint folder and removed at exit."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="wattloom-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -48,11 +50,11 @@ def small_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage ends here, lost executors
+def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """df, written once as Parquet in the shared folder (or to `path`) and read back: lineage ends here, lost executors
     cost nothing that lies before, and what is used twice is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

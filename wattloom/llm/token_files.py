@@ -15,6 +15,8 @@ from wattloom.llm.common import P, stored
 from wattloom.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 
 MAGIC = b"WLT1"
+#: Ids stay below this.
+MOST = 65535
 #: Ids in a segment, from which on the next document starts another.
 SEGMENT = 2048 * LANES
 _HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, ids in a block, blocks, bytes of the index, its crc32
@@ -54,9 +56,10 @@ def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return keys, counts, decode_blocks(codes, total, block)
 
 
-def write(df: DataFrame, text: str = "text", key: str = "doc_id", *, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """The files, as rows (part, seq, segment) that Spark writes to the shared store: ids of the whole texts
-    and end_id after each, in ascending order of the key (nulls first, rows with one key by a hash of their text).
+def write(df: DataFrame, text: str = "text", key: str = "doc_id", *, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+    """The files, as rows (part, seq, segment) that Spark writes to `path` (a folder of Parquet files, which must not
+    be there yet) or else to the shared store: ids of the whole texts and end_id after each, in ascending order of
+    the key (nulls first, rows with one key by a hash of their text).  Ids must be below MOST.
 
     One range shuffle; a task's sorted rows are encoded as a stream, a segment at a time.  A null text is
     empty; repeated rows are documents of their own."""
@@ -76,7 +79,10 @@ def write(df: DataFrame, text: str = "text", key: str = "doc_id", *, tokenizer:
 
         for b in batches:
             for part, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                own = np.frombuffer(e.encode(t.as_py()) + end, "<u4").astype(np.uint16)
+                wide = np.frombuffer(e.encode(t.as_py()) + end, "<u4")
+                if wide.max() >= MOST:
+                    raise ValueError(f"token file: id {wide.max()}; the coder takes ids below {MOST}")
+                own = wide.astype(np.uint16)
                 keys.append(k)
                 counts.append(len(own))
                 ids.append(own)
@@ -88,8 +94,11 @@ def write(df: DataFrame, text: str = "text", key: str = "doc_id", *, tokenizer:
             yield segment()
 
     src = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(f"{P}t"))
-    dealt = src.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64(f"{P}t"), f"{P}t")
-    return stored(dealt.select(F.spark_partition_id().alias("part"), "key", f"{P}t").mapInArrow(run, "part int, seq int, segment binary"), "token-files")
+    order = [F.col("key").asc_nulls_first(), f"{P}h1", f"{P}h2", f"{P}id"]  # a key or a text of any share of the rows is so cut over tasks
+    named = src.withColumns({f"{P}h1": F.xxhash64(f"{P}t"), f"{P}h2": F.xxhash64(F.lit(1), f"{P}t"), f"{P}id": F.monotonically_increasing_id()})
+    dealt = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    files = dealt.select(F.spark_partition_id().alias("part"), "key", f"{P}t").mapInArrow(run, "part int, seq int, segment binary")
+    return stored(files, "token-files", path)
 
 
 def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
