@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.llm import quality, secret_scan, token_files
-from wattloom.llm.fingerprints import edited, near_counts, with_next
+from wattloom.llm.fingerprints import edited, fingerprint, near_counts, with_next
 from wattloom.llm.mixing import min_cost_flow, mix, targets_by_weight
 from wattloom.llm.neardup import near_duplicates, near_links
 from wattloom.llm.packing import pack
@@ -132,6 +132,64 @@ def test_fingerprints(docs, empty):
     assert by[1].fp == 0 and by[2].fp == 0 and by[8].fp == by[20].fp
 
 
+def test_fingerprints_query(spark, sf):
+    """Every column of every row, from the table's texts."""
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(text, reverse=True)
+    follows = dict(zip(ids, ids[1:] + ids[:1]))
+    fp = {i: fingerprint(t) for i, t in text.items()}
+    near = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    got = QUERIES["op4_fingerprints"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        i = r["doc_id"]
+        new = edited(text[i], text[follows[i]])
+        assert r["n_chars"] == len(text[i]) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert (int(r["fingerprint"], 16), int(r["edited_fingerprint"], 16)) == (fp[i], fingerprint(new))
+        assert (r["near_edited"], r["near_next"]) == (near(fp[i], fingerprint(new)), near(fp[i], fp[follows[i]]))
+        assert r["near_docs"] == (sum((fp[i] ^ x).bit_count() <= 3 for x in fp.values()) - 1 if i % 20 == 0 else None)
+
+
+def test_sharding_query(spark, sf):
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op2_sharding"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    shards = {}
+    for r in got:
+        raw = text[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+        shards.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(shards) == list(range(16)) and all(sorted(x) == list(range(len(x))) for x in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+
+
+def test_mixing_query(spark, sf):
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in rows.items()}
+    total = {}
+    for i, r in rows.items():
+        total[r["source"]] = total.get(r["source"], 0) + size[i]
+    want, open_, left = {}, sorted(total, key=lambda s: (s is None, s)), sum(total.values())
+    weight = {s: 1 + k % 3 for k, s in enumerate(open_)}
+    while full := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * total[s]]:
+        want |= {s: 3 * total[s] for s in full}
+        left -= sum(3 * total[s] for s in full)
+        open_ = [s for s in open_ if s not in full]
+    want |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    got = QUERIES["op8_mixing"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    taken = {}
+    for r in got:
+        s = rows[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[s]) and r["target"] == pytest.approx(want[s])
+        assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] = taken.get(s, 0) + r["taken"]
+    for s, n in taken.items():  # what is missing is less than the shortest row that could still come in
+        own = [(r["size"], r["taken"] // r["size"]) for r in got if rows[r["doc_id"]]["source"] == s and r["size"]]
+        most = max(u for _, u in own)
+        assert abs(n - want[s]) <= 1 + min((z for z, u in own if u < most), default=min(z for z, _ in own))
+
+
 def test_near_counts(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**62), 2**62, 40)
@@ -177,8 +235,20 @@ def test_near_duplicates_query(spark, sf):
     from xxhash import xxh64_intdigest
 
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in QUERIES["op7_simhash_near_dedup"](spark, sf).collect():
-        w = text[r["doc_id"]].encode().lower().split()
+    got = QUERIES["op7_simhash_near_dedup"](spark, sf).collect()
+    fp = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    root = {i: i for i in fp}
+    for i in sorted(fp):  # least id reachable: spread by walking from each id in ascending order
+        todo = [i] if root[i] == i else []
+        while todo:
+            x = todo.pop()
+            for j in fp:
+                if root[j] > i and (fp[x] ^ fp[j]).bit_count() <= 2:
+                    root[j] = i
+                    todo.append(j)
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and sorted(fp) == sorted(text)
+    for r in got:
+        w = (text[r["doc_id"]] or "").encode().lower().split()
         h = [xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
         assert int(r["fingerprint"], 16) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
@@ -232,6 +302,16 @@ def test_token_files(docs, empty):
     assert token_files.read(token_files.write(empty, tokenizer=path)).count() == 0
 
 
+def test_token_files_at_a_path(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = spark.createDataFrame([(7, "same text")] * 300 + [(None, f"text {k}") for k in range(300)], "doc_id bigint, text string")
+    out = f"file://{tmp_path}/ids"
+    token_files.write(d, tokenizer=path, path=out)
+    got = sorted(token_files.read(spark.read.parquet(out)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [7] * 300
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_token_file_checksums():
     raw = bytearray(token_files.write_segment([1, None], [3, 2], np.array([5, 6, 7, 8, 50256], np.uint16)))
     keys, counts, ids = token_files.read_segment(bytes(raw))
