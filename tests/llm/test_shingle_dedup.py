@@ -62,8 +62,8 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     texts = planted()
     want = brute(texts)
     d = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
-    for rounds in (shingle_dedup.ROUNDS, 0):
-        monkeypatch.setattr(shingle_dedup, "ROUNDS", rounds)
+    for block in (shingle_dedup.BLOCK, 7):
+        monkeypatch.setattr(shingle_dedup, "BLOCK", block)
         got = {r["row"]: r["root"] for r in shingle_dedup.near_copies(d, "text", "row").collect()}
         assert [got[k] for k in range(len(texts))] == want
     assert 30 < len(set(want)) < len(texts) - 60
