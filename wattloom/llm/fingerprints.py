@@ -72,7 +72,9 @@ def with_next(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     second step over these (two a task) joins them."""
     src = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(f"{P}t"))
     kind = src.schema[0].dataType.simpleString()
-    dealt = src.repartitionByRange(F.col(key).desc_nulls_last()).sortWithinPartitions(F.col(key).desc_nulls_last(), F.xxhash64(f"{P}t"), f"{P}t")
+    order = [F.col(key).desc_nulls_last(), f"{P}h1", f"{P}h2", f"{P}id"]  # a key or a text of any share of the rows is so cut over tasks
+    named = src.withColumns({f"{P}h1": F.xxhash64(f"{P}t"), f"{P}h2": F.xxhash64(F.lit(1), f"{P}t"), f"{P}id": F.monotonically_increasing_id()})
+    dealt = named.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = _ROW.format(k=f"`{key}`", t=kind)
 
     def table(rows: list[tuple], key_type) -> pa.RecordBatch:
@@ -148,6 +150,7 @@ def near_counts(fps: DataFrame, asked: DataFrame, radius: int = 3) -> DataFrame:
 
     # for each set of intact blocks the table that has its three lowest
     first = [sum(1 << k for k in sorted(b for b in range(6) if s >> b & 1)[:3]) for s in range(64)]
-    met = q.join(buckets, ["t", "k"]).withColumn("first", F.array(*[F.lit(x) for x in first]))
+    # merged, as both sides grow with the rows
+    met = q.hint("merge").join(buckets, ["t", "k"]).withColumn("first", F.array(*[F.lit(x) for x in first]))
     near = met.select("q", F.aggregate("own", F.lit(0).cast("long"), lambda acc, x: acc + counted(x)).alias("c"))
     return near.groupBy("q").agg(F.sum("c").alias("near")).withColumnRenamed("q", "fp")
