@@ -14,10 +14,11 @@ from array import array
 
 #: Bytes that the memo of runs, and each memo of pieces, may take for its present and for its past entries; and
 #: what an entry takes besides its two strings.
-RUNS, PIECES, ENTRY = 32 << 20, 4 << 20, 160
+RUNS, PIECES, ENTRY = 64 << 20, 4 << 20, 160
 
-#: What keeps a text from the plain way: control bytes, all but Latin letters below U+0250, broken UTF-8, special tokens.
-_ODD = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\xc0-\xc2\xca-\xff]|\xc3[\x97\xb7]|\xc4\xb0|\xc9[\x90-\xbf]|[\xc3-\xc9](?![\x80-\xbf])|(?<![\xc3-\xc9])[\x80-\xbf]|<\|")
+#: The bytes of ASCII text and of Latin letters below U+0250, and what of these keeps a text from the plain way.
+_USUAL = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+_NO_LETTERS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"\xc9")
 _PLAIN_WORD_ENDS = re.compile(rb"'(?:[stmd]|re|ve|ll)|[A-Za-z\x80-\xff]+|[0-9]|[^\sA-Za-z0-9\x80-\xff]+")
 _PLAIN_BYTE_LEVEL = re.compile(rb"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
 _RUNS_SINGLE_DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]|[^A-Za-z0-9\x80-\xff]+")
@@ -61,6 +62,19 @@ class _Memo(dict):
         return ids
 
 
+def _odd(text: bytes) -> bool:
+    """Whether the text holds more than ASCII and plain Latin letters, or what may be a special token."""
+    if text.translate(None, _USUAL) or b"<|" in text:
+        return True
+    if text.isascii():
+        return False
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return True
+    return any(x in text for x in _NO_LETTERS)
+
+
 class Encoder:
     """encode(utf8) -> ids as little-endian unsigned 32-bit integers, equal to the library's for the whole text."""
 
@@ -110,7 +124,7 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         if not text:
             return b""
-        if not _ODD.search(text):
+        if not _odd(text):
             return b"".join(map(self.run_ids.__getitem__, self.plain(text.lower() if self.lower else text)))
         if self.lower:  # a special token stands as it is written, so its piece keeps its case
             return b"".join([self._full(p) if b"<|" in p else self.pieces[p.lower()] for p in text.split()])
