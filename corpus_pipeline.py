@@ -32,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), f"{P}row")
     d = rows.select(f"{P}row", order.alias("o")).join(found, F.col(f"{P}row") == F.col(f"{P}row2"))
     kept = d.groupBy("root").agg(F.min("o").alias("o")).select(F.col(f"o.{P}row").alias(f"{P}kept"))
-    return rows.join(kept, F.col(f"{P}row") == F.col(f"{P}kept"), "left_semi").select(COLUMNS)
+    spare = found.join(kept, F.col(f"{P}row2") == F.col(f"{P}kept"), "left_anti").select(f"{P}row2")  # fewer than the rows that stay
+    return rows.join(spare, F.col(f"{P}row") == F.col(f"{P}row2"), "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
