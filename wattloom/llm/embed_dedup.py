@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import P, components, stored
 
-#: Vectors in a tile (about); a pair of tiles is one unit of work.
-TILE = 2048
+#: Vectors in a tile, about: an eighth of them all, but within these bounds.  A pair of tiles is one unit of work,
+#: and a vector is sent once for each tile that its own meets.
+TILE, MOST_TILE = 2048, 16384
 #: Distinct vectors that the rotation and the cells are fitted on at most: they steer the work, not its result.
 SAMPLE = 4096
 #: Leading dimensions that a tile's box is kept for, and those that are added up before each test.
@@ -124,8 +125,9 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
 
     Null, zero and non-finite vectors link with nothing, nor do vectors of different length; they keep their
     own key.  Equal vectors are one class and never paired.  Classes fall into cells of a tree over leading
-    PCA dimensions, and cells into tiles of about TILE; two tiles meet unless their boxes lie too far apart
-    in these.  A task compares one pair of tiles and gives, for each class, its links and its least local
+    PCA dimensions, and cells into tiles; two tiles meet unless their boxes lie too far apart in these (vectors
+    without leading dimensions: all tiles meet, and what is sent is the vectors times the tiles).  Components of
+    any finite size are taken: vectors whose squares would leave the range are scaled first.  A task compares one pair of tiles and gives, for each class, its links and its least local
     neighbour: rows in proportion to the tiles, not to the links.  A null key takes part in links, but
     names no component."""
     spark = df.sparkSession
@@ -133,14 +135,17 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     good = F.col(f"{P}v").isNotNull() & ~F.exists(F.col(f"{P}v"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(F.col(f"{P}v"), lambda v: v != 0)
     rows = df.select(F.col(key).cast("long").alias("id"), nums.alias(f"{P}v")).withColumn("v", F.when(F.coalesce(good, F.lit(False)), F.transform(F.col(f"{P}v"), lambda v: v + 0.0))).select("id", "v")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "least", "n", "v", F.size("v").alias("dim")), "vectors")
+    top = F.array_max(F.transform("v", F.abs))
+    scaled = F.when((top < 1e-100) | (top > 1e100), F.transform("v", lambda x: x / top)).otherwise(F.col("v"))  # so that squares stay finite
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "least", "n", "v", scaled.alias("u"), F.size("v").alias("dim")), "vectors")
     sizes = {r["dim"]: r["m"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("m")).collect()}  # one row a vector length
     parts = []
     for dim, m in sizes.items():
         own = classes.where(F.col("dim") == dim)
-        sample = np.array([r["v"] for r in own.orderBy(F.xxhash64(F.lit(3), "v"), "v").limit(SAMPLE).select("v").collect()])
-        turn, tree = fit(sample / np.sqrt((sample * sample).sum(1))[:, None], min(256, max(1, m // TILE)))
-        parts.append(_pairs(own, dim, turn, tree, threshold))
+        sample = np.array([r["u"] for r in own.orderBy(F.xxhash64(F.lit(3), "v"), "v").limit(SAMPLE).select("u").collect()])
+        tile = min(MOST_TILE, max(TILE, m // 8))
+        turn, tree = fit(sample / np.sqrt((sample * sample).sum(1))[:, None], max(1, m // tile))
+        parts.append(_pairs(own, dim, turn, tree, threshold, tile))
     if parts:
         found = parts[0]
         for p in parts[1:]:
@@ -157,7 +162,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _pairs(own: DataFrame, dim: int, turn: np.ndarray, tree, threshold: float) -> DataFrame:
+def _pairs(own: DataFrame, dim: int, turn: np.ndarray, tree, threshold: float, tile: int) -> DataFrame:
     """(node, root, links) of each class that has a link, for each pair of tiles that it is found in."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +172,9 @@ def _pairs(own: DataFrame, dim: int, turn: np.ndarray, tree, threshold: float) -
             raw = [x.tobytes() for x in v]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(cell_of(tree, t))], names=["node", "n", "raw", "cell"])
 
-    placed = stored(own.select("node", "n", "v").mapInArrow(place, "node bigint, n bigint, raw binary, cell bigint"), "vector-cells")
-    per = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("salts"))
-    tiled = placed.join(F.broadcast(per), "cell")  # a row for each of at most 256 cells
+    placed = stored(own.select("node", "n", "u").mapInArrow(place, "node bigint, n bigint, raw binary, cell bigint"), "vector-cells")
+    per = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("salts"))
+    tiled = placed.join(F.broadcast(per), "cell")  # a row for each cell: an eighth of SAMPLE at most
     tiled = tiled.select("node", "n", "raw", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("salts"))).alias("tile"))
 
     def pack(k, t):
@@ -183,7 +188,8 @@ def _pairs(own: DataFrame, dim: int, turn: np.ndarray, tree, threshold: float) -
     tiles = stored(tiled.groupBy("tile").applyInArrow(pack, "tile bigint, nodes binary, ns binary, raw binary, low array<double>, high array<double>"), "vector-tiles")
     # boxes of tiles that can hold a link are at most this far apart; they share a bin of the leading dimension
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    bins = lambda lo, hi: F.sequence(F.floor(lo / reach).cast("int"), F.floor(hi / reach).cast("int"))
+    width = max(reach, 0.01)
+    bins = lambda lo, hi: F.sequence(F.floor(lo / width).cast("int"), F.floor(hi / width).cast("int"))
     boxes = tiles.select("tile", "low", "high")
     a = boxes.select(F.col("tile").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(bins(F.col("low")[0], F.col("high")[0])).alias("bin"))
     b = boxes.select(F.col("tile").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(bins(F.col("low")[0] - reach, F.col("high")[0] + reach)).alias("bin"))
