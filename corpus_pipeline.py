@@ -72,7 +72,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The first stage learns a model, which SQL can't express; tests hold run() against a brute-force version.
+#: The first stage learns a model, which SQL can't express; tests hold the near-duplicate stage against brute force and the others' operators
+#: against theirs, not run() as a whole.
 ORACLE_SQL = None
 
 

@@ -25,7 +25,21 @@ K = ["UCP"]
 
 @pytest.fixture(scope="module", autouse=True)
 def settings(spark):
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_queries_leave_the_session_as_it_is(spark):
+    own = prepare(spark)
+    assert own is not spark and own.conf.get("spark.sql.constraintPropagation.enabled") == "false"
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "true")
     prepare(spark)
+    assert spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
 D = dt.date
@@ -311,15 +325,3 @@ def test_flows(spark, fitted):
     naive = lambda past: FC.lagged(FC.horizon(past, 30, K), past.select("UCP", "FECHA", "TOTAL"), K, F.date_sub("FECHA", 28), {"TOTAL": "demanda_predicha"})
     r = flows.backtest(d, K, naive).first()
     assert r["n"] == 30 and r["reason"] in (None, "mensual", "ambos", "consecutivo")
-
-
-def test_streams(spark, tmp_path):
-    from wattloom.streaming.increments import demand_increments, weather_stream
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps({"data": [{"fecha": "2024-01-01", "p1": 1.0}, {"fecha": "2024-01-01", "p1": 2.0}]}))
-    q = demand_increments(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/store", "u", f"file://{tmp_path}/ck", K)
-    q.awaitTermination(60)
-    assert spark.read.parquet(f"file://{tmp_path}/store/v0").count() == 1
-    src = spark.readStream.schema("UCP string, ts timestamp, p_t double, p_h double, p_v double, p_i double").json(f"file://{tmp_path}/in")
-    assert weather_stream(src, K).isStreaming

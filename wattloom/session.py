@@ -6,8 +6,14 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Feature tables have some seventy computed columns with filters between them.  Spark's constraint
+    """A session beside the caller's, with the same settings but one; the caller's stays as it is.
+
+    Feature tables have some seventy computed columns with filters between them.  Spark's constraint
     propagation derives a constraint for every combination of such aliases and predicates, and planning then
-    takes minutes; Spark documents this setting for that case.  Nothing here relies on inferred filters."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    return spark
+    takes minutes; Spark documents this setting for that case.  Core jobs filter nulls themselves."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return own
