@@ -25,7 +25,7 @@ BANDS, DEPTH = 24, 4
 #: Nodes, and shingles of all of them, in a block of a band's nodes about.
 BLOCK, HEAVY = 256, 200_000
 #: Equal bytes of two sketches (a byte of each min-hash) from which a pair's texts are compared in the last round:
-#: at a similarity of 0.8 fewer come up twice in a million.
+#: at a similarity of 0.8 fewer come up three times in a million.
 ALIKE = 58
 #: Shingles that are hashed for all bands at once; bounds a worker's memory for texts of any length.
 CHUNK = 1 << 14
