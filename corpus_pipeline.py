@@ -45,16 +45,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture uses it: not at all, or up to three times."""
+    """Each row as often as the mixture uses it: not at all, or up to three times.  Rows go by a number of their own,
+    so that rows that repeat a doc_id, or have none, are used as often as the mixture says and no oftener."""
     ship(spark)
-    d = docs.select(*COLUMNS, word_count("text").alias("size"), F.array("source").alias("members"))
-    sizes = {r["source"]: int(r["n"]) for r in d.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one row a source
-    small = d.select("doc_id", "source", "size", "members")
-    used = mix(small, "members", "size", targets_by_weight(sizes, WEIGHTS), key=["doc_id"]).where("uses > 0")
-    times = used.groupBy(F.col("doc_id").alias("used_id"), F.col("source").alias("used_source"), F.col("size").alias("used_size")).agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("used_id")) & F.col("source").eqNullSafe(F.col("used_source")) & (F.col("size") == F.col("used_size"))
-    often = F.ceil(F.col("uses") / F.col("rows")).cast("int")
-    return d.join(times, same).withColumn("copy", F.explode(F.sequence(F.lit(1), often))).select(COLUMNS)
+    rows = docs.select(*COLUMNS, word_count("text").alias("size"), F.xxhash64("text").alias(f"{P}t"), F.monotonically_increasing_id().alias(f"{P}row"))
+    rows = stored(rows, "mixing-rows")
+    sizes = {r["source"]: int(r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one row a source
+    small = rows.select("doc_id", f"{P}t", F.array("source").alias("members"), "size", f"{P}row")
+    used = mix(small, "members", "size", targets_by_weight(sizes, WEIGHTS), key=["doc_id", f"{P}t"]).where("uses > 0")
+    used = used.select(F.col(f"{P}row").alias(f"{P}row2"), "uses")
+    return rows.join(used, F.col(f"{P}row") == F.col(f"{P}row2")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
