@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wattloom.llm import embed_dedup
 from wattloom.llm.common import components
-from wattloom.llm.queries import QUERIES, URL_RULES
+from wattloom.llm.mixing import targets_by_weight
+from wattloom.llm.queries import QUERIES, URL_RULES, WEIGHTS
 from wattloom.llm.url_filter import host_of, judge, listed, matched, mine, path_of, tokens
 
 
@@ -167,3 +168,41 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     r = pieces.agg(F.sum("length").alias("n"), F.max("sequence_id").alias("s")).first()
     assert (r["n"] - 1) // 2048 == r["s"]
+
+
+EDGES = [
+    (None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0),
+    (2, "word " * 30000, "en", "a", 150000), *[(None, f"null id number {k} and some words of it", None, None, 40) for k in range(12)],
+    *[(7, f"one id number {k} and some words of it", "de", "b", 39) for k in range(12)], (8, "password = hunter2hunter2 in a text", "en", "b", 34), (9, "É <|endoftext|> 漢字", "zz", "c", 17),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_edge_rows_and_empty_tables(spark, sf, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, uses int, spans string, row bigint"
+    docs = spark.createDataFrame([(*r, 5, 6, "clash", 1) for r in EDGES], kind)
+    got = stage(spark, docs, sf)
+    rows = [tuple(r) for r in got.collect()]
+    if name != "packing":
+        assert got.columns == corpus_pipeline.COLUMNS
+    assert stage(spark, docs.where("false"), sf).count() == 0
+    if name == "quality classifier":
+        assert set(rows) <= set(EDGES)
+    elif name == "near duplicates":  # one of the four texts without words, one of all that are near copies
+        assert len({r[1] for r in rows}) == len(rows) and sum(not r[1] for r in rows) == 1
+    elif name == "secret scan":
+        assert len(rows) == len(EDGES) and all("hunter2" not in (r[1] or "") for r in rows)
+        assert sorted(repr(r) for r in rows if r[0] != 8) == sorted(repr(r) for r in EDGES if r[0] != 8)
+    elif name == "mixing":
+        n = {r: rows.count(r) for r in set(rows)}
+        assert set(n) <= set(EDGES) and all(n[r] <= 3 * EDGES.count(r) for r in n)
+        words = lambda r: len((r[1] or "").split())
+        sizes = {s: sum(words(r) for r in EDGES if r[3] == s) for s in ("a", "b", "c", None)}
+        want = targets_by_weight(sizes, WEIGHTS)
+        for s in ("b", "c", None):
+            assert abs(sum(words(r) for r in rows if r[3] == s) - want[s]) <= 10
+    else:
+        ids = [(r[0], r[4]) for r in rows if r[1] == 0]
+        assert len(ids) == len(EDGES) and sorted(str(i) for i, _ in ids) == sorted(str(r[0]) for r in EDGES)
+        assert sum(r[2] for r in rows) == sum(n for _, n in ids)
