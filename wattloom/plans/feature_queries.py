@@ -30,34 +30,6 @@ def _weather(spark, sf):
 # ---- sources
 
 
-@R.add("source_demand_feed", "UCP, VARIABLE, FECHA:s, TIPO DIA, P1:r, P12:r, P24:r, TOTAL:r", with_tables(f"""SELECT 'unit' AS UCP, VARIABLE, FECHA, "TIPO DIA", P1, P12, P24, {' + '.join(f'COALESCE(P{h}, 0)' for h in range(1, 25))} AS TOTAL FROM event_hours WHERE UCP = 'click'""", "event_hours"))
-def source_demand_feed(spark, sf):
-    """The demand feed, written as JSON text from the hourly table and parsed back."""
-    d = X.event_hours(spark, sf).where("UCP = 'click'")
-    row = F.struct(F.col("FECHA").cast("string").alias("fecha"), *[F.col(f"P{h}").alias(f"p{h}") for h in range(1, 25)])
-    text = d.select(F.to_json(F.struct(F.array(row).alias("data"))).alias("j"))
-    return S.demand_from_feed(text.select(F.from_json("j", DEMAND_FEED).alias("f")).select("f.data"), "unit")
-
-
-@R.add("source_weather_feed", "fecha:s, periodo:i, p_t:r, p_h:r, p_v:r, p_i:r", with_tables("SELECT FECHA AS fecha, UNNEST(range(1, 25)) AS periodo, UNNEST([" + ", ".join(f"P{h}" for h in range(1, 25)) + "]) AS p_t, UNNEST([" + ", ".join(f"P{h} * 2" for h in range(1, 25)) + "]) AS p_h, CAST(NULL AS DOUBLE) AS p_v, 0.5 AS p_i FROM event_hours WHERE UCP = 'click'", "event_hours"))
-def source_weather_feed(spark, sf):
-    d = X.event_hours(spark, sf).where("UCP = 'click'")
-    cols = [x for h in range(1, 25) for x in (F.col(f"P{h}").alias(f"p{h}_t"), (F.col(f"P{h}") * 2).alias(f"p{h}_h"), F.lit(0.5).alias(f"p{h}_i"))]
-    text = d.select(F.to_json(F.struct(F.array(F.struct(F.col("FECHA").cast("string").alias("fecha"), *cols)).alias("data"))).alias("j"))
-    return S.weather_from_feed(text.select(F.from_json("j", WEATHER_FEED).alias("f")).select("f.data"))
-
-
-@R.add("source_holidays", "UCP, FECHA:s, nombre", "SELECT DISTINCT 'unit' AS UCP, CAST(o_orderdate AS DATE) AS FECHA, CASE WHEN o_orderstatus = 'F' THEN 'closed' END AS nombre FROM orders WHERE o_orderkey % 97 = 0")
-def source_holidays(spark, sf):
-    """A holiday file for each order, in the calendar's JSON layout, parsed into the dimension."""
-    o = X.read(spark, sf, "orders").where("o_orderkey % 97 = 0").select(F.to_date("o_orderdate").cast("string").alias("d"), "o_orderstatus")
-    doc = F.struct(F.array("d").alias("festivos"), F.when(F.col("o_orderstatus") == "F", F.create_map("d", F.lit("closed"))).alias("descripcion_festivos"))
-    return S.holidays_from_file(o.select(F.from_json(F.to_json(doc), HOLIDAY_FILE).alias("f")).select("f.*"), "unit").distinct()
-
-
-# the whole tables: the three queries above keep one unit, or one order in 97, on both sides
-
-
 _HOUR_SUM = " + ".join(f"COALESCE({h}, 0)" for h in HOURS)
 
 
@@ -71,29 +43,33 @@ def _by_unit(d, parse):
     return parse(d.where("false"), "") if out is None else out
 
 
-@R.add("source_demand_feed_all", "UCP, VARIABLE, FECHA:s, TIPO DIA, P1:r, P12:r, P24:r, TOTAL:r", with_tables(f"""SELECT UCP, VARIABLE, FECHA, "TIPO DIA", P1, P12, P24, {_HOUR_SUM} AS TOTAL FROM event_hours""", "event_hours"))
-def source_demand_feed_all(spark, sf):
+@R.add("source_demand_feed", "UCP, VARIABLE, FECHA:s, TIPO DIA, P1:r, P12:r, P24:r, TOTAL:r", with_tables(f"""SELECT UCP, VARIABLE, FECHA, "TIPO DIA", P1, P12, P24, {_HOUR_SUM} AS TOTAL FROM event_hours""", "event_hours"))
+def source_demand_feed(spark, sf):
     """The demand feed of every unit, written as JSON text from the hourly table and parsed back."""
     row = F.struct(F.col("FECHA").cast("string").alias("fecha"), *[F.col(f"P{h}").alias(f"p{h}") for h in range(1, 25)])
     text = X.event_hours(spark, sf).select("UCP", F.to_json(F.struct(F.array(row).alias("data"))).alias("j"))
     return _by_unit(text, lambda d, u: S.demand_from_feed(d.select(F.from_json("j", DEMAND_FEED).alias("f")).select("f.data"), u))
 
 
-@R.add("source_weather_feed_all", "UCP, fecha:s, periodo:i, p_t:r, p_h:r, p_v:r, p_i:r", with_tables("SELECT UCP, FECHA AS fecha, UNNEST(range(1, 25)) AS periodo, UNNEST([" + ", ".join(HOURS) + "]) AS p_t, UNNEST([" + ", ".join(f"{h} * 2" for h in HOURS) + "]) AS p_h, CAST(NULL AS DOUBLE) AS p_v, 0.5 AS p_i FROM event_hours", "event_hours"))
-def source_weather_feed_all(spark, sf):
+@R.add("source_weather_feed", "UCP, fecha:s, periodo:i, p_t:r, p_h:r, p_v:r, p_i:r", with_tables("SELECT UCP, FECHA AS fecha, UNNEST(range(1, 25)) AS periodo, UNNEST([" + ", ".join(HOURS) + "]) AS p_t, UNNEST([" + ", ".join(f"{h} * 2" for h in HOURS) + "]) AS p_h, CAST(NULL AS DOUBLE) AS p_v, 0.5 AS p_i FROM event_hours", "event_hours"))
+def source_weather_feed(spark, sf):
     cols = [x for h in range(1, 25) for x in (F.col(f"P{h}").alias(f"p{h}_t"), (F.col(f"P{h}") * 2).alias(f"p{h}_h"), F.lit(0.5).alias(f"p{h}_i"))]
     text = X.event_hours(spark, sf).select("UCP", F.to_json(F.struct(F.array(F.struct(F.col("FECHA").cast("string").alias("fecha"), *cols)).alias("data"))).alias("j"))
     return _by_unit(text, lambda d, u: S.weather_from_feed(d.select(F.from_json("j", WEATHER_FEED).alias("f")).select("f.data")).withColumn("UCP", F.lit(u)))
 
 
-@R.add("source_holidays_all", "UCP, FECHA:s, nombre", "SELECT DISTINCT 'unit' AS UCP, CAST(o_orderdate AS DATE) AS FECHA, CASE WHEN o_orderstatus = 'F' THEN 'closed' END AS nombre FROM orders")
-def source_holidays_all(spark, sf):
+@R.add("source_holidays", "UCP, FECHA:s, nombre", "SELECT DISTINCT 'unit' AS UCP, CAST(o_orderdate AS DATE) AS FECHA, CASE WHEN o_orderstatus = 'F' THEN 'closed' END AS nombre FROM orders")
+def source_holidays(spark, sf):
     """A holiday file for every order."""
     o = X.read(spark, sf, "orders").select(F.to_date("o_orderdate").cast("string").alias("d"), "o_orderstatus")
     doc = F.struct(F.array("d").alias("festivos"), F.when(F.col("o_orderstatus") == "F", F.create_map("d", F.lit("closed"))).alias("descripcion_festivos"))
     return S.holidays_from_file(o.select(F.from_json(F.to_json(doc), HOLIDAY_FILE).alias("f")).select("f.*"), "unit").distinct()
 
 
+for _n in ("source_demand_feed", "source_weather_feed", "source_holidays"):  # two names for each
+    R.queries[f"{_n}_all"], R.sql[f"{_n}_all"] = R.queries[_n], R.sql[_n]
+
+
 @R.add("source_latest_days", "UCP, FECHA:s, TOTAL:r", with_tables("SELECT * FROM demand WHERE FECHA BETWEEN DATE '2000-01-31' - 30 AND DATE '2000-01-31'", "demand"))
 def source_latest_days(spark, sf):
     return S.latest(X.demand(spark, sf), 30, F.to_date(F.lit("2000-01-31")))
