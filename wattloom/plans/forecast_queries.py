@@ -87,6 +87,30 @@ def split_relevance(spark, sf):
     return H.relevance(one.withColumnRenamed("relevant", "r").drop("trained_to"), ends, KEYS, strict=True).withColumnRenamed("relevant", "strict").withColumnRenamed("r", "relevant")
 
 
+_SHARES = [f / sum(H.FALLBACK) for f in H.FALLBACK]
+
+
+@R.add("metrics_sum_validity", "UCP, days:i, valid_pct:r, max_diff:r", with_tables(f"SELECT UCP, COUNT(*) AS days, AVG(CASE WHEN gap < 0.01 THEN 1.0 ELSE 0.0 END) * 100 AS valid_pct, MAX(gap) AS max_diff FROM (SELECT UCP, ABS(list_sum([TOTAL * f FOR f IN {_SHARES!r}]) - TOTAL) AS gap FROM demand) GROUP BY 1", "demand"))
+def metrics_sum_validity(spark, sf):
+    """Whether the hours that a split gives add up to the day's total, by key."""
+    d = X.demand(spark, sf).withColumn("hours", H.scaled(H.fallback_profile(), F.col("TOTAL")))
+    return M.sum_validity(H.check_sums(d), KEYS)
+
+
+_REFIT = """SELECT k.UCP, k.asof, COUNT(h.FECHA) AS rows, COUNT(h.FECHA) >= 30 AND ABS(date_diff('day', ANY_VALUE(k.e), k.asof)) > 30 AS refit
+FROM (SELECT d.UCP, ANY_VALUE(x.e) AS e, MIN(d.FECHA) AS asof FROM demand d JOIN (SELECT UCP, MAX(FECHA) AS e FROM demand WHERE FECHA < DATE '1997-01-01' GROUP BY 1) x ON x.UCP = d.UCP WHERE d.FECHA >= DATE '1997-01-01' AND NOT d.FECHA BETWEEN x.e - 90 AND x.e + 30 GROUP BY 1) k
+LEFT JOIN demand h ON h.UCP = k.UCP AND h.FECHA <= k.asof GROUP BY k.UCP, k.asof"""
+
+
+@R.add("split_refit", "UCP, asof:s, rows:i, refit:b", with_tables(_REFIT, "demand"))
+def split_refit(spark, sf):
+    """Profiles trained to the end of 1996 and asked for the days after: the first day past their reach, and whether to refit there."""
+    d = X.demand(spark, sf)
+    ends = d.where("FECHA < '1997-01-01'").groupBy("UCP").agg(F.max("FECHA").alias("trained_to"))
+    done = ends.withColumnRenamed("trained_to", "refitted_at")
+    return H.refit_needed(d.where("FECHA >= '1997-01-01'").select("UCP", "FECHA"), ends, d, KEYS, last_refit=done)
+
+
 def _model(spark, sf):
     d = X.demand_hours(spark, sf)
     return d, X.holidays(d), H.fit_hourly(d, X.holidays(d), KEYS)
@@ -298,11 +322,23 @@ def model_folds(spark, sf):
     return ML.cv_folds(X.demand(spark, sf), KEYS).groupBy("UCP", "fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("FECHA").alias("first_day"), F.max("FECHA").alias("last_day"))
 
 
+def _training(spark, sf):
+    """(rows with their split, feature names): lag-free features of all keys."""
+    d = C.clean_demand(X.demand_hours(spark, sf))
+    f = E.build_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), KEYS, shift=1)
+    names = E.feature_names(f, d.columns, lag_free=True)
+    return ML.temporal_split(E.fill_zero(f, names), KEYS).cache(), names
+
+
 @R.add("model_training", "model, split, n:i, mape:r, rmape:r, mae:r, r2:r")
 def model_training(spark, sf):
     """Trees on lag-free features of all keys, measured on both parts of a temporal split."""
-    d = C.clean_demand(X.demand_hours(spark, sf))
-    f = E.build_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), KEYS, shift=1)
-    names = [n for n in E.feature_names(f, d.columns, lag_free=True)]
-    s = ML.temporal_split(E.fill_zero(f, names), KEYS).cache()
+    s, names = _training(spark, sf)
     return ML.evaluate(ML.train(s.where("split = 'train'"), names), s, ["split"])
+
+
+@R.add("model_fitted_importances", "model, feature, importance:r")
+def model_fitted_importances(spark, sf):
+    """The twenty most important features of each trained model."""
+    s, names = _training(spark, sf)
+    return M.top_importances(ML.importances(ML.train(s.where("split = 'train'"), names), s, names), 20, ["model"])
