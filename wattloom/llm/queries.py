@@ -15,7 +15,10 @@ from wattloom.llm.oracle import SQL as SQL
 from wattloom.llm.packing import pack
 from wattloom.llm.secret_scan import BASE, joined, scan
 from wattloom.llm.sharding import interleave
+from wattloom.llm.substring_dedup import remove_repeats
+from wattloom.llm.token_alignment import align_documents
 from wattloom.llm.url_filter import judge
+from wattloom.llm.vector_codes import encode
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +108,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "vec_id", 0.9)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "embedding", "vec_id", "label")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", paths=paths)
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
@@ -116,4 +132,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
 }
