@@ -2,7 +2,8 @@
 
 A phrase is WINDOW words in a row.  Which phrases recur is found in two steps, each a pre-aggregated shuffle of
 hashes: every phrase holds the least of its ANCHOR-word grams, so a phrase can recur only where its anchor does;
-phrases whose anchor recurs are then counted themselves, and the least document id of each is kept.  Each part of the
+phrases whose anchor recurs are then counted themselves, and the least document id of each is kept.  Whole texts count along, so that
+a copy of an earlier text goes as one and hands on nothing of its own.  Each part of the
 documents gets the recurring phrases that it holds, compiles them into an Aho-Corasick automaton over its own words,
 and streams all of its documents through it.
 """
@@ -15,6 +16,7 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,10 +48,13 @@ class Part:
         own = [LAST if k is None else k for k in self.keys]
         self.vocabulary = _Vocabulary()
         number = self.vocabulary.__getitem__
-        each = []
+        each, digests = [], []
         for t in table.column("text"):
-            words = _words(t.as_py() or b"")
+            text = t.as_py() or b""
+            words = _words(text)
             each.append(np.fromiter(map(number, words), np.int64, len(words)))
+            digests.append(xxhash.xxh3_128_digest(text))
+        self.text = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
         self.sizes = np.array([len(x) for x in each], np.int64)
         self.words = np.concatenate(each) if each else np.zeros(0, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -58,10 +63,28 @@ class Part:
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], np.uint64)
         self.hashes = hashes[self.words] if len(self.words) else np.zeros(0, np.uint64)
 
-    def phrases(self, size: int) -> np.ndarray:
-        """The places where `size` words of one document start."""
+    def texts(self) -> tuple[np.ndarray, ...]:
+        """64 and 32 bits of each text's hash, the least and the largest id with it, and 1 or 2: whether a row has it or more;
+        texts below WINDOW words aren't asked for."""
+        long = np.flatnonzero(self.sizes >= WINDOW)
+        w, c, ids = self.text[long, 0], (self.text[long, 1] >> np.uint64(32)).astype(np.uint32), self.ids[long]
+        order = np.lexsort((ids, c, w))
+        w, c, ids = w[order], c[order], ids[order]
+        new = _runs(w, c)
+        ends = _ends(new, len(w))
+        return w[new], c[new], ids[new], ids[ends - 1], np.minimum(ends - new, 2)
+
+    def copies(self, table: pa.Table) -> np.ndarray:
+        """Whether each document's text is that of a document with a smaller id, as rows (w, c, first) tell."""
+        first = dict(zip(zip(table.column("w").to_pylist(), table.column("c").to_pylist()), table.column("first").to_pylist()))
+        w, c = self.text[:, 0].view(np.int64).tolist(), (self.text[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+        return np.array([first.get(x, LAST) < own for x, own in zip(zip(w, c), self.ids.tolist())], bool)
+
+    def phrases(self, size: int, without: np.ndarray | None = None) -> np.ndarray:
+        """The places where `size` words of one document start; `without` marks documents to pass over."""
         at = np.arange(max(0, len(self.words) - size + 1))
-        return at[self.doc[at] == self.doc[at + size - 1]] if len(at) else at
+        at = at[self.doc[at] == self.doc[at + size - 1]] if len(at) else at
+        return at if without is None else at[~without[self.doc[at]]]
 
     def grams(self, at: np.ndarray, size: int, seed: int) -> np.ndarray:
         """A hash of the `size` words from each place on."""
@@ -91,12 +114,17 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _ends(starts: np.ndarray, size: int) -> np.ndarray:
+    """Where the runs end that start there."""
+    return np.append(starts[1:], size)[: len(starts)]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _anchor_rows(table: pa.Table) -> pa.Table:
-    """Each anchor of the part, and 1 or 2: whether one document or more hold it."""
+    """Each anchor of the part, and 1 or 2: whether one document or more hold it.  And each text, with its least id."""
     part = Part(table)
     at = part.phrases(WINDOW)
     anchor, doc = part.anchors(at), part.doc[at]
@@ -107,29 +135,44 @@ def _anchor_rows(table: pa.Table) -> pa.Table:
     new = _runs(anchor, doc)
     anchor = anchor[new]
     new = _runs(anchor)
-    n = np.minimum(np.diff(np.append(new, len(anchor))), 2)
-    return pa.table({"part": pa.array(np.full(len(new), table.column("part")[0].as_py()), pa.int32()), "a": _signed(anchor[new]), "n": pa.array(n, pa.int64())})
+    n = np.minimum(_ends(new, len(anchor)) - new, 2)
+    w, c, least, _, rows = part.texts()
+    return pa.table({
+        "part": pa.array(np.full(len(new) + len(w), table.column("part")[0].as_py()), pa.int32()), "w": _signed(np.concatenate([anchor[new], w])),
+        "c": pa.array(np.concatenate([np.zeros(len(new), np.int32), c.view(np.int32)])), "n": pa.array(np.concatenate([n, rows]), pa.int64()),
+        "lo": pa.concat_arrays([pa.nulls(len(new), pa.int64()), pa.array(least, pa.int64())]),
+    })
 
 
 def _candidates(table: pa.Table, recurring: pa.Table) -> pa.Table:
-    """Each phrase of the part whose anchor recurs: 64 and 32 bits of hash, the least and the largest id."""
+    """Each phrase of the part whose anchor recurs, but for copies of earlier texts, and each text that recurs: 64 and
+    32 bits of hash, the least and the largest id."""
     names = ["part", "w", "c", "lo", "hi"]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     if not table.num_rows or not recurring.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     part = Part(table)
-    at = part.phrases(WINDOW)
-    known = np.sort(recurring.column("a").to_numpy().view(np.uint64))
+    is_text = pc.is_valid(recurring.column("first"))
+    texts, recurring = recurring.filter(is_text), recurring.filter(pc.invert(is_text))
+    at = part.phrases(WINDOW, part.copies(texts))
+    known = np.sort(recurring.column("w").to_numpy().view(np.uint64))
     anchor = part.anchors(at)
-    near = np.searchsorted(known, anchor)
-    at = at[known[np.minimum(near, len(known) - 1)] == anchor]
+    if len(known):
+        near = np.searchsorted(known, anchor)
+        at = at[known[np.minimum(near, len(known) - 1)] == anchor]
+    else:
+        at = at[:0]
     w, c, ids = part.grams(at, WINDOW, 1), (part.grams(at, WINDOW, 2) >> np.uint64(32)).astype(np.uint32), part.ids[part.doc[at]]
     order = np.lexsort((ids, c, w))
     w, c, ids = w[order], c[order], ids[order]
     new = _runs(w, c)
-    last = np.append(new[1:], len(w)) - 1
-    number = np.full(len(new), table.column("part")[0].as_py())
-    return pa.table([pa.array(number, pa.int32()), _signed(w[new]), pa.array(c[new].view(np.int32)), pa.array(ids[new]), pa.array(ids[last])], names=names)
+    last = _ends(new, len(w)) - 1
+    tw, tc, least, most, _ = part.texts()
+    asked = set(zip(texts.column("w").to_pylist(), texts.column("c").to_pylist()))
+    keep = np.array([x in asked for x in zip(tw.view(np.int64).tolist(), tc.view(np.int32).tolist())], bool)
+    both = lambda x, y: np.concatenate([x, y[keep]])
+    out = [_signed(both(w[new], tw)), pa.array(both(c[new].view(np.int32), tc.view(np.int32))), pa.array(both(ids[new], least)), pa.array(both(ids[last], most))]
+    return pa.table([pa.array(np.full(len(out[0]), table.column("part")[0].as_py()), pa.int32()), *out], names=names)
 
 
 def codes(used: np.ndarray, size: int) -> list[str]:
@@ -144,14 +187,14 @@ def codes(used: np.ndarray, size: int) -> list[str]:
     return out
 
 
-def automaton(part: Part, recurring: pa.Table) -> tuple[ahocorasick.Automaton | None, list[str], np.ndarray]:
+def automaton(part: Part, recurring: pa.Table, without: np.ndarray | None = None) -> tuple[ahocorasick.Automaton | None, list[str], np.ndarray]:
     """The part's recurring phrases as an automaton over coded words, the codes, and each phrase's least document id."""
     if not recurring.num_rows or not len(part.words):
         return None, [], np.zeros(0, np.int64)
     w, c, first = recurring.column("w").to_numpy().view(np.uint64), recurring.column("c").to_numpy().view(np.uint32), recurring.column("first").to_numpy()
     order = np.lexsort((c, w))
     w, c, first = w[order], c[order], first[order]
-    at = part.phrases(WINDOW)
+    at = part.phrases(WINDOW, without)
     own = part.grams(at, WINDOW, 1)
     near = np.searchsorted(w, own)
     keep = w[np.minimum(near, len(w) - 1)] == own
@@ -176,13 +219,14 @@ def automaton(part: Part, recurring: pa.Table) -> tuple[ahocorasick.Automaton |
 def _located(table: pa.Table, recurring: pa.Table) -> pa.Table:
     """Every document of the part, streamed through the part's automaton."""
     part = Part(table)
-    find, coded, first = automaton(part, recurring)
+    copies = part.copies(recurring)
+    find, coded, first = automaton(part, recurring, copies)
     spelled = list(part.vocabulary)
     removed, digests = [], []
-    for start, size, own in zip(part.starts.tolist(), part.sizes.tolist(), part.ids.tolist()):
-        words = part.words[start : start + size]
+    for start, size, own, copy in zip(part.starts.tolist(), part.sizes.tolist(), part.ids.tolist(), copies.tolist()):
+        words = part.words[start : start + (0 if copy else size)]
         ends: list[int] | np.ndarray = []
-        if find is not None and size >= WINDOW:
+        if find is not None and len(words) >= WINDOW:
             ends = np.array([end // 2 for end, k in find.iter("".join([coded[x] for x in words.tolist()])) if first[k] < own], np.int64)
         if len(ends):
             step = np.zeros(size + 1, np.int64)
@@ -206,9 +250,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     ship(df.sparkSession)
     docs, _ = dealt(df, text, key)
     by = docs.groupBy("part")
-    a = by.applyInArrow(_anchor_rows, "part int, a bigint, n bigint")
-    recurs = a.withColumn("s", F.sum("n").over(Window.partitionBy("a"))).where("s >= 2").select("part", "a")
+    a = by.applyInArrow(_anchor_rows, "part int, w bigint, c int, n bigint, lo bigint")
+    same = Window.partitionBy("w", "c")
+    recurs = a.withColumns({"s": F.sum("n").over(same), "first": F.min("lo").over(same)}).where("s >= 2").select("part", "w", "c", "first")
     p = by.cogroup(recurs.groupBy("part")).applyInArrow(_candidates, "part int, w bigint, c int, lo bigint, hi bigint")
-    first = p.withColumn("first", F.min("lo").over(Window.partitionBy("w", "c"))).where("hi > first").select("part", "w", "c", "first")
+    first = p.withColumn("first", F.min("lo").over(same)).where("hi > first").select("part", "w", "c", "first")
     out = by.cogroup(first.groupBy("part")).applyInArrow(_located, "key bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return out.withColumnRenamed("key", key)

@@ -16,11 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import dealt, ship
+from wattloom.llm.common import dealt, ship, stored
 from wattloom.llm.perfect_hash import PerfectHash, build
 
-#: Bytes that a worker's memo of aligned pieces may take, and what one takes besides its strings and pairs.
-MEMO, ENTRY = 48 << 20, 300
 #: Leaves of the tree that sums counts; parts of the documents for each shard of the pairs.
 LEAVES, PARTS_A_SHARD = 8, 4
 #: An id of the first tokenizer takes the high half of a pair's key.
@@ -29,15 +27,13 @@ HALF = np.uint64(32)
 #: No token of either tokenizer spans a single space between two signs that no library takes for white space.
 _border = re.compile(r"(?<=\S) (?=\S)").split
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-
-
-class Piece:
-    """A run of text with a space before it: counts of tokens, groups and links, linked pairs, and groups as text."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "said")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, pairs: np.ndarray, said: str):
-        self.n_a, self.n_b, self.n_groups, self.pairs, self.said = n_a, n_b, n_groups, pairs, said
+#: Composed Latin letters, digits and ASCII signs but the apostrophe: both tokenizers cut between runs of one class
+#: (Aligner checks that no piece of the second mixes them).
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_simple = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*").fullmatch
+_runs = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n").findall
+#: Where white space isn't single or is at an end; elsewhere every space is a border.
+_care = re.compile(r"\s\s|\A\s|\s\Z").search
 
 
 class Aligner:
@@ -49,58 +45,72 @@ class Aligner:
         self.a = Encoder(path_a)
         self.a.whole.encode_special_tokens = True
         byte_of = {c: b for b, c in _LETTER.items()}
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.whole.get_vocab(True).items()}
+        spelled = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.whole.get_vocab(True).items()}
+        self.bytes_a = [spelled.get(k, b"") for k in range(max(spelled) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = []
+        self.by_class = True
         for k in range(self.b.get_piece_size()):
             s = self.b.id_to_piece(k)
             byte = _BYTE_PIECE.fullmatch(s)
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else s.replace("▁", " ").encode())
-        self.memo: dict[str, Piece | None] = {}
-        self.held = 0
-
-    def pieces(self, texts: list[str]) -> list[Piece | None]:
-        """Each text (without its space) aligned; None where either tokenizer's bytes aren't the text's."""
-        new = [t for t in dict.fromkeys(texts) if t not in self.memo]
-        fresh = dict(zip(new, map(self._align, new, self.b.encode(new, num_threads=1)))) if new else {}
-        out = [fresh[t] if t in fresh else self.memo[t] for t in texts]
-        for t, p in fresh.items():
-            self.held += ENTRY + 4 * len(t) + (8 * len(p.pairs) + len(p.said) if p else 0)
-            if self.held > MEMO:
-                self.memo.clear()
-                self.held = 0
-            else:
-                self.memo[t] = p
-        return out
-
-    def _align(self, text: str, b: list[int]) -> Piece | None:
-        raw = b" " + text.encode("utf-8", "replace")
-        a = np.frombuffer(self.a.encode(raw), "<u4").tolist()
-        return align(raw, a, [self.bytes_a[x] for x in a], b, [self.bytes_b[x] for x in b])
-
-
-def align(raw: bytes, a: list[int], bytes_a: list[bytes], b: list[int], bytes_b: list[bytes]) -> Piece | None:
-    """Tokens of two tokenizers over `raw`, by their bytes: every pair whose ranges overlap, and a group at each
-    offset where both end; None where the joined bytes aren't `raw`."""
-    if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-        return None
-    pairs, groups, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    end_a, end_b = (len(bytes_a[0]), len(bytes_b[0])) if a and b else (0, 0)
-    while i < len(a) and j < len(b):
-        pairs.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-            i, j = i + 1, j + 1
-            from_i, from_j = i, j
-            if i < len(a) and j < len(b):
-                end_a, end_b = end_a + len(bytes_a[i]), end_b + len(bytes_b[j])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(bytes_a[i])
-        else:
-            j += 1
-            end_b += len(bytes_b[j])
-    return Piece(len(a), len(b), len(groups), np.array(pairs, np.uint64), ";".join(groups))
+            bare = s.lstrip("▁")
+            self.by_class &= bool(byte) or self.b.is_control(k) or self.b.is_unknown(k) or not _simple(bare) or len(_runs(bare)) == 1
+        self.line = len(self.b.encode("\n"))  # set before a run, it takes the space that the model adds
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b)]
+        #: What a token says in a list of groups: its id and what follows it, another, the other side, or another group.
+        self.said = [f"{k}{sign}" for k in range(max(len(self.bytes_a), len(self.bytes_b))) for sign in ",|;"]
+
+    def runs(self, piece: str) -> list[str]:
+        """The runs, the first with its space, whose tokens one after another are those of a space and the piece."""
+        if self.by_class and _simple(piece):
+            first, *rest = _runs(piece)
+            return [" " + first, *rest]
+        return [" " + piece]
+
+    def tokens(self, runs: list[str], raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, tokens of each run) of either tokenizer."""
+        word = lambda t: (t[1:] if t[0] == " " else t).isalpha() and max(t) < "ɐ"  # noqa: E731  one run for the first tokenizer too
+        ids = [self.a.run_ids[raw] if word(t) else self.a.encode(raw) for t, raw in zip(runs, raws)]
+        a = np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.array([len(x) >> 2 for x in ids], np.int64)
+        found = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in runs], num_threads=1) if runs else []
+        found = [x if t[0] == " " else x[self.line :] for t, x in zip(runs, found)]
+        return [a, (np.fromiter((k for x in found for k in x), np.int64), np.array(list(map(len, found)), np.int64))]
+
+
+class Aligned:
+    """Distinct runs of text, aligned: for each its counts (tokens of either side, groups, links), its links one after
+    another, and what its groups say.  `bad` marks runs that either tokenizer doesn't give back byte by byte."""
+
+    def __init__(self, own: Aligner, runs: list[str]):
+        raws = [t.encode("utf-8", "replace") for t in runs]
+        size = np.array(list(map(len, raws)), np.int64)
+        both, self.bad = own.tokens(runs, raws), np.zeros(len(runs), bool)
+        for (ids, n), spelled in zip(both, (own.bytes_a, own.bytes_b)):
+            if b"".join([spelled[k] for k in ids.tolist()]) != b"".join(raws):
+                cut = np.cumsum([0, *n])
+                self.bad |= [b"".join([spelled[k] for k in ids[x:y].tolist()]) != raw for x, y, raw in zip(cut, cut[1:], raws)]
+            self.bad |= np.bincount(np.repeat(np.arange(len(n)), n), sizes_of(spelled, own)[ids], len(n)).astype(np.int64) != size
+        (a, n_a), (b, n_b) = [(ids[np.repeat(~self.bad, n)], np.where(self.bad, 0, n)) for ids, n in both]
+        run_a = np.repeat(np.arange(len(runs)), n_a)
+        end_a, end_b = np.cumsum(own.sizes[0][a]), np.cumsum(own.sizes[1][b])
+        # runs lie one after another; between two ends of either side lies the overlap of one pair of tokens
+        ends = np.union1d(end_a, end_b)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        self.links = (a[at_a] << 32 | b[at_b]).astype(np.uint64)
+        n_links = np.bincount(run_a[at_a], minlength=len(runs)) if len(ends) else np.zeros(len(runs), np.int64)
+        self.ends = np.append(0, np.cumsum(n_links))
+        shared_a, shared_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        self.counts = np.column_stack([n_a, n_b, np.bincount(run_a[shared_a], minlength=len(runs)), n_links]).astype(np.int64)
+        group = np.concatenate([2 * (np.cumsum(shared_a) - shared_a), 2 * (np.cumsum(shared_b) - shared_b) + 1])
+        sign = np.concatenate([np.where(shared_a, 1, 0), np.where(shared_b, 2, 0)])
+        said = (3 * np.concatenate([a, b]) + sign)[np.argsort(group, kind="stable")]
+        words, cut = [own.said[k] for k in said.tolist()], np.append(0, np.cumsum(n_a + n_b)).tolist()
+        self.said = ["".join(words[x:y]) for x, y in zip(cut, cut[1:])]
+
+
+def sizes_of(spelled: list[bytes], own: Aligner) -> np.ndarray:
+    return own.sizes[0] if spelled is own.bytes_a else own.sizes[1]
 
 
 @lru_cache(4)
@@ -110,7 +120,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class Part:
-    """One part's documents, aligned: its distinct pieces, and each document's pieces by number."""
+    """One part's documents: their distinct runs, aligned, and each document's runs by number."""
 
     def __init__(self, table: pa.Table, paths: tuple[str, str]):
         own = aligner(*paths)
@@ -119,20 +129,24 @@ class Part:
         docs = []
         for t in table.column("text"):
             text = (t.as_py() or b"").decode("utf-8", "replace")
-            cut = _border(text) if text and "▁" not in text else []  # that sign reads as a space in the second's tokens
-            docs.append(np.fromiter((number.setdefault(x, len(number)) for x in cut), np.int64, len(cut)))
-        self.pieces = own.pieces(list(number))
-        bad = np.array([p is None for p in self.pieces], bool)
-        self.docs = [x if not len(x) or not bad[x].any() else x[:0] for x in docs]
-        sizes = [0 if p is None else len(p.pairs) for p in self.pieces]
-        self.ends = np.cumsum([0, *sizes])
-        self.pairs = np.concatenate([np.zeros(0, np.uint64), *[p.pairs for p in self.pieces if p is not None]])
+            cut = [] if not text or "▁" in text else _border(text) if _care(text) else text.split(" ")  # that sign reads as a space in the second's tokens
+            docs.append(np.array([number.setdefault(x, len(number)) for x in cut], np.int64))
+        known: dict[str, int] = {}
+        runs = [[known.setdefault(x, len(known)) for x in own.runs(piece)] for piece in number]
+        self.runs = Aligned(own, list(known))
+        sizes = np.array(list(map(len, runs)), np.int64)
+        flat, starts = np.array([x for r in runs for x in r], np.int64), np.cumsum(sizes) - sizes
+        self.docs = []
+        for x in docs:
+            n = sizes[x]
+            each = flat[np.repeat(starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            self.docs.append(each if not self.runs.bad[each].any() else each[:0])
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct pairs, links of each) of the part."""
-        used = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.docs]), minlength=len(self.pieces)) if self.pieces else np.zeros(0, np.int64)
-        keys, where = np.unique(self.pairs, return_inverse=True)
-        n = np.bincount(where, np.repeat(used, np.diff(self.ends)), len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+        used = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.docs]), minlength=len(self.runs.bad))
+        keys, where = np.unique(self.runs.links, return_inverse=True)
+        n = np.bincount(where, np.repeat(used, np.diff(self.runs.ends)), len(keys)).astype(np.int64)
         return keys[n > 0], n[n > 0]
 
 
@@ -223,15 +237,13 @@ def _measured(paths: tuple[str, str]):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         part = Part(table, paths)
         keys, totals, best = _joined(answers.column("keys"), "<u8"), _joined(answers.column("totals"), "<i8"), _joined(answers.column("best"), np.uint8)
-        order = np.argsort(keys)
-        at = order[np.searchsorted(keys, part.pairs, sorter=order).clip(max=max(0, len(keys) - 1))] if len(keys) else np.zeros(0, np.int64)
-        before = lambda x: np.append(0, np.cumsum(x))
-        # pieces that only occur in documents without tokens may hold pairs that nothing counts; no document reads these
-        sums, bests = (before(x[at] if len(keys) else np.zeros(len(part.pairs), np.int64)) for x in (totals, best.astype(np.int64)))
-        each = np.array([[p.n_a, p.n_b, p.n_groups, len(p.pairs)] if p else [0] * 4 for p in part.pieces], np.int64).reshape(-1, 4)
-        each = np.column_stack([each, np.diff(bests[part.ends]), np.diff(sums[part.ends])])
+        runs, order = part.runs, np.argsort(keys)
+        at = order[np.searchsorted(keys, runs.links, sorter=order).clip(max=max(0, len(keys) - 1))] if len(keys) else None
+        before = lambda x: np.append(0, np.cumsum(x[at] if at is not None else np.zeros(len(runs.links), np.int64)))
+        # runs that only occur in documents without tokens may hold pairs that nothing counts; no document reads these
+        each = np.column_stack([runs.counts, *[np.diff(before(x)[runs.ends]) for x in (best.astype(np.int64), totals)]])
         rows = np.array([each[x].sum(0) for x in part.docs], np.int64).reshape(-1, 6)
-        said = [hashlib.sha256(";".join([part.pieces[k].said for k in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in part.docs]
+        said = [hashlib.sha256("".join([runs.said[k] for k in x.tolist()])[:-1].encode()).hexdigest() if len(x) else "" for x in part.docs]
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
         return pa.table({"key": pa.array(part.keys, pa.int64()), **{n: pa.array(rows[:, k]) for k, n in enumerate(names)}, "groups_sha256": pa.array(said, pa.string())})
 
@@ -242,12 +254,12 @@ def _stages(df: DataFrame, text: str, key: str, paths: tuple[str, str]):
     ship(df.sparkSession)
     docs, parts = dealt(df, text, key)
     shards = max(16, parts // PARTS_A_SHARD)
-    partial = docs.groupBy("part").applyInArrow(_partial(paths, shards), _PARTIAL)
-    leaves = partial.groupBy("shard", "leaf").applyInArrow(_leaf, "shard int, leaf int, keys binary, counts binary")
-    hashed = leaves.groupBy("shard").applyInArrow(_hashed, "shard int, hash binary, known binary")
+    partial = stored(docs.groupBy("part").applyInArrow(_partial(paths, shards), _PARTIAL), "alignment-pairs")
+    leaves = stored(partial.groupBy("shard", "leaf").applyInArrow(_leaf, "shard int, leaf int, keys binary, counts binary"), "alignment-leaves")
+    hashed = stored(leaves.groupBy("shard").applyInArrow(_hashed, "shard int, hash binary, known binary"), "alignment-hash")
     vectors = leaves.groupBy("shard").cogroup(hashed.groupBy("shard")).applyInArrow(_dense, "shard int, vector binary")
     total = vectors.groupBy("shard").applyInArrow(_summed, "shard int, total binary")
-    return docs, partial, hashed.join(total, "shard")
+    return docs, partial, stored(hashed.join(total, "shard"), "alignment-counts")
 
 
 def pair_counts(df: DataFrame, text: str = "text", key: str = "doc_id", *, paths: tuple[str, str]) -> DataFrame:
@@ -271,7 +283,7 @@ def align_documents(df: DataFrame, text: str = "text", key: str = "doc_id", *, p
     of their own, each of which counts; an empty table gives no row.  Keys are integers.  A very long text is cut at
     single spaces as any other, and a run without one is aligned in one piece.
 
-    The documents are shuffled once for both passes.  A part hands on a row a shard with its distinct pairs; a shard
+    Both passes shuffle the documents by part; between them the parts' pairs are stored.  A part hands on a row a shard with its distinct pairs; a shard
     holds the pairs of four parts at most on average, whatever the input; no id has more pairs than the other vocabulary has ids."""
     docs, partial, counted = _stages(df, text, key, paths)
     answers = partial.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(_answers, "part int, keys binary, totals binary, best binary")
