@@ -94,3 +94,8 @@ def with_tables(sql: str, *names: str) -> str:
             if x not in order:
                 order.append(x)
     return f"WITH {', '.join(f'{n} AS ({SQL[n]})' for n in order)}{', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"
+
+
+def recursive_with_tables(sql: str, *names: str) -> str:
+    """with_tables for SQL that starts with WITH RECURSIVE."""
+    return with_tables(sql.replace("WITH RECURSIVE ", "WITH ", 1), *names).replace("WITH ", "WITH RECURSIVE ", 1)

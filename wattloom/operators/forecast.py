@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.calendar import calendar_features, cyclic_features, holiday_flags, is_christmas, mmdd, season_features, weekday_name
 from wattloom.functions.expressions import flag, scaled
 from wattloom.operators.features import interaction_features
+from wattloom.session import scratch
 
 #: Month normals where no weather is known, and defaults of serving.
 CLIMATE_DEFAULTS = {"temp_mean": 22.0, "temp_min": 16.0, "temp_max": 28.0, "humidity_mean": 70.0, "wind_speed_mean": 2.0, "rain_mean": 0.0, "rain_sum": 0.0}
@@ -120,10 +121,10 @@ def same_day_means(days: DataFrame, history: DataFrame, keys: list[str], value:
     return j.groupBy(*keys, "FECHA").agg(F.avg("__v").alias("same_day_mean"))
 
 
-def serving_lags(days: DataFrame, history: DataFrame, keys: list[str], years: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def serving_lags(days: DataFrame, history: DataFrame, keys: list[str], years: tuple[int, ...] = (1, 2, 3), last_resort: bool = True) -> DataFrame:
     """(keys, FECHA, lags) when serving: as-of values 1, 7 and 14 days back, of the peak hours too; and by year the
     as-of value n years before; where that is 0, the mean of earlier days of that month-day, else the as-of
-    value 365 n days before, else total_lag_1d."""
+    value 365 n days before, else total_lag_1d (null, without the last resort)."""
     peaks = [p for p in ("P8", "P12", "P18", "P20") if p in history.columns]
     asks = {f"b{n}": F.date_sub("FECHA", n) for n in (1, 7, 14)} | {f"y{n}": F.add_months("FECHA", -12 * n) for n in years} | {f"d{n}": F.date_sub("FECHA", 365 * n) for n in years}
     d = as_of_table(days, history.select(*keys, "FECHA", "TOTAL", *peaks), keys, asks, ["TOTAL", *peaks])
@@ -131,21 +132,25 @@ def serving_lags(days: DataFrame, history: DataFrame, keys: list[str], years: tu
     out = {f"total_lag_{n}d": F.col(f"b{n}_TOTAL") for n in (1, 7, 14)} | {f"{p.lower()}_lag_{n}d": F.col(f"b{n}_{p}") for p in peaks for n in (1, 7)}
     zero = F.lit(0.0)
     for n in years:
-        out[f"total_lag_{n}y"] = F.when(F.col(f"y{n}_TOTAL") != 0, F.col(f"y{n}_TOTAL")).otherwise(F.coalesce("same_day_mean", F.nullif(f"d{n}_TOTAL", zero), "b1_TOTAL"))
+        out[f"total_lag_{n}y"] = F.when(F.col(f"y{n}_TOTAL") != 0, F.col(f"y{n}_TOTAL")).otherwise(F.coalesce("same_day_mean", F.nullif(f"d{n}_TOTAL", zero), *(["b1_TOTAL"] if last_resort else [])))
     return d.select(*keys, "FECHA", *[c.alias(n) for n, c in out.items()])
 
 
-def serving_features(history: DataFrame, weather: DataFrame, holidays: DataFrame, keys: list[str], n: int = 30) -> DataFrame:
+def day_change() -> dict[str, Column]:
+    """The day change when serving: total_lag_1d less total_lag_7d, plain and in percent."""
+    change = F.col("total_lag_1d") - F.col("total_lag_7d")
+    return {"total_day_change": change, "total_day_change_pct": F.coalesce(F.try_divide(change * 100, F.col("total_lag_7d")), F.lit(0.0))}
+
+
+def serving_features(history: DataFrame, weather: DataFrame, holidays: DataFrame, keys: list[str], n: int = 30, last_resort: bool = True) -> DataFrame:
     """One row for each key and horizon day with everything a model asks for, in one job.  Lags are by date and
     as of; rolling statistics end on the last real day; is_festivo is the holiday calendar's."""
     days = horizon(history, n, keys)
     t = holiday_flags(days, holidays, keys).drop("festivo_nombre")
     t = season_features(cyclic_features(calendar_features(t, festivo=F.col("es_festivo")), mode="serve"))
     t = days_since_holiday(t, holiday_flags(history.select(*keys, "FECHA"), holidays, keys), keys)
-    t = t.join(serving_lags(days, history, keys), [*keys, "FECHA"], "left").join(anchored_rolling(history, keys), keys, "left")
-    change = F.col("total_lag_1d") - F.col("total_lag_7d")
-    t = t.withColumns({"total_day_change": change, "total_day_change_pct": F.coalesce(F.try_divide(change * 100, F.col("total_lag_7d")), F.lit(0.0))})
-    return interaction_features(serving_weather(climate_for(t, weather, keys)))
+    t = t.join(serving_lags(days, history, keys, last_resort=last_resort), [*keys, "FECHA"], "left").join(anchored_rolling(history, keys), keys, "left")
+    return interaction_features(serving_weather(climate_for(t.withColumns(day_change()), weather, keys)))
 
 
 def adjust(df: DataFrame, predicted: str = "demanda_predicha") -> DataFrame:
@@ -161,20 +166,55 @@ def forecast_direct(features: DataFrame, score: Callable[[DataFrame], DataFrame]
     return adjust(score(features))
 
 
-def forecast_recursive(history: DataFrame, weather: DataFrame, holidays: DataFrame, keys: list[str], n: int, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Day by day, for a model whose lags may be forecasts: each step is one job for all keys, sees the days
-    before it, and ends in checkpoint() so that lineage doesn't grow.  n is 90 at most."""
-    cols = [*keys, "FECHA", "TOTAL"]
-    seen = history.select(*cols)
-    real = history.select(*cols)
-    rolling = anchored_rolling(real, keys)
-    out = None
-    for _ in range(n):
-        step = serving_features(seen, weather, holidays, keys, 1).drop(*[c for c in rolling.columns if c not in keys]).join(rolling, keys, "left")
-        day = adjust(score(step)).select(*keys, "FECHA", F.col("demanda_predicha").alias("TOTAL")).checkpoint()
-        seen = seen.unionByName(day)
-        out = day if out is None else out.unionByName(day)
-    return out.withColumnRenamed("TOTAL", "demanda_predicha")
+#: Days that a recursive forecast's state reaches back, and the longest horizon: last year's days are then history.
+REACH, LONGEST = 14, 364
+_RECENT = {"total_lag_1d": 1, "total_lag_7d": 7, "total_lag_14d": 14}
+
+
+def recursive_state(history: DataFrame, weather: DataFrame, holidays: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, __days, __recent, __made): one row a key with all that a forecast of n days needs.  __days holds what
+    doesn't depend on forecasts, by horizon day: calendar, weather, annual lags (null where only yesterday's value
+    is left), rolling statistics up to the last real day.  __recent holds the as-of totals of the last REACH days, the
+    latest last; __made the forecasts, none yet.  The history is read here and nowhere later."""
+    known = history.select(*keys, "FECHA", "TOTAL")
+    t = serving_features(known, weather, holidays, keys, n, last_resort=False).drop(*_RECENT, *day_change(), "last_day")
+    days = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("FECHA", *[c for c in t.columns if c not in (*keys, "FECHA")]))).alias("__days"))
+    last = known.groupBy(*keys).agg(F.max("FECHA").alias("__end"))
+    back = last.select(*keys, F.explode(F.sequence(F.date_sub("__end", REACH - 1), F.col("__end"))).alias("__at"))
+    recent = as_of(back, known, keys, "__at", ["TOTAL"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "TOTAL")))["TOTAL"].alias("__recent"))
+    return days.join(recent, keys).withColumn("__made", F.array().cast("array<double>"))
+
+
+def recursive_features(state: DataFrame) -> DataFrame:
+    """The features of each key's next day, beside its state."""
+    d = state.withColumn("__day", F.get("__days", F.size("__made"))).select("*", "__day.*").drop("__day")
+    d = d.withColumns({name: F.get("__recent", F.lit(REACH - back)) for name, back in _RECENT.items()})
+    years = [c for c in d.columns if c.startswith("total_lag_") and c.endswith("y")]
+    return d.withColumns({c: F.coalesce(c, "total_lag_1d") for c in years}).withColumns(day_change())
+
+
+def forecast_recursive(history: DataFrame, weather: DataFrame, holidays: DataFrame, keys: list[str], n: int, score: Callable[[DataFrame], DataFrame], every: int = 1) -> DataFrame:
+    """(keys, FECHA, demanda_predicha) of the n days after each key's last one (LONGEST at most), day by day, for a model
+    whose lags may be forecasts.  `score` adds demanda_predicha and keeps the other columns.
+
+    All keys move on together from one bounded row a key (recursive_state): a step is a projection without a shuffle, join
+    or scan of the history, whose cost doesn't depend on the history.  Every `every` steps lineage ends in a checkpoint() in
+    spark.checkpoint.dir (a local session without one gets a folder of its own).  As in the direct forecast, rolling
+    statistics and the days since a holiday end with the real history.  An empty history gives no row."""
+    if n > LONGEST:
+        raise ValueError(f"a recursive forecast takes {LONGEST} days at most")
+    scratch(history.sparkSession)
+    state = recursive_state(history, weather, holidays, keys, n).checkpoint()
+    cols = state.columns
+    for k in range(n):
+        state = adjust(score(recursive_features(state))).select(
+            *[c for c in cols if c not in ("__recent", "__made")],
+            F.concat(F.slice("__recent", 2, REACH - 1), F.array("demanda_predicha")).alias("__recent"), F.concat("__made", F.array("demanda_predicha")).alias("__made"),
+        )
+        if (k + 1) % every == 0 or k == n - 1:
+            state = state.checkpoint()
+    made = F.explode(F.arrays_zip(F.col("__days")["FECHA"].alias("FECHA"), F.col("__made").alias("demanda_predicha"))).alias("x")
+    return state.select(*keys, made).select(*keys, "x.*")
 
 
 def apply_offset(df: DataFrame, offset: float | None, total: str = "demanda_predicha", hours: str = "hours") -> DataFrame:

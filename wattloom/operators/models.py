@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattloom.operators.metrics import error_metrics
+from wattloom.operators.metrics import champion, error_metrics
+from wattloom.session import stored
 
 #: Share of rows for training, folds of cross-validation.
 TRAIN_SHARE, FOLDS = 0.8, 3
@@ -72,15 +76,82 @@ def evaluate(models: dict[str, PipelineModel], df: DataFrame, by: list[str], tar
     return error_metrics(out, target, "demanda_predicha", ["model", *by])
 
 
+def score_all(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """df with the predictions of all models side by side, as pred_{model}: one pass over the rows, one assembly."""
+    d = next(iter(models.values())).stages[0].transform(df) if models else df
+    for name, m in models.items():
+        d = m.stages[-1].transform(d).withColumnRenamed("demanda_predicha", f"pred_{name}")
+    return d.drop("__x")
+
+
+def stacked(scored: DataFrame, models: list[str], cols: list[str]) -> DataFrame:
+    """(cols, model, demanda_predicha): a row for each model."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("demanda_predicha")) for m in models])).alias("x")
+    return scored.select(*cols, each).select(*cols, "x.*")
+
+
+def fold_metrics(predictions: DataFrame, target: str = "TOTAL") -> DataFrame:
+    """(model, fold, metrics) of predictions (model, fold, target, demanda_predicha): one aggregate for all folds and models."""
+    return error_metrics(predictions, target, "demanda_predicha", ["model", "fold"])
+
+
+def cv_summary(by_fold: DataFrame) -> DataFrame:
+    """(model, mape_mean, mape_std, rmape_mean, rmape_std) over folds; population std."""
+    return by_fold.groupBy("model").agg(*[f(c).alias(f"{c}_{n}") for c in ("mape", "rmape") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 def cross_validate(df: DataFrame, features: list[str], keys: list[str], target: str = "TOTAL", models: dict | None = None, folds: int = FOLDS) -> DataFrame:
-    """(model, mape_mean, mape_std, rmape_mean, rmape_std) over expanding folds; population std."""
-    d = cv_folds(df, keys, folds).cache()
-    out = None
-    for k in range(1, folds + 1):
-        fitted = train(d.where(f"fold = {k} and role = 'train'"), features, target, models)
-        part = evaluate(fitted, d.where(f"fold = {k} and role = 'test'"), [], target).withColumn("fold", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("model").agg(*[f(c).alias(f"{c}_{n}") for c in ("mape", "rmape") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    """cv_summary over expanding folds.  The assembled rows are stored once; all models of all folds are then fitted
+    at the same time, each fit a thread of the driver whose jobs share the cluster, and measured by one aggregate."""
+    assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    d = stored(assemble.transform(cv_folds(df, keys, folds)).select(*keys, target, "fold", "role", "__x"), "folds")
+    kinds = models or estimators(target=target)
+
+    def fit(job: tuple[int, str]) -> DataFrame:
+        k, name = job
+        m = kinds[name].copy().fit(d.where(f"fold = {k} and role = 'train'"))
+        return m.transform(d.where(f"fold = {k} and role = 'test'")).select(F.lit(name).alias("model"), "fold", target, "demanda_predicha")
+
+    jobs = [(k, name) for k in range(1, folds + 1) for name in kinds]
+    with ThreadPool(len(jobs)) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return cv_summary(fold_metrics(out, target))
+
+
+def champions(models: dict[str, PipelineModel], validation: DataFrame, keys: list[str], criterion: str = "rmape", target: str = "TOTAL") -> DataFrame:
+    """(keys, model, metrics): the model that does best on each key's validation rows, all models scored in one pass."""
+    names = list(models)
+    metrics = error_metrics(stacked(score_all(models, validation), names, [*keys, target]), target, "demanda_predicha", [*keys, "model"])
+    return champion(metrics, keys, criterion, names)
+
+
+def save_models(models: dict[str, PipelineModel], best: DataFrame, path: str) -> None:
+    """The fitted models, one folder each, and the table of champions."""
+    for name, m in models.items():
+        m.write().overwrite().save(f"{path}/models/{name}")
+    best.write.mode("overwrite").parquet(f"{path}/champions")
+    best.sparkSession.createDataFrame([(k, n) for k, n in enumerate(models)], "place int, model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+
+def load_models(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """What save_models wrote."""
+    names = [r["model"] for r in spark.read.parquet(f"{path}/names").orderBy("place").collect()]  # one row a model
+    return {n: PipelineModel.load(f"{path}/models/{n}") for n in names}, spark.read.parquet(f"{path}/champions")
+
+
+def score_with_champions(models: dict[str, PipelineModel], best: DataFrame, df: DataFrame, keys: list[str], default: str | None = None) -> DataFrame:
+    """df with demanda_predicha and model: each row scored by its key's champion.  All models' predictions stand side by
+    side and the champion's is picked, so no key is a job of its own; a key without champion takes `default`, or null."""
+    names = list(models)
+    chosen = best.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("model").alias("__c"))
+    on = [df[k].eqNullSafe(chosen[f"__c_{k}"]) for k in keys]
+    d = score_all(models, df.join(chosen, on, "left").drop(*[f"__c_{k}" for k in keys]))
+    d = d.withColumn("model", F.coalesce("__c", F.lit(default).cast("string")))
+    pick = F.coalesce(*[F.when(F.col("model") == n, F.col(f"pred_{n}")) for n in names])
+    return d.withColumn("demanda_predicha", pick).drop("__c", *[f"pred_{n}" for n in names])
 
 
 def importances(models: dict[str, PipelineModel], df: DataFrame, features: list[str]) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.calendar import HOLIDAY_NAMES, SPECIAL_SPLIT, holiday_flags, mmdd
 from wattloom.functions.expressions import array_sum, hours_array, mean_profile, normalised, scaled, wide
 from wattloom.schema import HOURS
+from wattloom.session import stored
 
 #: Clusters, days of history, tolerance of the sum check.
 CLUSTERS_NORMAL, CLUSTERS_SPECIAL, HISTORY_DAYS, SUM_TOLERANCE = 35, 15, 90, 0.01
@@ -173,6 +174,62 @@ def refit_needed(days: DataFrame, ends: DataFrame, history: DataFrame, keys: lis
     return d.withColumn("refit", F.coalesce(F.col("rows") >= least_rows, F.lit(False)) & F.coalesce(F.abs(F.datediff("asof", "refitted_at")) > pause, F.lit(True)))
 
 
+def refit_chain(days: DataFrame, ends: DataFrame, history: DataFrame, keys: list[str], back: int = HISTORY_DAYS, ahead: int = 30, pause: int = 30, least_rows: int = 30) -> DataFrame:
+    """(keys, FECHA, rows, trained_to, refit): every date at which a refit is tried when a key's days are split in order.
+
+    Tried is a date that the profiles in force don't reach (`back` days before the end of their training to `ahead` after
+    it), unless the try before is within `pause` days.  A try with least_rows rows of history up to its date succeeds and
+    moves the end of training to the last of them; one with fewer leaves it, but starts the pause too.  Each try depends on
+    those before, so a key's days are folded in order, in one row a key (a date and a count a day); keys run in parallel.
+    Null dates and dates that repeat are passed over; a key without `ends` is untrained, and its first day is tried."""
+    h = history.where(F.col("FECHA").isNotNull()).groupBy(*keys, "FECHA").agg(F.count(F.lit(1)).alias("__n"))
+    both = h.withColumn("__t", F.lit(False)).unionByName(days.where(F.col("FECHA").isNotNull()).select(*keys, "FECHA").distinct().select("*", F.lit(0).cast("bigint").alias("__n"), F.lit(True).alias("__t")))
+    w = Window.partitionBy(*keys).orderBy("FECHA", "__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumns({"rows": F.coalesce(F.sum("__n").over(w), F.lit(0)), "end": F.max(F.when(~F.col("__t"), F.col("FECHA"))).over(w)}).where("__t")
+    one = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("FECHA", "rows", "end"))).alias("__d")).join(ends.select(*keys, F.col("trained_to").alias("__e")), keys, "left")
+    tries = "array<struct<FECHA:date,rows:bigint,trained_to:date,refit:boolean>>"
+    start = F.struct(F.col("__e").cast("date").alias("to"), F.lit(None).cast("date").alias("tried"), F.array().cast(tries).alias("all"))
+
+    def step(s: Column, d: Column) -> Column:
+        paused = F.coalesce(F.datediff(d["FECHA"], s["tried"]) <= pause, F.lit(False))
+        reached = F.coalesce(d["FECHA"].between(F.date_sub(s["to"], back), F.date_add(s["to"], ahead)), F.lit(False))
+        good = d["rows"] >= least_rows
+        to = F.when(good, d["end"]).otherwise(s["to"])
+        here = F.struct(d["FECHA"].alias("FECHA"), d["rows"].alias("rows"), to.alias("trained_to"), good.alias("refit"))
+        return F.when(paused | reached, s).otherwise(F.struct(to.alias("to"), d["FECHA"].alias("tried"), F.concat(s["all"], F.array(here)).cast(tries).alias("all")))
+
+    return one.select(*keys, F.explode(F.aggregate("__d", start, step)["all"]).alias("x")).select(*keys, "x.*")
+
+
+def refit_days(history: DataFrame, holidays: DataFrame, chain: DataFrame, keys: list[str], days: int = HISTORY_DAYS) -> DataFrame:
+    """(keys, asof, FECHA, profile): the days that each successful refit learns from.  A refit has days + 1 dates, which meet
+    the history by equality; no history is read once a refit."""
+    wanted = chain.where("refit").select(*keys, F.col("FECHA").alias("asof"), F.explode(F.sequence(F.date_sub("trained_to", days), F.col("trained_to"))).alias("FECHA"))
+    d = history.dropna(subset=HOURS).join(wanted, [*keys, "FECHA"])
+    return _shares(d.join(holidays.select(*keys, "FECHA").distinct(), [*keys, "FECHA"], "left_anti"), [*keys, "asof"])
+
+
+def in_force(days: DataFrame, chain: DataFrame, keys: list[str]) -> DataFrame:
+    """days with asof: the date of the last successful refit up to each, null before the first."""
+    ok = chain.where("refit").select(*keys, "FECHA", F.col("FECHA").alias("__a"))
+    w = Window.partitionBy(*keys).orderBy("FECHA", F.col("__a").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = ok.unionByName(days.select(*keys, "FECHA").distinct().withColumn("__a", F.lit(None).cast("date")))
+    found = both.withColumn("asof", F.last("__a", ignorenulls=True).over(w)).where("__a is null").select(*keys, "FECHA", "asof")
+    return days.join(found, [*keys, "FECHA"], "left")
+
+
+def split_by_refits(totals: DataFrame, history: DataFrame, holidays: DataFrame, chain: DataFrame, keys: list[str], seed: int = 42, total: str = "TOTAL") -> DataFrame:
+    """Normal days to hours, each by the profiles in force on it: (keys, FECHA, asof, cluster_id, hours and their check).
+    Every refit of every key is fitted in one job; days before the first one take the fixed profile."""
+    by = [*keys, "asof"]
+    fitted = stored(cluster_days(refit_days(history, holidays, chain, keys), by, CLUSTERS_NORMAL, seed), "refits")
+    d = in_force(totals.select(*keys, "FECHA", total), chain, keys).withColumn("dow", F.weekday("FECHA"))
+    d = d.join(cluster_by(fitted, by, F.weekday("FECHA"), "dow"), [*by, "dow"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
+    d = d.join(cluster_profiles(fitted, by).drop("days"), [*by, "cluster"], "left")
+    d = d.withColumns({"cluster_id": F.when(F.col("profile").isNotNull(), F.col("cluster")), "hours": scaled(F.coalesce("profile", fallback_profile()), F.col(total))})
+    return check_sums(d, "hours", total).drop("dow", "cluster", "profile").select("*", *wide(F.col("hours")))
+
+
 def special_day_list(model: HourlyModel, keys: list[str]) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in HOLIDAY_NAMES.items() for x in kv])
     return model.by_mmdd.select(*keys, "mmdd", "cluster", F.coalesce(F.try_element_at(names, F.col("mmdd")), F.lit("Festivo")).alias("nombre")).orderBy(*keys, "mmdd")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattloom import fixtures as X
-from wattloom.fixtures import KEYS, with_tables
+from wattloom.fixtures import KEYS, recursive_with_tables, with_tables
 from wattloom.functions.expressions import hours_array
 from wattloom.operators import basecurve as B
 from wattloom.operators import cleaning as C
@@ -16,6 +18,7 @@ from wattloom.operators import models as ML
 from wattloom.operators import profiles as H
 from wattloom.plans.shape import Registry
 from wattloom.schema import HOURS
+from wattloom.session import scratch, stored
 
 R = Registry()
 _A = "[" + ", ".join(HOURS) + "]"
@@ -111,6 +114,37 @@ def split_refit(spark, sf):
     return H.refit_needed(d.where("FECHA >= '1997-01-01'").select("UCP", "FECHA"), ends, d, KEYS, last_refit=done)
 
 
+_CHAIN = """WITH RECURSIVE h AS (SELECT UCP, FECHA, ROW_NUMBER() OVER (PARTITION BY UCP ORDER BY FECHA) AS rows FROM demand),
+s AS (SELECT UCP, 0 AS k, DATE '1995-01-05' AS trained_to, CAST(NULL AS DATE) AS FECHA, CAST(0 AS BIGINT) AS rows, FALSE AS refit FROM demand GROUP BY UCP
+UNION ALL SELECT x.UCP, x.k, CASE WHEN h.rows >= 30 THEN h.FECHA ELSE x.trained_to END, h.FECHA, h.rows, h.rows >= 30 FROM (SELECT s.UCP, s.k + 1 AS k, s.trained_to, MIN(h.FECHA) AS next FROM s JOIN h ON h.UCP = s.UCP AND h.FECHA > COALESCE(s.FECHA + 30, DATE '1900-01-01') AND NOT h.FECHA BETWEEN s.trained_to - 90 AND s.trained_to + 30 GROUP BY 1, 2, 3) x JOIN h ON h.UCP = x.UCP AND h.FECHA = x.next)"""
+
+
+def _chain(spark, sf):
+    d = X.demand_hours(spark, sf)
+    ends = d.select("UCP").distinct().withColumn("trained_to", F.to_date(F.lit("1995-01-05")))
+    return d, X.holidays(d), H.refit_chain(d.select("UCP", "FECHA"), ends, d.select("UCP", "FECHA"), KEYS)
+
+
+@R.add("split_refit_chain", "UCP, FECHA:s, rows:i, trained_to:s, refit:b", recursive_with_tables(_CHAIN + " SELECT UCP, FECHA, rows, trained_to, refit FROM s WHERE k > 0", "demand"))
+def split_refit_chain(spark, sf):
+    """Profiles trained to 5 January 1995, and every day of the history split in order: all tries to refit."""
+    return _chain(spark, sf)[2]
+
+
+@R.add("split_refit_days", "UCP, asof:s, days:i, p12:r", recursive_with_tables(_CHAIN + " SELECT s.UCP, s.FECHA AS asof, COUNT(*) AS days, AVG(d.P12 / d.TOTAL) AS p12 FROM s JOIN demand_hours d ON d.UCP = s.UCP AND d.FECHA BETWEEN s.trained_to - 90 AND s.trained_to WHERE s.refit AND NOT EXISTS (SELECT 1 FROM holidays y WHERE y.UCP = d.UCP AND y.FECHA = d.FECHA) GROUP BY 1, 2", "demand", "demand_hours", "holidays"))
+def split_refit_days(spark, sf):
+    """What each successful refit learns from: its normal days and their mean share of noon."""
+    d, hol, chain = _chain(spark, sf)
+    return H.refit_days(d, hol, chain, KEYS).groupBy("UCP", "asof").agg(F.count(F.lit(1)).alias("days"), F.avg(F.get("profile", F.lit(11))).alias("p12"))
+
+
+@R.add("split_by_refits", "UCP, FECHA:s, asof:s, cluster_id:i, sum_valid:b, P1:r, P12:r, P24:r")
+def split_by_refits(spark, sf):
+    """All days of the history, each by the profiles that were in force on it."""
+    d, hol, chain = _chain(spark, sf)
+    return H.split_by_refits(d.select("UCP", "FECHA", "TOTAL"), d, hol, stored(chain, "chain"), KEYS)
+
+
 def _model(spark, sf):
     d = X.demand_hours(spark, sf)
     return d, X.holidays(d), H.fit_hourly(d, X.holidays(d), KEYS)
@@ -227,6 +261,39 @@ def forecast_direct(spark, sf):
     return F_.forecast_direct(_serving(spark, sf), lambda f: f.withColumn("demanda_predicha", (F.col("total_lag_1y") + F.col("total_rolling_mean_28d")) / 2))
 
 
+_LINEAR = {"total_lag_1d": 0.5, "total_lag_7d": 0.25, "total_lag_14d": 0.15, "total_lag_1y": 0.1}
+#: A state of 14 as-of totals a key, moved on day by day.
+_RECURSIVE = """WITH RECURSIVE ends AS (SELECT UCP, MAX(FECHA) AS e, ARG_MIN(TOTAL, FECHA) AS first FROM demand GROUP BY 1),
+back AS (SELECT t.UCP, t.k, COALESCE(d.TOTAL, t.first) AS v FROM (SELECT UCP, first, k, e - CAST(k AS INT) AS at FROM ends, (SELECT UNNEST(range(0, 14)) AS k)) t ASOF LEFT JOIN demand d ON d.UCP = t.UCP AND d.FECHA <= t.at),
+year_ago AS (SELECT t.UCP, t.k, COALESCE(d.TOTAL, t.first) AS y, h.FECHA IS NOT NULL AS hol, t.FECHA FROM (SELECT UCP, first, k, e + CAST(k AS INT) AS FECHA, CAST(e + CAST(k AS INT) - INTERVAL 1 YEAR AS DATE) AS at FROM ends, (SELECT UNNEST(range(1, 31)) AS k)) t ASOF LEFT JOIN demand d ON d.UCP = t.UCP AND d.FECHA <= t.at LEFT JOIN holidays h ON h.UCP = t.UCP AND h.FECHA = t.FECHA),
+weighted AS (SELECT *, {adj} AS w FROM year_ago),
+s AS (SELECT UCP, CAST(0 AS BIGINT) AS k, list(v ORDER BY k DESC) AS r FROM back GROUP BY UCP
+UNION ALL SELECT x.UCP, x.k, list_concat(x.r[2:14], [CASE WHEN x.w IS NOT NULL AND x.y > 0 THEN x.w * x.y + (1 - x.w) * x.p ELSE x.p END]) FROM (SELECT s.UCP, q.k, s.r, q.w, q.y, 0.5 * s.r[14] + 0.25 * s.r[8] + 0.15 * s.r[1] + 0.1 * q.y AS p FROM s JOIN weighted q ON q.UCP = s.UCP AND q.k = s.k + 1) x)
+SELECT s.UCP, q.FECHA, s.r[14] AS demanda_predicha FROM s JOIN weighted q ON q.UCP = s.UCP AND q.k = s.k""".format(adj=_ADJ)
+
+
+@R.add("forecast_recursive_linear", "UCP, FECHA:s, demanda_predicha:r", recursive_with_tables(_RECURSIVE, "demand", "holidays"))
+def forecast_recursive_linear(spark, sf):
+    """Thirty days, one after another, by a linear model of lags that are forecasts themselves from the second day on."""
+    d = X.demand(spark, sf)
+    w = C.weather_daily(X.weather_hours(spark, sf), KEYS)
+    model = lambda f: f.withColumn("demanda_predicha", sum(F.col(c) * x for c, x in _LINEAR.items()))
+    return F_.forecast_recursive(d, w, X.holidays(d), KEYS, 30, model)
+
+
+@R.add("forecast_recursive_trained", "UCP, FECHA:s, demanda_predicha:r, method, P1:r, P12:r, P24:r, sum_valid:b")
+def forecast_recursive_trained(spark, sf):
+    """End to end: boosted trees trained on lags, thirty days forecast one after another, and split into hours."""
+    d = X.demand_hours(spark, sf)
+    hol = X.holidays(d)
+    s, names = _training(spark, sf, lag_free=False)
+    w = C.weather_daily(X.weather_hours(spark, sf), KEYS)
+    served = F_.recursive_features(F_.recursive_state(d, w, hol, KEYS, 1)).columns
+    model = ML.train(s.where("split = 'train'"), [c for c in names if c in served], models={"boosted_flat": ML.estimators()["boosted_flat"]})["boosted_flat"]
+    f = F_.forecast_recursive(d, w, hol, KEYS, 30, lambda x: ML.score(model, x.fillna(0, model.stages[0].getInputCols())))
+    return H.split_days(f.withColumnRenamed("demanda_predicha", "TOTAL"), H.fit_hourly(d, hol, KEYS), hol, KEYS).withColumnRenamed("TOTAL", "demanda_predicha")
+
+
 # ---- base curves
 
 
@@ -322,11 +389,11 @@ def model_folds(spark, sf):
     return ML.cv_folds(X.demand(spark, sf), KEYS).groupBy("UCP", "fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("FECHA").alias("first_day"), F.max("FECHA").alias("last_day"))
 
 
-def _training(spark, sf):
-    """(rows with their split, feature names): lag-free features of all keys."""
+def _training(spark, sf, lag_free=True):
+    """(rows with their split, feature names): features of all keys, lag-free by default."""
     d = C.clean_demand(X.demand_hours(spark, sf))
     f = E.build_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), KEYS, shift=1)
-    names = E.feature_names(f, d.columns, lag_free=True)
+    names = E.feature_names(f, d.columns, lag_free=lag_free)
     return ML.temporal_split(E.fill_zero(f, names), KEYS).cache(), names
 
 
@@ -342,3 +409,44 @@ def model_fitted_importances(spark, sf):
     """The twenty most important features of each trained model."""
     s, names = _training(spark, sf)
     return M.top_importances(ML.importances(ML.train(s.where("split = 'train'"), names), s, names), 20, ["model"])
+
+
+_NAIVE_FOLDS = "SELECT d.UCP, fold, real, pred FROM (SELECT *, CASE WHEN rn > n - (4 - fold) * (n // 4) AND rn <= n - (3 - fold) * (n // 4) THEN 1 END AS test FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY UCP ORDER BY FECHA) AS rn, COUNT(*) OVER (PARTITION BY UCP) AS n FROM naive) CROSS JOIN (SELECT UNNEST([1, 2, 3]) AS fold)) d WHERE test = 1"
+
+
+@R.add("model_cv_naive", "model, mape_mean:r, mape_std:r", with_tables(f"SELECT 'lag7' AS model, AVG(mape) AS mape_mean, STDDEV_POP(mape) AS mape_std FROM (SELECT fold, AVG(ABS(pred - real) * 100.0 / ABS(real)) AS mape FROM ({_NAIVE_FOLDS}) WHERE ABS(real) > 1e-10 GROUP BY 1)", "naive"))
+def model_cv_naive(spark, sf):
+    """The folds and the summary of cross-validation with a model that needs no fit."""
+    f = ML.cv_folds(X.naive_forecast(X.demand(spark, sf)), KEYS).where("role = 'test'")
+    return ML.cv_summary(ML.fold_metrics(f.select(F.lit("lag7").alias("model"), "fold", "real", F.col("pred").alias("demanda_predicha")), "real"))
+
+
+@R.add("model_cross_validation", "model, mape_mean:r, mape_std:r, rmape_mean:r, rmape_std:r")
+def model_cross_validation(spark, sf):
+    """All trained models over three expanding folds."""
+    s, names = _training(spark, sf)
+    return ML.cross_validate(s.drop("split"), names, KEYS)
+
+
+def _champions(spark, sf):
+    """Models and champions of each key, written to a store and read back; and the training rows."""
+    s, names = _training(spark, sf)
+    served = _serving(spark, sf, 1).columns
+    models = ML.train(s.where("split = 'train'"), [c for c in names if c in served])
+    path = f"{scratch(spark)}/models-{uuid.uuid4().hex}"
+    ML.save_models(models, ML.champions(models, s.where("split = 'validation'"), KEYS), path)
+    return ML.load_models(spark, path), s
+
+
+@R.add("model_champion_trained", "UCP, model, n:i, rmape:r, mape:r, mae:r")
+def model_champion_trained(spark, sf):
+    """The trained model that does best on each key's validation rows, as the model store has it."""
+    return _champions(spark, sf)[0][1]
+
+
+@R.add("forecast_champion", "UCP, FECHA:s, model, demanda_predicha:r, adjusted:b")
+def forecast_champion(spark, sf):
+    """Thirty days of every key, each by its own champion out of the model store."""
+    (models, best), _ = _champions(spark, sf)
+    used = next(iter(models.values())).stages[0].getInputCols()
+    return F_.forecast_direct(_serving(spark, sf).fillna(0, used), lambda f: ML.score_with_champions(models, best, f, KEYS, default="forest"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -17,3 +22,24 @@ def prepare(spark: SparkSession) -> SparkSession:
             own.conf.set(name, value)
     own.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return own
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where a local session names none, a folder of
+    its own is made, set as the checkpoint folder and removed at exit; any other session gets an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="wattloom-core-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    return f"file://{own}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once to the shared folder and read back: what is used often is computed once, and lineage ends here."""
+    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
