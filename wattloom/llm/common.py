@@ -90,12 +90,12 @@ def safe_cols(df: DataFrame, keep: dict[str, Column | str]) -> DataFrame:
 PART_BYTES, LEAST_PARTS = 4 << 20, 64
 
 
-def dealt(df: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
-    """(part, key, text as bytes) of every row, and the number of parts: parts of about PART_BYTES, by a hash of key and text, each whole in a
-    task.  The number of parts follows the bytes of all texts, so a part stays as large as it is on any input.  Several
+def dealt(df: DataFrame, text: str, key: str, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """(part, key, text as bytes) of every row, and the number of parts: parts of about part_bytes, by
+    a hash of key and text, each whole in a task.  The number of parts follows the bytes of all texts, so a part stays as large as it is on any input.  Several
     passes over the result within one query share its shuffle."""
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0  # one number
-    parts = max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    parts = max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     part = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(parts)).cast("int")
     return df.select(part.alias("part"), F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text")).repartition(parts, "part"), parts
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from wattloom.llm.common import dealt, ship, stored
 from wattloom.llm.perfect_hash import PerfectHash, build
 
 #: Leaves of the tree that sums counts; parts of the documents for each shard of the pairs.
-LEAVES, PARTS_A_SHARD = 8, 4
+LEAVES, PARTS_A_SHARD = 8, 2
+#: Bytes of texts in a part: the larger, the fewer runs are aligned again elsewhere.
+PART = 8 << 20
 #: An id of the first tokenizer takes the high half of a pair's key.
 HALF = np.uint64(32)
 
@@ -63,6 +66,8 @@ class Aligner:
 
     def runs(self, piece: str) -> list[str]:
         """The runs, the first with its space, whose tokens one after another are those of a space and the piece."""
+        if piece.isalpha() and piece.isascii():
+            return [" " + piece]
         if self.by_class and _simple(piece):
             first, *rest = _runs(piece)
             return [" " + first, *rest]
@@ -70,12 +75,25 @@ class Aligner:
 
     def tokens(self, runs: list[str], raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, tokens of each run) of either tokenizer."""
-        word = lambda t: (t[1:] if t[0] == " " else t).isalpha() and max(t) < "ɐ"  # noqa: E731  one run for the first tokenizer too
-        ids = [self.a.run_ids[raw] if word(t) else self.a.encode(raw) for t, raw in zip(runs, raws)]
-        a = np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.array([len(x) >> 2 for x in ids], np.int64)
+        # a space starts a token of the first, so the runs that have one are encoded as one text
+        spaced = [k for k, t in enumerate(runs) if t[0] == " "]
+        whole = np.array(self.a.whole.encode_batch_fast(["".join([runs[k] for k in spaced])], add_special_tokens=False)[0].ids, np.int64)
+        size = np.array(list(map(len, raws)), np.int64)
+        cut = np.searchsorted(np.cumsum(self.sizes[0][whole]), np.cumsum(size[spaced]), side="right")  # tokens up to each run's end
+        others = [k for k, t in enumerate(runs) if t[0] != " "]
+        apart = [np.frombuffer(self.a.encode(raws[k]), "<u4") for k in others]
+        n_a = np.zeros(len(runs), np.int64)
+        n_a[spaced], n_a[others] = np.diff(cut, prepend=0), [len(x) for x in apart]
+        a = np.empty(int(n_a.sum()), np.int64)
+        has_space = np.zeros(len(runs), bool)
+        has_space[spaced] = True
+        of = np.repeat(has_space, n_a)
+        a[of], a[~of] = whole, np.concatenate([np.zeros(0, np.int64), *apart])
         found = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in runs], num_threads=1) if runs else []
-        found = [x if t[0] == " " else x[self.line :] for t, x in zip(runs, found)]
-        return [a, (np.fromiter((k for x in found for k in x), np.int64), np.array(list(map(len, found)), np.int64))]
+        for k in others:
+            found[k] = found[k][self.line :]
+        n_b = np.array(list(map(len, found)), np.int64)
+        return [(a, n_a), (np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum())), n_b)]
 
 
 class Aligned:
@@ -86,21 +104,23 @@ class Aligned:
         raws = [t.encode("utf-8", "replace") for t in runs]
         size = np.array(list(map(len, raws)), np.int64)
         both, self.bad = own.tokens(runs, raws), np.zeros(len(runs), bool)
-        for (ids, n), spelled in zip(both, (own.bytes_a, own.bytes_b)):
+        for (ids, n), spelled, sizes in zip(both, (own.bytes_a, own.bytes_b), own.sizes):
             if b"".join([spelled[k] for k in ids.tolist()]) != b"".join(raws):
                 cut = np.cumsum([0, *n])
                 self.bad |= [b"".join([spelled[k] for k in ids[x:y].tolist()]) != raw for x, y, raw in zip(cut, cut[1:], raws)]
-            self.bad |= np.bincount(np.repeat(np.arange(len(n)), n), sizes_of(spelled, own)[ids], len(n)).astype(np.int64) != size
+            self.bad |= np.bincount(np.repeat(np.arange(len(n)), n), sizes[ids], len(n)).astype(np.int64) != size
         (a, n_a), (b, n_b) = [(ids[np.repeat(~self.bad, n)], np.where(self.bad, 0, n)) for ids, n in both]
         run_a = np.repeat(np.arange(len(runs)), n_a)
         end_a, end_b = np.cumsum(own.sizes[0][a]), np.cumsum(own.sizes[1][b])
         # runs lie one after another; between two ends of either side lies the overlap of one pair of tokens
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=0) > 0]
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         self.links = (a[at_a] << 32 | b[at_b]).astype(np.uint64)
         n_links = np.bincount(run_a[at_a], minlength=len(runs)) if len(ends) else np.zeros(len(runs), np.int64)
         self.ends = np.append(0, np.cumsum(n_links))
-        shared_a, shared_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        last_a, last_b = end_a[at_a] == ends, end_b[at_b] == ends  # each end is one of either side or of both
+        shared_a, shared_b = (last_a & last_b)[last_a], (last_a & last_b)[last_b]
         self.counts = np.column_stack([n_a, n_b, np.bincount(run_a[shared_a], minlength=len(runs)), n_links]).astype(np.int64)
         group = np.concatenate([2 * (np.cumsum(shared_a) - shared_a), 2 * (np.cumsum(shared_b) - shared_b) + 1])
         sign = np.concatenate([np.where(shared_a, 1, 0), np.where(shared_b, 2, 0)])
@@ -109,33 +129,37 @@ class Aligned:
         self.said = ["".join(words[x:y]) for x, y in zip(cut, cut[1:])]
 
 
-def sizes_of(spelled: list[bytes], own: Aligner) -> np.ndarray:
-    return own.sizes[0] if spelled is own.bytes_a else own.sizes[1]
-
-
 @lru_cache(4)
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One for each pair of files and Python worker."""
     return Aligner(path_a, path_b)
 
 
+class Numbers(dict):
+    """A number for each new text, from 0."""
+
+    def __missing__(self, text: str) -> int:
+        self[text] = k = len(self)
+        return k
+
+
 class Part:
     """One part's documents: their distinct runs, aligned, and each document's runs by number."""
 
     def __init__(self, table: pa.Table, paths: tuple[str, str]):
         own = aligner(*paths)
-        number: dict[str, int] = {}
+        number = Numbers()
         self.keys = table.column("key").to_pylist()
         docs = []
         for t in table.column("text"):
             text = (t.as_py() or b"").decode("utf-8", "replace")
             cut = [] if not text or "▁" in text else _border(text) if _care(text) else text.split(" ")  # that sign reads as a space in the second's tokens
-            docs.append(np.array([number.setdefault(x, len(number)) for x in cut], np.int64))
-        known: dict[str, int] = {}
-        runs = [[known.setdefault(x, len(known)) for x in own.runs(piece)] for piece in number]
+            docs.append(np.fromiter(map(number.__getitem__, cut), np.int64, len(cut)))
+        known = Numbers()
+        runs = [[known[x] for x in own.runs(piece)] for piece in number]
         self.runs = Aligned(own, list(known))
         sizes = np.array(list(map(len, runs)), np.int64)
-        flat, starts = np.array([x for r in runs for x in r], np.int64), np.cumsum(sizes) - sizes
+        flat, starts = np.fromiter(chain.from_iterable(runs), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
         self.docs = []
         for x in docs:
             n = sizes[x]
@@ -252,7 +276,7 @@ def _measured(paths: tuple[str, str]):
 
 def _stages(df: DataFrame, text: str, key: str, paths: tuple[str, str]):
     ship(df.sparkSession)
-    docs, parts = dealt(df, text, key)
+    docs, parts = dealt(df, text, key, PART)
     shards = max(16, parts // PARTS_A_SHARD)
     partial = stored(docs.groupBy("part").applyInArrow(_partial(paths, shards), _PARTIAL), "alignment-pairs")
     leaves = stored(partial.groupBy("shard", "leaf").applyInArrow(_leaf, "shard int, leaf int, keys binary, counts binary"), "alignment-leaves")
@@ -284,7 +308,7 @@ def align_documents(df: DataFrame, text: str = "text", key: str = "doc_id", *, p
     single spaces as any other, and a run without one is aligned in one piece.
 
     Both passes shuffle the documents by part; between them the parts' pairs are stored.  A part hands on a row a shard with its distinct pairs; a shard
-    holds the pairs of four parts at most on average, whatever the input; no id has more pairs than the other vocabulary has ids."""
+    holds the pairs of two parts at most on average, whatever the input; no id has more pairs than the other vocabulary has ids."""
     docs, partial, counted = _stages(df, text, key, paths)
     answers = partial.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(_answers, "part int, keys binary, totals binary, best binary")
     kinds = "key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
