@@ -33,29 +33,19 @@ def _weather(spark, sf):
 _HOUR_SUM = " + ".join(f"COALESCE({h}, 0)" for h in HOURS)
 
 
-def _by_unit(d, parse):
-    """parse(rows of one unit, unit) for every unit of d, one after another in one result."""
-    units = [r["UCP"] for r in d.select("UCP").distinct().orderBy("UCP").collect()]  # one row a unit
-    out = None
-    for u in units:
-        part = parse(d.where(F.col("UCP").eqNullSafe(F.lit(u))), u)
-        out = part if out is None else out.unionByName(part)
-    return parse(d.where("false"), "") if out is None else out
-
-
 @R.add("source_demand_feed", "UCP, VARIABLE, FECHA:s, TIPO DIA, P1:r, P12:r, P24:r, TOTAL:r", with_tables(f"""SELECT UCP, VARIABLE, FECHA, "TIPO DIA", P1, P12, P24, {_HOUR_SUM} AS TOTAL FROM event_hours""", "event_hours"))
 def source_demand_feed(spark, sf):
     """The demand feed of every unit, written as JSON text from the hourly table and parsed back."""
     row = F.struct(F.col("FECHA").cast("string").alias("fecha"), *[F.col(f"P{h}").alias(f"p{h}") for h in range(1, 25)])
     text = X.event_hours(spark, sf).select("UCP", F.to_json(F.struct(F.array(row).alias("data"))).alias("j"))
-    return _by_unit(text, lambda d, u: S.demand_from_feed(d.select(F.from_json("j", DEMAND_FEED).alias("f")).select("f.data"), u))
+    return S.demand_from_feed(text.select("UCP", F.from_json("j", DEMAND_FEED).alias("f")).select("UCP", "f.data"), F.col("UCP"))
 
 
 @R.add("source_weather_feed", "UCP, fecha:s, periodo:i, p_t:r, p_h:r, p_v:r, p_i:r", with_tables("SELECT UCP, FECHA AS fecha, UNNEST(range(1, 25)) AS periodo, UNNEST([" + ", ".join(HOURS) + "]) AS p_t, UNNEST([" + ", ".join(f"{h} * 2" for h in HOURS) + "]) AS p_h, CAST(NULL AS DOUBLE) AS p_v, 0.5 AS p_i FROM event_hours", "event_hours"))
 def source_weather_feed(spark, sf):
     cols = [x for h in range(1, 25) for x in (F.col(f"P{h}").alias(f"p{h}_t"), (F.col(f"P{h}") * 2).alias(f"p{h}_h"), F.lit(0.5).alias(f"p{h}_i"))]
     text = X.event_hours(spark, sf).select("UCP", F.to_json(F.struct(F.array(F.struct(F.col("FECHA").cast("string").alias("fecha"), *cols)).alias("data"))).alias("j"))
-    return _by_unit(text, lambda d, u: S.weather_from_feed(d.select(F.from_json("j", WEATHER_FEED).alias("f")).select("f.data")).withColumn("UCP", F.lit(u)))
+    return S.weather_from_feed(text.select("UCP", F.from_json("j", WEATHER_FEED).alias("f")).select("UCP", "f.data"), F.col("UCP"))
 
 
 @R.add("source_holidays", "UCP, FECHA:s, nombre", "SELECT DISTINCT 'unit' AS UCP, CAST(o_orderdate AS DATE) AS FECHA, CASE WHEN o_orderstatus = 'F' THEN 'closed' END AS nombre FROM orders")

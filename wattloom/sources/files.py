@@ -48,21 +48,25 @@ def latest(df: DataFrame, days_back: int, asof: Column, date: str = "FECHA") ->
     return df.where(F.col(date).between(F.date_sub(asof, days_back), asof))
 
 
-def demand_from_feed(feed: DataFrame, ucp: str, variable: str = "Demanda_Real", clasificador: str = "NORMAL") -> DataFrame:
-    """Feed rows (data: array of fecha, p1..p24) as daily demand rows; TOTAL sums the hours, nulls as 0."""
-    d = feed.select(F.explode("data").alias("r")).select(to_date("r.fecha").alias("FECHA"), *[F.col(f"r.p{h}").alias(f"P{h}") for h in range(1, 25)])
-    return d.select(F.lit(ucp).alias("UCP"), F.lit(variable).alias("VARIABLE"), "FECHA", F.lit(clasificador).alias("Clasificador interno"), weekday_name("FECHA").alias("TIPO DIA"), *HOURS, row_sum(HOURS).alias("TOTAL"))
+def demand_from_feed(feed: DataFrame, ucp: str | Column, variable: str = "Demanda_Real", clasificador: str = "NORMAL") -> DataFrame:
+    """Feed rows (data: array of fecha, p1..p24) as daily demand rows; TOTAL sums the hours, nulls as 0.  ucp is the unit, or
+    a column of the feed that names it, so that the feeds of all units are read in one pass."""
+    unit = ucp if isinstance(ucp, Column) else F.lit(ucp)
+    d = feed.select(unit.alias("UCP"), F.explode("data").alias("r")).select("UCP", to_date("r.fecha").alias("FECHA"), *[F.col(f"r.p{h}").alias(f"P{h}") for h in range(1, 25)])
+    return d.select("UCP", F.lit(variable).alias("VARIABLE"), "FECHA", F.lit(clasificador).alias("Clasificador interno"), weekday_name("FECHA").alias("TIPO DIA"), *HOURS, row_sum(HOURS).alias("TOTAL"))
 
 
 def read_demand_feed(spark: SparkSession, path: str, ucp: str, **literals: str) -> DataFrame:
     return demand_from_feed(spark.read.schema(DEMAND_FEED).option("multiLine", True).json(path), ucp, **literals)
 
 
-def weather_from_feed(feed: DataFrame) -> DataFrame:
-    """Feed rows (fecha, p{1..24}_{t,h,v,i}) as hourly rows, by one explode of 24 structs."""
-    d = feed.select(F.explode("data").alias("r"))
+def weather_from_feed(feed: DataFrame, ucp: Column | None = None) -> DataFrame:
+    """Feed rows (fecha, p{1..24}_{t,h,v,i}) as hourly rows, by one explode of 24 structs; with ucp, a column of the feed
+    that names the unit, the feeds of all units in one pass, the unit first."""
+    own = [] if ucp is None else [ucp.alias("UCP")]
+    d = feed.select(*own, F.explode("data").alias("r"))
     each = [F.struct(F.lit(h).alias("periodo"), *[F.col(f"r.p{h}_{v}").alias(f"p_{v}") for v in "thvi"]) for h in range(1, 25)]
-    return d.select(to_date("r.fecha").alias("fecha"), F.explode(F.array(*each)).alias("x")).select("fecha", "x.*")
+    return d.select(*(["UCP"] if own else []), to_date("r.fecha").alias("fecha"), F.explode(F.array(*each)).alias("x")).select(*(["UCP"] if own else []), "fecha", "x.*")
 
 
 def read_weather_feed(spark: SparkSession, path: str) -> DataFrame:
