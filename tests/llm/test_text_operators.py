@@ -88,6 +88,16 @@ def test_interleave_keeps_the_mixture(spark):
     assert ((m.max(axis=1) - m.min(axis=1)) <= 2).all()
 
 
+def test_interleave_spreads_small_sources(spark):
+    """One source of 8,000 rows, 6,000 of one row and 1,000 of two: every shard has its part of each kind."""
+    i = F.col("id")
+    name = F.when(i < 8000, "big").when(i < 14000, F.concat(F.lit("one"), i)).otherwise(F.concat(F.lit("two"), F.floor(i / 2)))
+    got = interleave(spark.range(16000).select("id", name.alias("source")), "source", shards=16).withColumn("kind", F.substring("source", 1, 3)).toPandas()
+    m = got.groupby(["kind", "shard"]).size().unstack(fill_value=0)
+    assert (abs(m.loc["big"] - 500) <= 60).all() and (abs(m.loc["one"] - 375) <= 60).all() and (abs(m.loc["two"] - 125) <= 40).all()
+    assert got.groupby("shard").size().eq(1000).all() and got["id"].is_unique
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     import random

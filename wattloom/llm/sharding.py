@@ -11,8 +11,8 @@ from wattloom.llm.common import P, buckets_for, dense_rank_by_hash
 def interleave(df: DataFrame, source: str = "source", *, shards: int = 16, seed: int = 17, key: list[str] | None = None) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (0-based place in the shard) to every row.
 
-    Rows are ranked within their source in a seeded order; (rank + 1/2) / rows of the source places them
-    on (0, 1); the table sorted by that place is cut into `shards` runs whose row counts differ by one at
+    Rows are ranked within their source in a seeded order; (rank + u) / rows of the source places them on (0, 1), with u
+    from a seeded hash of the source, so that many sources of a few rows spread over all shards; the table sorted by that place is cut into `shards` runs whose row counts differ by one at
     most.  Each run so holds every source in proportion, to within a row or two.  Both ranks come from counts by hash
     range and ranks inside a range, so a source with a third of all rows is spread over many tasks and
     no global sort is needed.  `key` names the columns that order rows (default: all but source); rows
@@ -26,8 +26,9 @@ def interleave(df: DataFrame, source: str = "source", *, shards: int = 16, seed:
     per = d.groupBy(f"{P}src").agg(F.count(F.lit(1)).alias(f"{P}cnt")).withColumnRenamed(f"{P}src", f"{P}s2")
     d = dense_rank_by_hash(d, f"{P}src", f"{P}h", f"{P}rank", buckets=n, ties=key)
     d = d.join(per, F.col(f"{P}src").eqNullSafe(F.col(f"{P}s2")))
-    # the place on (0, 1) as a signed bigint that keeps its order: uniform, so the same bucket ranks apply
-    place = ((2 * F.col(f"{P}rank") + 1).cast("double") / (2 * F.col(f"{P}cnt")) - 0.5) * float(2**63)
+    # the place on (0, 1) as a signed bigint that keeps its order: near uniform, so the same bucket ranks apply
+    u = (F.pmod(F.xxhash64(F.lit(seed + 1), F.col(f"{P}src")), F.lit(2**20)) + 0.5) / float(2**20)
+    place = ((F.col(f"{P}rank") + u) / F.col(f"{P}cnt") - 0.5) * float(2**63)
     d = d.withColumn(f"{P}f", F.when(place >= 9.2e18, F.lit(2**63 - 1)).when(place <= -9.2e18, F.lit(-(2**63))).otherwise(place.cast("long"))).withColumn(f"{P}one", F.lit(0))
     d = dense_rank_by_hash(d, f"{P}one", f"{P}f", f"{P}at", buckets=n, ties=[f"{P}h", f"{P}src", *key])
     # the first `total mod shards` shards have one row more
