@@ -45,6 +45,15 @@ def demand_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("UCP", F.lit("Demanda_Real").alias("VARIABLE"), "FECHA", F.lit("NORMAL").alias("Clasificador interno"), weekday_name("FECHA").alias("TIPO DIA"), *HOURS, "TOTAL")
 
 
+def load_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(UCP, FECHA, P1..P24, TOTAL) from line items: whole numbers, and every day has a curve of its own."""
+    r = read(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("UCP"))
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("FECHA"), (F.col("l_partkey") % 24 + 1).alias("h"), F.col("l_quantity").cast("bigint").alias("v"))
+    sums = li.groupBy("l_suppkey", "FECHA", "h").agg(F.sum("v").alias("v")).join(r, F.col("l_suppkey") % 5 == F.col("r_regionkey"))
+    p = sums.groupBy("UCP", "FECHA").agg(*[(F.coalesce(F.sum(F.when(F.col("h") == h, F.col("v"))), F.lit(0)) + 200 + h * (25 - h)).cast("double").alias(f"P{h}") for h in range(1, 25)], (F.sum("v") + sum(200 + h * (25 - h) for h in range(1, 25))).cast("double").alias("TOTAL"))
+    return p.select("UCP", "FECHA", *HOURS, "TOTAL")
+
+
 def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(UCP, VARIABLE, FECHA, Clasificador interno, TIPO DIA, P1..P24 with gaps, TOTAL)."""
     e = read(spark, sf_dir, "events").select(F.col("event_type").alias("UCP"), F.to_date("ts").alias("FECHA"), (F.hour("ts") + 1).alias("h"), F.col("value").cast("decimal(18,6)").alias("v"))
@@ -76,6 +85,7 @@ _DAY = "list_extract(['LUNES','MARTES','MIÉRCOLES','JUEVES','VIERNES','SÁBADO'
 SQL = {
     "demand": "SELECT r_name AS UCP, CAST(o_orderdate AS DATE) AS FECHA, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS TOTAL FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "demand_hours": f"SELECT UCP, 'Demanda_Real' AS VARIABLE, FECHA, 'NORMAL' AS \"Clasificador interno\", {_DAY} AS \"TIPO DIA\", {', '.join(f'TOTAL * {_W(h)} / ({" + ".join(_W(k) for k in range(1, 25))}) AS P{h}' for h in range(1, 25))}, TOTAL FROM demand",
+    "load_hours": f"SELECT r_name AS UCP, CAST(l_shipdate AS DATE) AS FECHA, {', '.join(f'CAST(COALESCE(SUM(CASE WHEN l_partkey % 24 + 1 = {h} THEN CAST(l_quantity AS BIGINT) END), 0) + {200 + h * (25 - h)} AS DOUBLE) AS P{h}' for h in range(1, 25))}, CAST(SUM(CAST(l_quantity AS BIGINT)) + {sum(200 + h * (25 - h) for h in range(1, 25))} AS DOUBLE) AS TOTAL FROM lineitem JOIN region ON l_suppkey % 5 = r_regionkey GROUP BY 1, 2",
     "event_hours": f"SELECT UCP, 'Demanda_Real' AS VARIABLE, FECHA, 'NORMAL' AS \"Clasificador interno\", {_DAY} AS \"TIPO DIA\", {', '.join(f'CAST(SUM(CASE WHEN h = {h} THEN v END) AS DOUBLE) AS P{h}' for h in range(1, 25))}, CAST(SUM(v) AS DOUBLE) AS TOTAL FROM (SELECT event_type AS UCP, CAST(ts AS DATE) AS FECHA, hour(ts) + 1 AS h, CAST(value AS DECIMAL(18,6)) AS v FROM events) GROUP BY UCP, FECHA",
     "weather_hours": "SELECT r_name AS UCP, CAST(l_shipdate AS DATE) AS fecha, l_linenumber AS periodo, l_quantity AS p_t, l_discount * 1000 AS p_h, l_tax * 100 AS p_v, l_extendedprice / 1000 AS p_i FROM lineitem JOIN region ON l_suppkey % 5 = r_regionkey",
     "weather": "SELECT UCP, fecha AS FECHA, AVG(p_t) AS temp_mean, MIN(p_t) AS temp_min, MAX(p_t) AS temp_max, COALESCE(STDDEV_SAMP(p_t), 2.5) AS temp_std, AVG(p_h) AS humidity_mean, MIN(p_h) AS humidity_min, MAX(p_h) AS humidity_max, AVG(p_v) AS wind_speed_mean, MAX(p_v) AS wind_speed_max, AVG(p_i) AS rain_mean, SUM(p_i) AS rain_sum FROM weather_hours GROUP BY 1, 2",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.calendar import HOLIDAY_NAMES, SPECIAL_SPLIT, holiday_flags, mmdd
 from wattloom.functions.expressions import array_sum, hours_array, mean_profile, normalised, scaled, wide
 from wattloom.schema import HOURS
-from wattloom.session import stored
+from wattloom.session import scratch, stored
 
 #: Clusters, days of history, tolerance of the sum check.
 CLUSTERS_NORMAL, CLUSTERS_SPECIAL, HISTORY_DAYS, SUM_TOLERANCE = 35, 15, 90, 0.01
@@ -95,6 +96,52 @@ def cluster_days_pooled(days: DataFrame, clusters: int, seeds: tuple[int, ...] =
     return min(models, key=lambda m: m.summary.trainingCost).transform(v).drop("__v")
 
 
+def _nearest(days: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
+    """days with __c and __d: the number of the nearest centre of its group (the lowest on ties) and the squared distance to
+    it.  A group's centres travel as one array, so a day meets them in one equi-join and no pairs are made."""
+    packed = centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__c", "__p"))).alias("__all"))
+    gap = lambda c: F.aggregate(F.zip_with(F.col("profile"), c["__p"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("__all", lambda c: F.struct(gap(c).alias("d"), c["__c"].alias("c"))))
+    return days.join(packed, by).withColumn("__b", best).select(*by, "FECHA", "profile", F.col("__b.c").alias("__c"), F.col("__b.d").alias("__d"))
+
+
+def lloyd_clusters(days: DataFrame, keys: list[str], clusters: int, starts: int = 4, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """(keys, FECHA, profile, cluster): k-means of every key at once, as joins and aggregates, without a random number.
+
+    Start s of S takes as centres the days at ranks floor((2 S j + 2 s + 1) n / (2 S k)) of a key's n days by date, j from 0
+    to k - 1, k the lesser of clusters and n.  A round sends every day to the nearest centre of its key and start and moves
+    each centre to the mean of its days; one without days stays.  All keys and starts move together, until none moves by more
+    than the tolerance or after `rounds`.  The start of the least squared distance in all (to 12 places, then the first) is
+    kept, and a key's clusters are numbered from 0 by their earliest day.  Only the largest move comes to the driver.
+    Days without a profile go, as do columns other than those named; of equal dates of a key one is kept, since profiles are
+    one a date; a null key is no key and goes; an empty table stays empty.  What a task holds of a key is `clusters` centres;
+    days of a key meet in one task only to be ranked by date."""
+    by = [*keys, "__s"]
+    d = days.select(*keys, "FECHA", "profile").where(F.col("profile").isNotNull()).dropna(subset=keys).dropDuplicates([*keys, "FECHA"])
+    d = stored(d.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("FECHA")) - 1), "days")
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.least(F.lit(clusters), "__n"))
+    grid = n.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).withColumn("__c", F.explode(F.sequence(F.lit(0), (F.col("__k") - 1).cast("int"))))
+    rank = F.expr(f"((2 * {starts} * __c + 2 * __s + 1) * __n) div (2 * {starts} * __k)").cast("int")
+    centres = stored(grid.withColumn("__i", rank).join(d, [*keys, "__i"]).select(*by, "__c", F.col("profile").alias("__p")), "centres")
+    # the days are few and their distances many: as many files, and so tasks, as a shuffle has, whatever their bytes
+    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide_days = stored(d.drop("__i").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).repartition(tasks, *by, "FECHA"), "days")
+    for _ in range(rounds):
+        means = _nearest(wide_days, centres, by).groupBy(*by, "__c").agg(mean_profile("profile").alias("__m"))
+        moved = centres.join(means, [*by, "__c"], "left").withColumn("__m", F.coalesce("__m", "__p"))
+        step = F.array_max(F.zip_with("__p", "__m", lambda x, y: F.abs(x - y)))
+        new = stored(moved.select(*by, "__c", F.col("__m").alias("__p"), step.alias("__step")), "centres")
+        centres, most = new.drop("__step"), new.agg(F.max("__step")).first()[0]
+        if most is None or most <= tolerance:
+            break
+    near = stored(_nearest(wide_days, centres, by), "nearest")
+    cost = near.groupBy(*by).agg(F.round(F.sum("__d"), 12).alias("__cost")).groupBy(*keys).agg(F.min_by("__s", F.struct("__cost", "__s")).alias("__s"))
+    mine = near.join(cost, by).select(*keys, "FECHA", "profile", "__c")
+    first = mine.groupBy(*keys, "__c").agg(F.min("FECHA").alias("__first"))
+    number = first.select(*keys, "__c", (F.row_number().over(Window.partitionBy(*keys).orderBy("__first")) - 1).cast("int").alias("cluster"))
+    return mine.join(number, [*keys, "__c"]).select(*keys, "FECHA", "profile", "cluster")
+
+
 def cluster_profiles(clustered: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, cluster, profile): the mean of each cluster, made to sum to 1."""
     m = clustered.groupBy(*keys, "cluster").agg(mean_profile("profile").alias("__m"), F.count(F.lit(1)).alias("days"))
@@ -122,9 +169,14 @@ class HourlyModel:
         self.normal, self.by_weekday, self.special, self.by_mmdd, self.average, self.ends = normal, by_weekday, special, by_mmdd, average, ends
 
 
-def fit_hourly(df: DataFrame, holidays: DataFrame, keys: list[str], *, seed: int = 42, asof: str | None = None, clusters: tuple[int, int] = (CLUSTERS_NORMAL, CLUSTERS_SPECIAL)) -> HourlyModel:
-    normal = cluster_days(normal_days(df, holidays, keys, asof=asof), keys, clusters[0], seed).cache()
-    special = cluster_days(special_days(df, holidays, keys), keys, clusters[1], seed).cache()
+def fit_hourly(df: DataFrame, holidays: DataFrame, keys: list[str], *, seed: int = 42, asof: str | None = None, clusters: tuple[int, int] = (CLUSTERS_NORMAL, CLUSTERS_SPECIAL), lloyd: bool = False) -> HourlyModel:
+    """The tables that a split needs, of all keys; with lloyd the clusters come from lloyd_clusters, which has no seed."""
+    fit = lloyd_clusters if lloyd else lambda days, by, k: cluster_days(days, by, k, seed)
+    scratch(df.sparkSession)  # named before the two fits, which run side by side, ask for it
+    with ThreadPoolExecutor(2) as pool:
+        a = pool.submit(lambda: stored(fit(normal_days(df, holidays, keys, asof=asof), keys, clusters[0]), "normal"))
+        b = pool.submit(lambda: stored(fit(special_days(df, holidays, keys), keys, clusters[1]), "special"))
+        normal, special = a.result(), b.result()
     return HourlyModel(
         cluster_profiles(normal, keys), cluster_by(normal, keys, F.weekday("FECHA"), "dow"), cluster_profiles(special, keys), cluster_by(special, keys, mmdd("FECHA"), "mmdd"),
         average_holiday_profile(special, keys), df.groupBy(*keys).agg(F.max("FECHA").alias("trained_to")),

@@ -167,6 +167,107 @@ def profiles_pca(spark, sf):
     return H.pca_view(X.demand_hours(spark, sf).select("UCP", "FECHA", *HOURS))[0]
 
 
+# ---- k-means as rounds over all keys, and what follows from it
+
+_SHARE = ", ".join(f"{h} / TOTAL" for h in HOURS)
+_LOAD = {
+    "normal": f"SELECT d.UCP, d.FECHA, [{_SHARE}] AS p FROM load_hours d JOIN (SELECT UCP AS u, MAX(FECHA) AS e FROM load_hours GROUP BY 1) ON UCP = u WHERE FECHA >= e - 90 AND NOT EXISTS (SELECT 1 FROM holidays h WHERE h.UCP = d.UCP AND h.FECHA = d.FECHA)",
+    "special": f"SELECT d.UCP, d.FECHA, [{_SHARE}] AS p FROM load_hours d WHERE strftime(d.FECHA, '%m-%d') IN ('12-24', '01-02') OR EXISTS (SELECT 1 FROM holidays h WHERE h.UCP = d.UCP AND h.FECHA = d.FECHA)",
+}
+_ROUNDS = 50
+
+
+def _lloyd_sql(t: str, clusters: int, starts: int = 4) -> str:
+    """CTEs that end in {t}_fit (UCP, FECHA, p, cluster)."""
+    mean = "[" + ", ".join(f"AVG(p[{k}])" for k in range(1, 25)) + "]"
+
+    def near(centres: str) -> str:
+        return f"SELECT d.UCP, c.s, d.FECHA, d.p, MIN({{'d': list_distance(d.p, c.c), 'j': c.j}}) AS b FROM {t}_days d JOIN {centres} c ON c.UCP = d.UCP GROUP BY ALL"
+
+    return f"""{t}_days AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY UCP ORDER BY FECHA) - 1 AS i, COUNT(*) OVER (PARTITION BY UCP) AS n FROM ({_LOAD[t]})),
+{t}_lloyd AS (SELECT 0 AS r, d.UCP, s, j, d.p AS c FROM {t}_days d, (SELECT UNNEST(range({starts})) AS s), (SELECT UNNEST(range({clusters})) AS j) WHERE j < LEAST({clusters}, n) AND i = ((2 * {starts} * j + 2 * s + 1) * n) // (2 * {starts} * LEAST({clusters}, n))
+UNION ALL SELECT x.r + 1, x.UCP, x.s, x.j, COALESCE(m.c, x.c) FROM {t}_lloyd x LEFT JOIN (SELECT UCP, s, b.j AS j, {mean} AS c FROM ({near(f"{t}_lloyd")}) GROUP BY 1, 2, 3) m ON m.UCP = x.UCP AND m.s = x.s AND m.j = x.j WHERE x.r < {_ROUNDS}),
+{t}_near AS MATERIALIZED ({near(f"(SELECT * FROM {t}_lloyd WHERE r = {_ROUNDS})")}),
+{t}_best AS (SELECT UCP, MIN({{'cost': cost, 's': s}}).s AS s FROM (SELECT UCP, s, ROUND(SUM(b.d * b.d), 12) AS cost FROM {t}_near GROUP BY 1, 2) GROUP BY 1),
+{t}_mine AS (SELECT n.UCP, n.FECHA, n.p, MIN(n.FECHA) OVER (PARTITION BY n.UCP, n.b.j) AS first FROM {t}_near n JOIN {t}_best x ON x.UCP = n.UCP AND x.s = n.s),
+{t}_fit AS MATERIALIZED (SELECT UCP, FECHA, p, DENSE_RANK() OVER (PARTITION BY UCP ORDER BY first) - 1 AS cluster FROM {t}_mine),
+{t}_profiles AS (SELECT UCP, cluster, list_transform(m, lambda x: x / list_sum(m)) AS m FROM (SELECT UCP, cluster, {mean} AS m FROM {t}_fit GROUP BY 1, 2))"""
+
+
+_NORMAL_FIT, _SPECIAL_FIT = "WITH RECURSIVE " + _lloyd_sql("normal", H.CLUSTERS_NORMAL), "WITH RECURSIVE " + _lloyd_sql("special", H.CLUSTERS_SPECIAL)
+_MODE = "SELECT UCP, {n}, cluster FROM (SELECT UCP, {w} AS {n}, cluster, ROW_NUMBER() OVER (PARTITION BY UCP, {w} ORDER BY COUNT(*) DESC, cluster) AS k FROM {t}_fit GROUP BY 1, 2, 3) WHERE k = 1"
+_BY_DOW = _MODE.format(n="dow", w="isodow(FECHA) - 1", t="normal")
+_BY_MMDD = _MODE.format(n="mmdd", w="strftime(FECHA, '%m-%d')", t="special")
+
+
+def _load(spark, sf):
+    d = X.load_hours(spark, sf)
+    return d, X.holidays(d)
+
+
+def _normal_fit(spark, sf):
+    return H.lloyd_clusters(H.normal_days(*_load(spark, sf), KEYS), KEYS, H.CLUSTERS_NORMAL)
+
+
+def _special_fit(spark, sf):
+    return H.lloyd_clusters(H.special_days(*_load(spark, sf), KEYS), KEYS, H.CLUSTERS_SPECIAL)
+
+
+@R.add("profiles_kmeans", "UCP, FECHA:s, cluster:i", recursive_with_tables(_NORMAL_FIT + " SELECT UCP, FECHA, cluster FROM normal_fit", "load_hours", "holidays"))
+def profiles_kmeans(spark, sf):
+    """The cluster of each normal day of the last 90, fitted."""
+    return _normal_fit(spark, sf)
+
+
+@R.add("profiles_kmeans_special", "UCP, FECHA:s, cluster:i", recursive_with_tables(_SPECIAL_FIT + " SELECT UCP, FECHA, cluster FROM special_fit", "load_hours", "holidays"))
+def profiles_kmeans_special(spark, sf):
+    """The cluster of each special day of the history, fitted."""
+    return _special_fit(spark, sf)
+
+
+@R.add("profiles_kmeans_clusters", "UCP, cluster:i, periodo:i, value:r", recursive_with_tables(_NORMAL_FIT + " SELECT UCP, cluster, UNNEST(range(1, 25)) AS periodo, UNNEST(m) AS value FROM normal_profiles", "load_hours", "holidays"))
+def profiles_kmeans_clusters(spark, sf):
+    return _long(H.cluster_profiles(_normal_fit(spark, sf), KEYS), "UCP", "cluster")
+
+
+@R.add("profiles_kmeans_by_weekday", "UCP, dow:i, cluster:i", recursive_with_tables(f"{_NORMAL_FIT} {_BY_DOW}", "load_hours", "holidays"))
+def profiles_kmeans_by_weekday(spark, sf):
+    return H.cluster_by(_normal_fit(spark, sf), KEYS, F.weekday("FECHA"), "dow")
+
+
+@R.add("profiles_kmeans_by_mmdd", "UCP, mmdd, cluster:i", recursive_with_tables(f"{_SPECIAL_FIT} {_BY_MMDD}", "load_hours", "holidays"))
+def profiles_kmeans_by_mmdd(spark, sf):
+    return H.cluster_by(_special_fit(spark, sf), KEYS, H.mmdd("FECHA"), "mmdd")
+
+
+_SPLIT = f"""{_NORMAL_FIT}, {_lloyd_sql("special", H.CLUSTERS_SPECIAL)},
+average AS (SELECT UCP, list_transform(m, lambda x: x / list_sum(m)) AS m FROM (SELECT UCP, [{", ".join(f"AVG(p[{k}])" for k in range(1, 25))}] AS m FROM (SELECT *, MAX(year(FECHA)) OVER (PARTITION BY UCP) AS y FROM special_fit) WHERE year(FECHA) = y GROUP BY 1)),
+t AS (SELECT d.UCP, d.FECHA, d.TOTAL, strftime(d.FECHA, '%m-%d') IN ('12-24', '01-02') OR EXISTS (SELECT 1 FROM holidays h WHERE h.UCP = d.UCP AND h.FECHA = d.FECHA) AS special FROM load_hours d),
+j AS (SELECT t.*, CASE WHEN special THEN COALESCE(b.cluster, -1) ELSE COALESCE(a.cluster, 0) END AS cluster_id, CASE WHEN special THEN COALESCE(q.m, v.m) ELSE p.m END AS m FROM t
+LEFT JOIN ({_BY_DOW}) a ON a.UCP = t.UCP AND a.dow = isodow(t.FECHA) - 1 LEFT JOIN normal_profiles p ON p.UCP = t.UCP AND p.cluster = COALESCE(a.cluster, 0)
+LEFT JOIN ({_BY_MMDD}) b ON b.UCP = t.UCP AND b.mmdd = strftime(t.FECHA, '%m-%d') LEFT JOIN special_profiles q ON q.UCP = t.UCP AND q.cluster = b.cluster LEFT JOIN average v ON v.UCP = t.UCP),
+s AS (SELECT UCP, FECHA, TOTAL, cluster_id, CASE WHEN m IS NULL THEN 'fallback' WHEN special THEN 'special' ELSE 'normal' END AS method, list_transform(COALESCE(m, {_SHARES!r}), lambda x: x * TOTAL) AS hours FROM j)"""
+
+
+def _load_split(spark, sf):
+    d, hol = _load(spark, sf)
+    return H.split_days(d.select("UCP", "FECHA", "TOTAL"), H.fit_hourly(d, hol, KEYS, lloyd=True), hol, KEYS)
+
+
+@R.add("split_kmeans", "UCP, FECHA:s, method, cluster_id:i, sum_hours:r, sum_valid:b, " + ", ".join(f"{h}:r" for h in HOURS), recursive_with_tables(_SPLIT + " SELECT UCP, FECHA, method, cluster_id, list_sum(hours) AS sum_hours, ABS(list_sum(hours) - TOTAL) < 0.01 AS sum_valid, " + ", ".join(f"hours[{k}] AS P{k}" for k in range(1, 25)) + " FROM s", "load_hours", "holidays"))
+def split_kmeans(spark, sf):
+    """All totals of the history to hours by the fitted profiles."""
+    return _load_split(spark, sf)
+
+
+@R.add("metrics_split_validity", "UCP, days:i, valid_pct:r", recursive_with_tables(_SPLIT + " SELECT UCP, COUNT(*) AS days, AVG(CASE WHEN ABS(list_sum(hours) - TOTAL * (CASE WHEN day(FECHA) = 13 THEN 1.01 ELSE 1 END)) < 0.01 THEN 100.0 ELSE 0.0 END) AS valid_pct FROM s GROUP BY 1", "load_hours", "holidays"))
+def metrics_split_validity(spark, sf):
+    """How many days' hours add up to a reported total that is 1 % off on the 13th of each month."""
+    d = _load_split(spark, sf)
+    off = d.withColumn("TOTAL", F.col("TOTAL") * F.when(F.dayofmonth("FECHA") == 13, 1.01).otherwise(1.0))
+    return M.sum_validity(H.check_sums(off.drop("sum_hours", "sum_diff", "sum_error_pct", "sum_valid")), KEYS)
+
+
 # ---- forecast
 
 
