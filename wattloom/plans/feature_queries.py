@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wattloom import fixtures as X
@@ -11,6 +14,7 @@ from wattloom.operators import cleaning as C
 from wattloom.operators import features as E
 from wattloom.plans.shape import Registry
 from wattloom.schema import DEMAND_FEED, HOLIDAY_FILE, HOURS, WEATHER_DAILY, WEATHER_FEED
+from wattloom.session import scratch, stored
 from wattloom.sources import files as S
 
 R = Registry()
@@ -139,6 +143,29 @@ def append_demand(spark, sf):
     return C.append_demand(d.where("FECHA < '2000-01-01'"), new, KEYS)
 
 
+_LANDED = "SELECT UCP, FECHA, TOTAL, strftime(FECHA, '%Y-%m') AS month FROM (SELECT UCP, FECHA, CASE WHEN FECHA < DATE '1996-01-01' THEN TOTAL WHEN FECHA < DATE '1997-01-01' THEN TOTAL * 2 ELSE TOTAL * 3 END AS TOTAL FROM demand)"
+
+
+def _land(spark, sf):
+    """The table after four increments, the second of them twice, and what each wrote."""
+    path, d = f"{scratch(spark)}/landed-{uuid.uuid4().hex}", stored(X.demand(spark, sf), "demand")
+    parts = [d.where("FECHA < '1996-01-01'")] + 2 * [d.where("FECHA BETWEEN '1995-11-15' AND '1996-12-31'").withColumn("TOTAL", F.col("TOTAL") * 2)] + [d.where("FECHA >= '1996-12-30'").withColumn("TOTAL", F.col("TOTAL") * 3)]
+    logs = [S.land_increment(p, path, KEYS).withColumn("step", F.lit(k + 1)) for k, p in enumerate(parts)]
+    return S.table_by_month(spark, path), reduce(lambda a, b: a.unionByName(b), logs)
+
+
+@R.add("append_increments", "UCP, FECHA:s, TOTAL:r, landed_month", with_tables(f"SELECT UCP, FECHA, TOTAL, month AS landed_month FROM ({_LANDED})", "demand"))
+def append_increments(spark, sf):
+    """Increments that overlap, one of them repeated, land by month: the first value of a day stays."""
+    return _land(spark, sf)[0]
+
+
+@R.add("append_increments_log", "step:i, landed_month, added:i, changed:i", with_tables(f"SELECT CASE WHEN FECHA < DATE '1996-01-01' THEN 1 WHEN FECHA < DATE '1997-01-01' THEN 2 ELSE 4 END AS step, month AS landed_month, COUNT(*) AS added, 0 AS changed FROM ({_LANDED}) GROUP BY 1, 2", "demand"))
+def append_increments_log(spark, sf):
+    """The months that each increment wrote; the repeated one (step 3) none."""
+    return _land(spark, sf)[1]
+
+
 @R.add("append_weather", "UCP, fecha:s, readings:i, rain:r", with_tables("SELECT UCP, fecha, COUNT(*) AS readings, SUM(p_i) AS rain FROM (SELECT DISTINCT * FROM weather_hours) GROUP BY 1, 2", "weather_hours"))
 def append_weather(spark, sf):
     w = X.weather_hours(spark, sf)

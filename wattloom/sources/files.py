@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions.calendar import weekday_name
 from wattloom.functions.expressions import row_sum, to_date, to_double
 from wattloom.schema import DEMAND_COLUMNS, DEMAND_FEED, DEMAND_TEXT, HOLIDAY_FILE, HOURS, KEYS, WEATHER_FEED, WEATHER_HOURLY, WEATHER_TEXT
+from wattloom.session import stored
+
+#: The folder column of a table that grows by increments.
+MONTH = "landed_month"
 
 
 def date_range(df: DataFrame, date: str, start: str | None, end: str | None) -> DataFrame:
@@ -91,6 +99,53 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", keys: list[str]
     w.partitionBy(*(KEYS if keys is None else keys)).save(path) if keys != [] else w.save(path)
 
 
+def land_increment(new: DataFrame, path: str, keys: list[str], date: str = "FECHA", replace: bool = False) -> DataFrame:
+    """Adds an increment to the table at path, one folder a month (landed_month=yyyy-MM), and rewrites only months that gain
+    or change a row.  Returns (landed_month, added, changed), a row for each month written.
+
+    A row is known by its keys and date; null keys equal one another, and null dates have a folder of their own.  A row that is
+    there already stays, or with `replace` gives way to a new one that differs in any column; rows that repeat within the
+    increment count once (the least by all columns, nulls first).  The same increment again so writes nothing, and files of
+    other months keep their names.  A column that one side lacks is null there; types must agree, and a column named
+    landed_month isn't kept.  An empty increment writes nothing, and leaves no table where there was none.
+
+    Only the increment's months are read; their names are all that the driver holds.  Rows to write are stored beside the table
+    first and then replace their months in one commit (dynamic partition overwrite), so a failed job leaves the table as it
+    was; a rebalance splits a month with many rows.  Two increments must not land at the same time."""
+    spark = new.sparkSession
+    cols = [c for c in new.columns if c != MONTH]
+    one = new.select(F.struct(*cols).alias("__r")).groupBy(*[F.col(f"__r.`{c}`").alias(f"__k{i}") for i, c in enumerate([*keys, date])]).agg(F.min("__r").alias("__r"))
+    inc = stored(one.select("__r.*").withColumn(MONTH, F.date_format(date, "yyyy-MM")), "increment")
+    months = [r[0] for r in inc.select(MONTH).distinct().collect()]
+    old = table_by_month(spark, path)
+    old = inc.limit(0) if old is None else old.where(F.col(MONTH).isin([m for m in months if m is not None]) | (F.col(MONTH).isNull() & F.lit(None in months)))
+    every = [*[c for c in old.columns if c != MONTH], *[c for c in cols if c not in old.columns], MONTH]
+    row = lambda d, other: F.struct(*[F.col(f"`{c}`") if c in d.columns else F.lit(None).cast(other.schema[c].dataType).alias(c) for c in every])
+    have, come = old.select(row(old, inc).alias("__h")), inc.select(row(inc, old).alias("__i"))
+    pair = reduce(and_, [F.col(f"__h.`{c}`").eqNullSafe(F.col(f"__i.`{c}`")) for c in [*keys, date]])
+    added = F.col("__h").isNull()
+    changed = F.col("__h").isNotNull() & F.col("__i").isNotNull() & ~F.col("__h").eqNullSafe(F.col("__i")) if replace else F.lit(False)
+    j = have.join(come, pair, "full").select(F.when(added | changed, F.col("__i")).otherwise(F.col("__h")).alias("__r"), added.alias("__new"), changed.alias("__changed"))
+    both = stored(j, "merged")
+    touched = stored(both.groupBy(F.col(f"__r.{MONTH}").alias(MONTH)).agg(F.count_if("__new").alias("added"), F.count_if("__changed").alias("changed")).where("added + changed > 0"), "landed")
+    rows = both.select("__r").join(touched.select(F.col(MONTH).alias("__m")), F.col(f"__r.{MONTH}").eqNullSafe(F.col("__m")), "left_semi").select("__r.*")
+    rows.hint("rebalance", F.col(MONTH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    spark.catalog.refreshByPath(path)
+    return touched
+
+
+def table_by_month(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that land_increment keeps, with its month as text; None where there is none yet.  A column that came with a
+    later increment is null in months that have not been written since."""
+    try:
+        found = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return found.withColumn(MONTH, F.col(MONTH).cast("string"))
+
+
 def write_forecast(forecast: DataFrame, summary: DataFrame, path: str) -> None:
     """The forecast as CSV and its one-row summary for each key as JSON."""
     forecast.write.mode("overwrite").option("header", True).csv(f"{path}/forecast")
