@@ -10,6 +10,7 @@ from wattloom.functions.expressions import hours_array
 from wattloom.operators import cleaning as C
 from wattloom.operators import metrics as M
 from wattloom.operators import reports as P
+from wattloom.operators.quantiles import exact_quantiles
 from wattloom.plans.shape import Registry
 from wattloom.schema import HOURS
 
@@ -244,3 +245,19 @@ def report_side_by_side(spark, sf):
 @R.add("report_categories", "UCP, days:i", with_tables("SELECT UCP, COUNT(*) AS days FROM demand WHERE UCP IN ('ASIA', 'EUROPE') GROUP BY 1", "demand"))
 def report_categories(spark, sf):
     return P.of_categories(X.demand(spark, sf), "UCP", ["ASIA", "EUROPE"]).groupBy("UCP").agg(F.count(F.lit(1)).alias("days"))
+
+
+_PROBS = {"p05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p95": 0.95}
+_QUANTILES = ", ".join(f"quantile_cont(l_extendedprice, {p}) AS {n}" for n, p in _PROBS.items())
+
+
+@R.add("quantiles_spread", "l_returnflag, n:i, " + ", ".join(f"{n}:r" for n in _PROBS), f"SELECT l_returnflag, COUNT(*) AS n, {_QUANTILES} FROM lineitem GROUP BY 1")
+def quantiles_spread(spark, sf):
+    """Exact quantiles of three groups that hold all line items, of which no task holds one whole."""
+    return exact_quantiles(X.read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], _PROBS)
+
+
+@R.add("quality_iqr_spread", "l_returnflag, q1:r, q3:r, n:i, outliers:i", "SELECT l_returnflag, q1, q3, COUNT(*) AS n, COUNT(*) FILTER (WHERE v < q1 - 0.5 * (q3 - q1) OR v > q3 + 0.5 * (q3 - q1)) AS outliers FROM (SELECT l_returnflag, l_extendedprice AS v, quantile_cont(l_extendedprice, 0.25) OVER (PARTITION BY l_returnflag) AS q1, quantile_cont(l_extendedprice, 0.75) OVER (PARTITION BY l_returnflag) AS q3 FROM lineitem) GROUP BY 1, 2, 3")
+def quality_iqr_spread(spark, sf):
+    """Fences of half the quartiles' distance by exact quartiles of huge groups."""
+    return C.iqr_outliers(X.read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], factor=0.5, spread=True)
