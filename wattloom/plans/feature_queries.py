@@ -143,6 +143,32 @@ def append_demand(spark, sf):
     return C.append_demand(d.where("FECHA < '2000-01-01'"), new, KEYS)
 
 
+def _csv(spark, sf):
+    """Demand as CSV, a file for each unit: two have their columns in another order and one more; lines of the 13th lack
+    their last field, those of the 14th have one too many."""
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    d = X.demand(spark, sf).withColumn("swap", F.col("UCP").isin("ASIA", "EUROPE"))
+    line = F.when(F.col("swap"), F.concat_ws(",", "FECHA", "UCP", "TOTAL", F.lit("note"))).otherwise(F.concat_ws(",", "UCP", "FECHA", "TOTAL"))
+    line = F.when(F.dayofmonth("FECHA") == 13, F.regexp_replace(line, ",[^,]*$", "")).when(F.dayofmonth("FECHA") == 14, F.concat(line, F.lit(",x"))).otherwise(line)
+    head = d.select("UCP", "swap").distinct().select("UCP", F.lit(0).alias("k"), F.when(F.col("swap"), "FECHA,UCP,TOTAL,remark").otherwise("UCP,FECHA,TOTAL").alias("value"))
+    both = head.unionByName(d.select("UCP", F.lit(1).alias("k"), line.alias("value")))
+    both.repartition("UCP").sortWithinPartitions("UCP", "k").select(F.col("UCP").alias("unit"), "value").write.partitionBy("unit").text(path)
+    return S.read_by_header(spark, path, ["UCP", "FECHA", "TOTAL"])
+
+
+@R.add("source_csv_rows", "UCP, FECHA:s, TOTAL:r, remark", with_tables("SELECT UCP, FECHA, TOTAL, CASE WHEN UCP IN ('ASIA', 'EUROPE') THEN 'note' END AS remark FROM demand WHERE day(FECHA) NOT IN (13, 14)", "demand"))
+def source_csv_rows(spark, sf):
+    """CSV files of two layouts with broken lines, read by their headers."""
+    return _csv(spark, sf)[0].withColumns({"FECHA": F.to_date("FECHA"), "TOTAL": F.col("TOTAL").try_cast("double")})
+
+
+@R.add("source_csv_alerts", "unit, check, level, n:i", with_tables("""SELECT UCP AS unit, 'broken_fields' AS "check", 'ALERT' AS level, COUNT(*) AS n FROM demand WHERE day(FECHA) IN (13, 14) GROUP BY 1 UNION ALL SELECT UCP, 'column_remark', 'WARNING', COUNT(*) FROM demand WHERE day(FECHA) NOT IN (13, 14) AND UCP NOT IN ('ASIA', 'EUROPE') GROUP BY 1""", "demand"))
+def source_csv_alerts(spark, sf):
+    """Broken lines and columns that lack, by file."""
+    a = S.file_alerts(*_csv(spark, sf), ["UCP", "FECHA", "TOTAL", "remark"])
+    return a.withColumn("unit", F.regexp_replace(F.regexp_extract("source_file", "unit=([^/]+)", 1), "%20", " "))
+
+
 _LANDED = "SELECT UCP, FECHA, TOTAL, strftime(FECHA, '%Y-%m') AS month FROM (SELECT UCP, FECHA, CASE WHEN FECHA < DATE '1996-01-01' THEN TOTAL WHEN FECHA < DATE '1997-01-01' THEN TOTAL * 2 ELSE TOTAL * 3 END AS TOTAL FROM demand)"
 
 

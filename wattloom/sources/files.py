@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,47 @@ def read_demand_csv(spark: SparkSession, path: str, start: str | None = None, en
     return date_range(typed, "FECHA", start, end)
 
 
+def read_by_header(spark: SparkSession, path: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """CSV files as they come, whose columns may differ in number and order: (rows, broken).
+
+    rows has every column that any file has, as text, null where a file lacks it, and source_file; broken has (source_file,
+    line, reason) for lines with more or fewer fields than their file's header ("fields") and for all lines of a file without
+    a header ("header").  A header is a line that names all of `required`; it must be the file's first, and one that comes
+    again is a row like any other.  Empty lines are passed over; a quoted field must not hold a line break.  No files, or
+    empty ones, give no rows and the required columns.  A file's columns named source_file or _broken aren't kept.
+
+    Files are told apart by header: one scan for each distinct header, whose names and files are what the driver holds; a
+    line is parsed once, and never shuffled."""
+    lines = spark.read.text(path).where("value != ''").select("value", F.col("_metadata.file_path").alias("source_file"))
+    names = F.transform(F.split("value", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    heads = lines.select("source_file", names.alias("names")).where(F.forall(F.array(*[F.lit(c) for c in required]), lambda c: F.array_contains("names", c)))
+    known = heads.groupBy("source_file").agg(F.min("names").alias("names"))
+    layouts = known.groupBy("names").agg(F.collect_list("source_file").alias("files")).orderBy("names").collect()
+    text = ", ".join(f"`{c}` string" for c in required)
+    rows = spark.createDataFrame([], f"{text}, source_file string")
+    none = lines.join(known, "source_file", "left_anti")
+    broken = none.select("source_file", F.col("value").alias("line"), F.lit("header").alias("reason"))
+    for layout in layouts:
+        schema = ", ".join(f"`{c}` string" for c in [*layout["names"], "_broken"])
+        read = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_broken").option("columnPruning", False)
+        d = read.csv([unquote(f) for f in layout["files"]]).select("*", F.col("_metadata.file_path").alias("source_file"))
+        # Spark refuses a scan of the broken line alone, so a part of no length of the first field goes with it
+        line = F.concat_ws("", "_broken", F.substring(F.col(f"`{layout['names'][0]}`"), 1, 0))
+        rows = rows.unionByName(d.where(line == "").drop("_broken"), allowMissingColumns=True)
+        broken = broken.unionByName(d.where(line != "").select("source_file", line.alias("line"), F.lit("fields").alias("reason")))
+    return rows, broken
+
+
+def file_alerts(rows: DataFrame, broken: DataFrame, expected: list[str]) -> DataFrame:
+    """(source_file, check, level, n): broken lines of each file, lines of files without a header, and the expected columns
+    that a file with rows never fills; with level and check as alert_rollup takes them."""
+    bad = broken.groupBy("source_file", F.concat(F.lit("broken_"), "reason").alias("check")).agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit("ALERT"))
+    filled = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), *[(F.count(c) if c in rows.columns else F.lit(0).cast("bigint")).alias(f"__{i}") for i, c in enumerate(expected)])
+    gone = F.array_compact(F.array(*[F.when(F.col(f"__{i}") == 0, F.lit(c)) for i, c in enumerate(expected)]))
+    lacks = filled.select("source_file", F.explode(gone).alias("c"), "n").select("source_file", F.concat(F.lit("column_"), "c").alias("check"), "n", F.lit("WARNING").alias("level"))
+    return bad.unionByName(lacks).select("source_file", "check", "level", "n")
+
+
 def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
     return [c for c in expected if c not in df.columns]
 
