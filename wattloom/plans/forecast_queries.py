@@ -438,7 +438,32 @@ def curve_normal_tiers(spark, sf):
     return B.normal_tiers(t, h, KEYS)
 
 
-@R.add("curve_base", "UCP, FECHA:s, route, source, P1:r, P12:r, P24:r")
+_SHOWN = ["P1", "P12", "P24"]
+_LATE = "((month(FECHA) = 12 AND day(FECHA) >= 28) OR month(FECHA) = 1)"
+_BLEND = f"CASE WHEN isodow(FECHA) <= 5 AND recent_dow IS NOT NULL THEN CASE WHEN {_LATE} THEN total3 * 0.6 + recent_dow * 0.4 ELSE total3 * 0.5 + recent_dow * 0.5 END WHEN isodow(FECHA) <= 5 THEN total3 * CASE WHEN {_LATE} THEN 1.10 ELSE 1.08 END ELSE total3 * CASE WHEN {_LATE} THEN 1.05 ELSE 1.03 END END"
+#: For each hour shown: the aggregates of same days, of a month's holidays and of tiers, and the rules in their order.
+_SAME_AGG = ", ".join(f"AVG({p} / s) FILTER (WHERE n <= 2) AS two_{p}, AVG({p} / s) FILTER (WHERE n <= 3) AS three_{p}, AVG({p}) AS five_{p}" for p in _SHOWN)
+_RULES = [
+    ("'same_day'", "route = 'christmas' AND same_n > 0 AND strftime(FECHA, '%m-%d') IN ('12-25', '01-01')", "two_{p} * total2"), ("'christmas_history'", "route = 'christmas' AND same_n > 0", "three_{p} * (" + _BLEND + ")"),
+    ("'flat'", "route = 'christmas'", "COALESCE(recent_all, g_total) / 24"), ("'same_day'", "route = 'holiday' AND same_n > 0", "five_{p}"), ("'holiday_month'", "route = 'holiday' AND hol_total IS NOT NULL", "hol_{p} * hol_total"),
+    ("'flat'", "route = 'holiday'", "g_total / 24"), ("'tier_' || tier", "TRUE", "tier_{p}"),
+]
+_case = lambda value: "CASE " + " ".join(f"WHEN {cond} THEN {value(name, v)}" for name, cond, v in _RULES) + " END"
+_FAR = "SELECT t.UCP, t.FECHA, {tier} AS tier, d.tot, {cols} FROM t JOIN hist d ON d.UCP = t.UCP AND {cond}"
+_OF_DAY = [*[f"NOT d.hol AND isodow(d.FECHA) = isodow(t.FECHA) AND d.FECHA < t.FECHA AND {c.replace('FECHA', 't.FECHA').replace('month(h)', 'month(d.FECHA)').replace('h >=', 'd.FECHA >=').replace("', h)", "', d.FECHA)")}" for c in _TIERS], "NOT d.hol AND d.FECHA >= t.FECHA - INTERVAL 2 YEAR", "d.FECHA >= t.FECHA - INTERVAL 2 YEAR"]
+_TIER_ROWS = " UNION ALL ".join([*[_FAR.format(tier=n + 1, cols=", ".join(f"d.{p}" for p in _SHOWN), cond=c) for n, c in enumerate(_OF_DAY)], _FAR.format(tier=7, cols=", ".join(f"d.tot / 24 AS {p}" for p in _SHOWN), cond="TRUE")])
+_CURVE = f"""WITH t AS (SELECT t.UCP, t.FECHA, CASE WHEN {_CHRISTMAS.replace('FECHA', 't.FECHA')} THEN 'christmas' WHEN h.FECHA IS NOT NULL THEN 'holiday' ELSE 'normal' END AS route FROM ({_T}) t LEFT JOIN holidays h ON h.UCP = t.UCP AND h.FECHA = t.FECHA),
+hist AS (SELECT d.UCP, d.FECHA, d.TOTAL AS tot, {' + '.join(HOURS)} AS s, {', '.join(_SHOWN)}, h.FECHA IS NOT NULL AS hol FROM demand_hours d LEFT JOIN holidays h ON h.UCP = d.UCP AND h.FECHA = d.FECHA),
+same AS (SELECT UCP, FECHA, COUNT(*) AS same_n, AVG(tot) FILTER (WHERE n <= 2) AS total2, AVG(tot) FILTER (WHERE n <= 3) AS total3, {_SAME_AGG} FROM (SELECT t.UCP, t.FECHA, d.tot, d.s, {', '.join('d.' + p for p in _SHOWN)}, ROW_NUMBER() OVER (PARTITION BY t.UCP, t.FECHA ORDER BY d.FECHA DESC) AS n FROM t JOIN hist d ON d.UCP = t.UCP AND strftime(d.FECHA, '%m-%d') = strftime(t.FECHA, '%m-%d') AND d.FECHA < t.FECHA) WHERE n <= 5 GROUP BY 1, 2),
+recent AS (SELECT t.UCP, t.FECHA, AVG(d.tot) FILTER (WHERE isodow(d.FECHA) = isodow(t.FECHA)) AS recent_dow, AVG(d.tot) AS recent_all FROM t JOIN hist d ON d.UCP = t.UCP AND NOT d.hol AND d.FECHA < t.FECHA AND d.FECHA >= t.FECHA - 60 GROUP BY 1, 2),
+tiers AS (SELECT UCP, FECHA, tier, {', '.join(f'AVG({p}) AS tier_{p}' for p in _SHOWN)} FROM ({_TIER_ROWS}) GROUP BY 1, 2, 3 QUALIFY ROW_NUMBER() OVER (PARTITION BY UCP, FECHA ORDER BY tier) = 1),
+months AS (SELECT UCP, month(FECHA) AS m, AVG(tot) AS hol_total, {', '.join(f'AVG({p} / s) AS hol_{p}' for p in _SHOWN)} FROM hist WHERE hol GROUP BY 1, 2),
+overall AS (SELECT UCP, AVG(tot) AS g_total FROM hist GROUP BY 1)
+SELECT UCP, FECHA, route, {_case(lambda name, v: name)} AS source, {', '.join(f'{_case(lambda name, v: v.format(p=p))} AS {p}' for p in _SHOWN)}
+FROM t LEFT JOIN same USING (UCP, FECHA) LEFT JOIN recent USING (UCP, FECHA) LEFT JOIN tiers USING (UCP, FECHA) JOIN overall USING (UCP) LEFT JOIN (SELECT UCP AS mu, * EXCLUDE (UCP) FROM months) ON mu = UCP AND m = month(FECHA)"""
+
+
+@R.add("curve_base", "UCP, FECHA:s, route, source, P1:r, P12:r, P24:r", with_tables(_CURVE, "demand_hours", "holidays"))
 def curve_base(spark, sf):
     d, hol, _, _ = _curve_inputs(spark, sf)
     return B.base_curves(d, "2000-11-20", "2001-01-20", hol, KEYS)
