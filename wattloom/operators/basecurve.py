@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.calendar import holiday_flags, is_christmas, mmdd
 from wattloom.functions.expressions import array_sum, hours_array, mean_profile, normalised, row_sum, scaled, wide
 from wattloom.schema import HOURS
+from wattloom.session import stored
 
 #: How many same days count, weights and factors of the Christmas blend.
 SAME_DAY_CHRISTMAS, SAME_DAY_VERY_SPECIAL, SAME_DAY_HOLIDAY, RECENT_DAYS = 3, 2, 5, 60
@@ -112,9 +113,10 @@ def holiday_fallback(h: DataFrame, keys: list[str]) -> DataFrame:
 
 def base_curves(df: DataFrame, start: str, end: str, holidays: DataFrame, keys: list[str], model=None) -> DataFrame:
     """(keys, FECHA, route, source, curve, P1..P24): 24 values for every day of the range.  `model` is a fitted
-    HourlyModel or None; `source` names the rule that gave the curve."""
-    h = history_of(df, holidays, keys)
-    t = targets(df, start, end, holidays, keys)
+    HourlyModel or None; `source` names the rule that gave the curve.  History and targets are written once, as seven
+    lookups read them: each reads the columns it needs, and the plan doesn't hold the history's own seven times."""
+    h = stored(history_of(df, holidays, keys), "history")
+    t = stored(targets(h, start, end, holidays, keys), "targets")
     overall = h.groupBy(*keys).agg(F.avg("h_total").alias("g_total"))
     d = t.join(same_day_stats(t.where("route <> 'normal'"), h, keys), [*keys, "FECHA"], "left").join(recent_stats(t.where("route = 'christmas'"), h, keys), [*keys, "FECHA"], "left")
     d = d.join(normal_tiers(t.where("route = 'normal'"), h, keys), [*keys, "FECHA"], "left").join(overall, keys, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattloom import fixtures as X
 from wattloom.fixtures import KEYS, with_tables
 from wattloom.functions.calendar import calendar_features, classify_days, cyclic_features, season_features
+from wattloom.operators import blocked as BL
 from wattloom.operators import cleaning as C
 from wattloom.operators import features as E
 from wattloom.plans.shape import Registry
@@ -246,6 +247,25 @@ def features_rolling(spark, sf):
     return E.rolling_stats(X.demand(spark, sf), KEYS)
 
 
+_GAPS = "SELECT d.UCP, d.FECHA, w.temp_mean, w.rain_sum FROM demand d LEFT JOIN weather w ON w.UCP = d.UCP AND w.FECHA = d.FECHA"
+
+
+def _weather_gaps(spark, sf):
+    """Weather by demand day, null on days without a reading."""
+    return X.demand(spark, sf).select("UCP", "FECHA").join(_weather(spark, sf).select("UCP", "FECHA", "temp_mean", "rain_sum"), [*KEYS, "FECHA"], "left")
+
+
+@R.add("features_fill_forward_blocks", "UCP, FECHA:s, temp_mean:r, rain_sum:r", with_tables("SELECT UCP, FECHA, " + ", ".join(f"COALESCE(LAST_VALUE({c} IGNORE NULLS) OVER (PARTITION BY UCP ORDER BY FECHA ROWS UNBOUNDED PRECEDING), 0) AS {c}" for c in ("temp_mean", "rain_sum")) + f" FROM ({_GAPS})", "demand", "weather"))
+def features_fill_forward_blocks(spark, sf):
+    """The last known value by key and month, so that a key isn't one task."""
+    return BL.fill_forward(_weather_gaps(spark, sf), KEYS, ["temp_mean", "rain_sum"])
+
+
+@R.add("features_day_change_blocks", "UCP, FECHA:s, temp_mean_day_change:r, temp_mean_day_change_pct:r", with_tables(f"SELECT UCP, FECHA, temp_mean - LAG(temp_mean) OVER w AS temp_mean_day_change, CASE WHEN before <> 0 THEN (COALESCE(temp_mean, before) - before) * 100.0 / before END AS temp_mean_day_change_pct FROM (SELECT *, LAST_VALUE(temp_mean IGNORE NULLS) OVER (PARTITION BY UCP ORDER BY FECHA ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_GAPS})) WINDOW w AS (PARTITION BY UCP ORDER BY FECHA)", "demand", "weather"))
+def features_day_change_blocks(spark, sf):
+    return BL.day_change(_weather_gaps(spark, sf), KEYS, "temp_mean")
+
+
 @R.add("features_weather", "UCP, FECHA:s, temp_lag1d:r, humidity_lag1d:r, wind_speed_lag1d:r, rain_lag1d:r, temp_x_is_weekend:r, temp_x_is_festivo:r, humidity_x_is_weekend:r, is_rainy_day:i, dayofweek_x_festivo:i, month_x_festivo:i, weekend_x_month:i", with_tables(f"""SELECT d.UCP, d.FECHA, LAG(temp_mean) OVER w AS temp_lag1d, LAG(humidity_mean) OVER w AS humidity_lag1d, LAG(wind_speed_mean) OVER w AS wind_speed_lag1d, LAG(rain_mean) OVER w AS rain_lag1d, temp_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS temp_x_is_weekend, temp_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS temp_x_is_festivo, humidity_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS humidity_x_is_weekend, COALESCE(rain_sum > 1, FALSE) AS is_rainy_day, (isodow(d.FECHA) - 1) * CAST(isodow(d.FECHA) > 5 AS INT) AS dayofweek_x_festivo, month(d.FECHA) * CAST(isodow(d.FECHA) > 5 AS INT) AS month_x_festivo, month(d.FECHA) * CAST(isodow(d.FECHA) > 5 AS INT) AS weekend_x_month FROM demand d LEFT JOIN weather t ON t.UCP = d.UCP AND t.FECHA = d.FECHA WINDOW w AS (PARTITION BY d.UCP ORDER BY d.FECHA)""", "demand", "weather"))
 def features_weather(spark, sf):
     return E.interaction_features(E.weather_features(calendar_features(_daily(spark, sf)), _weather(spark, sf), KEYS))

@@ -10,6 +10,7 @@ from wattloom import fixtures as X
 from wattloom.fixtures import KEYS, recursive_with_tables, with_tables
 from wattloom.functions.expressions import hours_array
 from wattloom.operators import basecurve as B
+from wattloom.operators import blocked as BL
 from wattloom.operators import cleaning as C
 from wattloom.operators import features as E
 from wattloom.operators import forecast as F_
@@ -276,12 +277,22 @@ def forecast_horizon(spark, sf):
     return F_.horizon(X.demand(spark, sf), 30, KEYS)
 
 
-@R.add("forecast_as_of", "UCP, FECHA:s, at:s, TOTAL:r", with_tables("SELECT t.UCP, t.FECHA, t.at, COALESCE(d.TOTAL, f.first, 0) AS TOTAL FROM (SELECT UCP, FECHA, FECHA - 400 AS at FROM demand) t ASOF LEFT JOIN demand d ON d.UCP = t.UCP AND d.FECHA <= t.at LEFT JOIN (SELECT UCP, ARG_MIN(TOTAL, FECHA) AS first FROM demand GROUP BY 1) f ON f.UCP = t.UCP", "demand"))
+_AS_OF = with_tables("SELECT t.UCP, t.FECHA, t.at, COALESCE(d.TOTAL, f.first, 0) AS TOTAL FROM (SELECT UCP, FECHA, FECHA - 400 AS at FROM demand) t ASOF LEFT JOIN demand d ON d.UCP = t.UCP AND d.FECHA <= t.at LEFT JOIN (SELECT UCP, ARG_MIN(TOTAL, FECHA) AS first FROM demand GROUP BY 1) f ON f.UCP = t.UCP", "demand")
+
+
+@R.add("forecast_as_of", "UCP, FECHA:s, at:s, TOTAL:r", _AS_OF)
 def forecast_as_of(spark, sf):
     d = X.demand(spark, sf)
     return F_.as_of(d.select("UCP", "FECHA", F.date_sub("FECHA", 400).alias("at")), d, KEYS, "at", ["TOTAL"])
 
 
+@R.add("forecast_as_of_blocks", "UCP, FECHA:s, at:s, TOTAL:r", _AS_OF)
+def forecast_as_of_blocks(spark, sf):
+    """The same by key and month."""
+    d = X.demand(spark, sf)
+    return BL.as_of(d.select("UCP", "FECHA", F.date_sub("FECHA", 400).alias("at")), d, KEYS, "at", ["TOTAL"])
+
+
 _TIER = "CASE WHEN n{n}a >= {m} THEN {s}{n}a WHEN n{n}b >= 3 THEN {s}{n}b ELSE {s}{n}c END"
 _ANCHOR = "SELECT UCP, " + ", ".join(f"COUNT(*) FILTER (WHERE {c}) AS n{n}{t}, " + ", ".join(f"{f}(TOTAL) FILTER (WHERE {c}) AS {s}{n}{t}" for s, f in (("mean", "AVG"), ("std", "STDDEV_POP"), ("min", "MIN"), ("max", "MAX"))) for n in (7, 14, 28) for t, c in (("a", f"ago < {n} AND ok"), ("b", f"ago < {2 * n} AND ok"), ("c", f"ago < {n}"))) + f" FROM (SELECT *, e - FECHA AS ago, NOT {_CHRISTMAS} AS ok FROM (SELECT *, MAX(FECHA) OVER (PARTITION BY UCP) AS e FROM demand WHERE FECHA <= DATE '2000-01-08')) GROUP BY UCP"
 
@@ -465,8 +476,8 @@ FROM t LEFT JOIN same USING (UCP, FECHA) LEFT JOIN recent USING (UCP, FECHA) LEF
 
 @R.add("curve_base", "UCP, FECHA:s, route, source, P1:r, P12:r, P24:r", with_tables(_CURVE, "demand_hours", "holidays"))
 def curve_base(spark, sf):
-    d, hol, _, _ = _curve_inputs(spark, sf)
-    return B.base_curves(d, "2000-11-20", "2001-01-20", hol, KEYS)
+    d = X.demand_hours(spark, sf)
+    return B.base_curves(d, "2000-11-20", "2001-01-20", X.holidays(d), KEYS)
 
 
 @R.add("curve_base_profiles", "UCP, FECHA:s, route, source, P1:r, P12:r, P24:r")
