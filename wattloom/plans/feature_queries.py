@@ -211,7 +211,10 @@ def next_start(spark, sf):
 _CAL = "year:i, month:i, day:i, dayofweek:i, dayofyear:i, week:i, quarter:i, is_weekend:i, is_saturday:i, is_sunday:i, is_month_start:i, is_month_end:i, is_quarter_start:i, is_quarter_end:i, is_festivo:i"
 
 
-@R.add("features_calendar", f"UCP, FECHA:s, {_CAL}, dayofweek_sin:r, dayofweek_cos:r, month_sin:r, month_cos:r, dayofyear_sin:r, dayofyear_cos:r", with_tables(f"""SELECT UCP, FECHA, year(FECHA) AS year, month(FECHA) AS month, day(FECHA) AS day, isodow(FECHA) - 1 AS dayofweek, dayofyear(FECHA) AS dayofyear, week(FECHA) AS week, quarter(FECHA) AS quarter, isodow(FECHA) > 5 AS is_weekend, isodow(FECHA) = 6 AS is_saturday, isodow(FECHA) = 7 AS is_sunday, day(FECHA) = 1 AS is_month_start, FECHA = last_day(FECHA) AS is_month_end, FECHA = date_trunc('quarter', FECHA) AS is_quarter_start, FECHA + 1 = date_trunc('quarter', FECHA + 1) AS is_quarter_end, {_FEST} AS is_festivo, sin(2 * pi() * (isodow(FECHA) - 1) / 7) AS dayofweek_sin, cos(2 * pi() * (isodow(FECHA) - 1) / 7) AS dayofweek_cos, sin(2 * pi() * month(FECHA) / 12) AS month_sin, cos(2 * pi() * month(FECHA) / 12) AS month_cos, sin(2 * pi() * dayofyear(FECHA) / 365) AS dayofyear_sin, cos(2 * pi() * dayofyear(FECHA) / 365) AS dayofyear_cos FROM demand""", "demand"))
+_CAL_SQL = with_tables(f"""SELECT UCP, FECHA, year(FECHA) AS year, month(FECHA) AS month, day(FECHA) AS day, isodow(FECHA) - 1 AS dayofweek, dayofyear(FECHA) AS dayofyear, week(FECHA) AS week, quarter(FECHA) AS quarter, isodow(FECHA) > 5 AS is_weekend, isodow(FECHA) = 6 AS is_saturday, isodow(FECHA) = 7 AS is_sunday, day(FECHA) = 1 AS is_month_start, FECHA = last_day(FECHA) AS is_month_end, FECHA = date_trunc('quarter', FECHA) AS is_quarter_start, FECHA + 1 = date_trunc('quarter', FECHA + 1) AS is_quarter_end, {_FEST} AS is_festivo, sin(2 * pi() * (isodow(FECHA) - 1) / 7) AS dayofweek_sin, cos(2 * pi() * (isodow(FECHA) - 1) / 7) AS dayofweek_cos, sin(2 * pi() * month(FECHA) / 12) AS month_sin, cos(2 * pi() * month(FECHA) / 12) AS month_cos, sin(2 * pi() * dayofyear(FECHA) / 365) AS dayofyear_sin, cos(2 * pi() * dayofyear(FECHA) / 365) AS dayofyear_cos FROM demand""", "demand")
+
+
+@R.add("features_calendar", f"UCP, FECHA:s, {_CAL}, dayofweek_sin:r, dayofweek_cos:r, month_sin:r, month_cos:r, dayofyear_sin:r, dayofyear_cos:r", _CAL_SQL)
 def features_calendar(spark, sf):
     return cyclic_features(calendar_features(_daily(spark, sf)))
 
@@ -221,7 +224,10 @@ def features_calendar_serving(spark, sf):
     return cyclic_features(calendar_features(X.demand(spark, sf), festivo=F.lit(False)), mode="serve")
 
 
-@R.add("features_season", "UCP, FECHA:s, season, is_rainy_season:i, is_january:i, is_december:i, week_of_month:i, is_christmas_season:i, is_post_season:i, is_high_season:i, days_since_holiday:i", with_tables(f"""SELECT UCP, FECHA, CASE WHEN month(FECHA) IN (4,5,10,11) THEN 'rainy' ELSE 'dry' END AS season, month(FECHA) IN (4,5,10,11) AS is_rainy_season, month(FECHA) = 1 AS is_january, month(FECHA) = 12 AS is_december, (day(FECHA) - 1) // 7 + 1 AS week_of_month, {_CHRISTMAS} AS is_christmas_season, month(FECHA) = 1 AND day(FECHA) BETWEEN 7 AND 15 AS is_post_season, NOT {_CHRISTMAS} AS is_high_season, LEAST(30, COALESCE(rn - MAX(CASE WHEN {_FEST} THEN rn END) OVER (PARTITION BY UCP ORDER BY FECHA), 30)) AS days_since_holiday FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY UCP ORDER BY FECHA) AS rn FROM demand)""", "demand"))
+_SEASON_SQL = with_tables(f"""SELECT UCP, FECHA, CASE WHEN month(FECHA) IN (4,5,10,11) THEN 'rainy' ELSE 'dry' END AS season, month(FECHA) IN (4,5,10,11) AS is_rainy_season, month(FECHA) = 1 AS is_january, month(FECHA) = 12 AS is_december, (day(FECHA) - 1) // 7 + 1 AS week_of_month, {_CHRISTMAS} AS is_christmas_season, month(FECHA) = 1 AND day(FECHA) BETWEEN 7 AND 15 AS is_post_season, NOT {_CHRISTMAS} AS is_high_season, LEAST(30, COALESCE(rn - MAX(CASE WHEN {_FEST} THEN rn END) OVER (PARTITION BY UCP ORDER BY FECHA), 30)) AS days_since_holiday FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY UCP ORDER BY FECHA) AS rn FROM demand)""", "demand")
+
+
+@R.add("features_season", "UCP, FECHA:s, season, is_rainy_season:i, is_january:i, is_december:i, week_of_month:i, is_christmas_season:i, is_post_season:i, is_high_season:i, days_since_holiday:i", _SEASON_SQL)
 def features_season(spark, sf):
     return E.days_since_holiday(season_features(calendar_features(_daily(spark, sf))), KEYS)
 
@@ -234,7 +240,10 @@ def features_lags(spark, sf):
     return d
 
 
-@R.add("features_annual_lags", "UCP, FECHA:s, total_lag_1y:r, total_lag_2y:r, total_lag_3y:r", with_tables("WITH y AS (SELECT d.UCP, d.FECHA, strftime(d.FECHA, '%m-%d') AS md, a.TOTAL AS y1, b.TOTAL AS y2, c.TOTAL AS y3, d.TOTAL AS t FROM demand d LEFT JOIN demand a ON a.UCP = d.UCP AND a.FECHA = d.FECHA - INTERVAL 1 YEAR LEFT JOIN demand b ON b.UCP = d.UCP AND b.FECHA = d.FECHA - INTERVAL 2 YEAR LEFT JOIN demand c ON c.UCP = d.UCP AND c.FECHA = d.FECHA - INTERVAL 3 YEAR) SELECT UCP, FECHA, " + ", ".join(f"COALESCE(y{n}, AVG(y{n}) OVER (PARTITION BY UCP, md), AVG(t) OVER (PARTITION BY UCP)) AS total_lag_{n}y" for n in (1, 2, 3)) + " FROM y", "demand"))
+_ANNUAL_SQL = with_tables("WITH y AS (SELECT d.UCP, d.FECHA, strftime(d.FECHA, '%m-%d') AS md, a.TOTAL AS y1, b.TOTAL AS y2, c.TOTAL AS y3, d.TOTAL AS t FROM demand d LEFT JOIN demand a ON a.UCP = d.UCP AND a.FECHA = d.FECHA - INTERVAL 1 YEAR LEFT JOIN demand b ON b.UCP = d.UCP AND b.FECHA = d.FECHA - INTERVAL 2 YEAR LEFT JOIN demand c ON c.UCP = d.UCP AND c.FECHA = d.FECHA - INTERVAL 3 YEAR) SELECT UCP, FECHA, " + ", ".join(f"COALESCE(y{n}, AVG(y{n}) OVER (PARTITION BY UCP, md), AVG(t) OVER (PARTITION BY UCP)) AS total_lag_{n}y" for n in (1, 2, 3)) + " FROM y", "demand")
+
+
+@R.add("features_annual_lags", "UCP, FECHA:s, total_lag_1y:r, total_lag_2y:r, total_lag_3y:r", _ANNUAL_SQL)
 def features_annual_lags(spark, sf):
     return E.annual_lags(X.demand(spark, sf), KEYS)
 
@@ -242,7 +251,10 @@ def features_annual_lags(spark, sf):
 _ROLL = [(w, n, f) for w in (7, 14, 28) for n, f in (("mean", "AVG"), ("std", "STDDEV_SAMP"), ("min", "MIN"), ("max", "MAX"))]
 
 
-@R.add("features_rolling", "UCP, FECHA:s, " + ", ".join(f"total_rolling_{n}_{w}d:r" for w, n, _ in _ROLL), with_tables(f"WITH c AS (SELECT *, CASE WHEN NOT {_CHRISTMAS} THEN TOTAL END AS x FROM demand) SELECT UCP, FECHA, " + ", ".join(f"COALESCE(CASE WHEN COUNT(x) OVER w{w} >= {max(1, w // 2)} THEN {f}(x) OVER w{w} END, {f}(TOTAL) OVER w{w}) AS total_rolling_{n}_{w}d" for w, n, f in _ROLL) + " FROM c WINDOW " + ", ".join(f"w{w} AS (PARTITION BY UCP ORDER BY FECHA ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (7, 14, 28)), "demand"))
+_ROLL_SQL = with_tables(f"WITH c AS (SELECT *, CASE WHEN NOT {_CHRISTMAS} THEN TOTAL END AS x FROM demand) SELECT UCP, FECHA, " + ", ".join(f"COALESCE(CASE WHEN COUNT(x) OVER w{w} >= {max(1, w // 2)} THEN {f}(x) OVER w{w} END, {f}(TOTAL) OVER w{w}) AS total_rolling_{n}_{w}d" for w, n, f in _ROLL) + " FROM c WINDOW " + ", ".join(f"w{w} AS (PARTITION BY UCP ORDER BY FECHA ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (7, 14, 28)), "demand")
+
+
+@R.add("features_rolling", "UCP, FECHA:s, " + ", ".join(f"total_rolling_{n}_{w}d:r" for w, n, _ in _ROLL), _ROLL_SQL)
 def features_rolling(spark, sf):
     return E.rolling_stats(X.demand(spark, sf), KEYS)
 
@@ -266,7 +278,10 @@ def features_day_change_blocks(spark, sf):
     return BL.day_change(_weather_gaps(spark, sf), KEYS, "temp_mean")
 
 
-@R.add("features_weather", "UCP, FECHA:s, temp_lag1d:r, humidity_lag1d:r, wind_speed_lag1d:r, rain_lag1d:r, temp_x_is_weekend:r, temp_x_is_festivo:r, humidity_x_is_weekend:r, is_rainy_day:i, dayofweek_x_festivo:i, month_x_festivo:i, weekend_x_month:i", with_tables(f"""SELECT d.UCP, d.FECHA, LAG(temp_mean) OVER w AS temp_lag1d, LAG(humidity_mean) OVER w AS humidity_lag1d, LAG(wind_speed_mean) OVER w AS wind_speed_lag1d, LAG(rain_mean) OVER w AS rain_lag1d, temp_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS temp_x_is_weekend, temp_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS temp_x_is_festivo, humidity_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS humidity_x_is_weekend, COALESCE(rain_sum > 1, FALSE) AS is_rainy_day, (isodow(d.FECHA) - 1) * CAST(isodow(d.FECHA) > 5 AS INT) AS dayofweek_x_festivo, month(d.FECHA) * CAST(isodow(d.FECHA) > 5 AS INT) AS month_x_festivo, month(d.FECHA) * CAST(isodow(d.FECHA) > 5 AS INT) AS weekend_x_month FROM demand d LEFT JOIN weather t ON t.UCP = d.UCP AND t.FECHA = d.FECHA WINDOW w AS (PARTITION BY d.UCP ORDER BY d.FECHA)""", "demand", "weather"))
+_WEATHER_SQL = with_tables(f"""SELECT d.UCP, d.FECHA, LAG(temp_mean) OVER w AS temp_lag1d, LAG(humidity_mean) OVER w AS humidity_lag1d, LAG(wind_speed_mean) OVER w AS wind_speed_lag1d, LAG(rain_mean) OVER w AS rain_lag1d, temp_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS temp_x_is_weekend, temp_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS temp_x_is_festivo, humidity_mean * CAST(isodow(d.FECHA) > 5 AS INT) AS humidity_x_is_weekend, COALESCE(rain_sum > 1, FALSE) AS is_rainy_day, (isodow(d.FECHA) - 1) * CAST(isodow(d.FECHA) > 5 AS INT) AS dayofweek_x_festivo, month(d.FECHA) * CAST(isodow(d.FECHA) > 5 AS INT) AS month_x_festivo, month(d.FECHA) * CAST(isodow(d.FECHA) > 5 AS INT) AS weekend_x_month FROM demand d LEFT JOIN weather t ON t.UCP = d.UCP AND t.FECHA = d.FECHA WINDOW w AS (PARTITION BY d.UCP ORDER BY d.FECHA)""", "demand", "weather")
+
+
+@R.add("features_weather", "UCP, FECHA:s, temp_lag1d:r, humidity_lag1d:r, wind_speed_lag1d:r, rain_lag1d:r, temp_x_is_weekend:r, temp_x_is_festivo:r, humidity_x_is_weekend:r, is_rainy_day:i, dayofweek_x_festivo:i, month_x_festivo:i, weekend_x_month:i", _WEATHER_SQL)
 def features_weather(spark, sf):
     return E.interaction_features(E.weather_features(calendar_features(_daily(spark, sf)), _weather(spark, sf), KEYS))
 
@@ -278,19 +293,31 @@ def features_train(spark, sf):
     return f.groupBy("UCP", "year", "month").agg(F.count(F.lit(1)).alias("days"), F.avg("total_lag_7d").alias("lag_7"), F.avg("total_rolling_mean_7d").alias("rolling_7"), F.avg("total_rolling_std_28d").alias("rolling_std_28"), F.sum("is_festivo").alias("festivos"), F.avg("temp_lag1d").alias("temp_lag"))
 
 
-@R.add("features_full", "UCP, FECHA:s, " + ", ".join(f"{c}:r" for c in ("total_lag_1d", "total_lag_1y", "total_rolling_mean_14d", "days_since_holiday", "temp_x_is_weekend", "weekend_x_month")))
+#: All 68 training features: the five queries above side by side, lags of the total and the peak hours, then filled forward.
+_LAG_SQL = with_tables("SELECT UCP, FECHA, " + ", ".join(f"LAG({v}, {n}) OVER w AS {v.lower()}_lag_{n}d" for v, lags in (("TOTAL", E.LAGS), *[(p, E.PEAK_LAGS) for p in E.PEAK_HOURS]) for n in lags) + ", TOTAL - LAG(TOTAL) OVER w AS total_day_change, (TOTAL - LAG(TOTAL) OVER w) * 100.0 / NULLIF(LAG(TOTAL) OVER w, 0) AS total_day_change_pct FROM demand_hours WINDOW w AS (PARTITION BY UCP ORDER BY FECHA)", "demand_hours")
+_names = lambda spec: [x.split(":")[0].strip() for x in spec.split(",")]
+_FEATURES = [
+    *_names(_CAL), *[f"{x}_{f}" for x in ("dayofweek", "month", "dayofyear") for f in ("sin", "cos")], "is_rainy_season", "is_january", "is_december", "week_of_month", "is_christmas_season", "is_post_season", "is_high_season", "days_since_holiday",
+    *[f"{v.lower()}_lag_{n}d" for v, lags in (("TOTAL", E.LAGS), *[(p, E.PEAK_LAGS) for p in E.PEAK_HOURS]) for n in lags], "total_day_change", "total_day_change_pct", *[f"total_rolling_{n}_{w}d" for w, n, _ in _ROLL], *[f"total_lag_{n}y" for n in E.YEARS],
+    *E.WEATHER_LAGS.values(), "temp_x_is_weekend", "temp_x_is_festivo", "humidity_x_is_weekend", "is_rainy_day", "dayofweek_x_festivo", "month_x_festivo", "weekend_x_month",
+]
+_FULL = "SELECT UCP, FECHA, " + ", ".join(f"COALESCE(LAST_VALUE(CAST({c} AS DOUBLE) IGNORE NULLS) OVER (PARTITION BY UCP ORDER BY FECHA ROWS UNBOUNDED PRECEDING), 0) AS {c}" for c in _FEATURES) + f" FROM ({_CAL_SQL}) c " + " ".join(f"JOIN ({x}) USING (UCP, FECHA)" for x in (_SEASON_SQL, _LAG_SQL, _ROLL_SQL, _ANNUAL_SQL, _WEATHER_SQL))
+_OF = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(c, '{x}')" for x in E.GROUPS[g]) + f" THEN '{g}'" for g in ("interaction", "weather", "demand", "season")) + " ELSE 'calendar' END"
+
+
+@R.add("features_full", "UCP, FECHA:s, " + ", ".join(f"{c}:r" for c in _FEATURES), _FULL)
 def features_full(spark, sf):
     return E.build_features(_daily(spark, sf), _weather(spark, sf), KEYS)
 
 
-@R.add("features_counts", "group, features:i, nulls:i")
+@R.add("features_counts", "group, features:i, nulls:i", f"""SELECT {_OF} AS "group", COUNT(DISTINCT c) AS features, COUNT(*) FILTER (WHERE v IS NULL) AS nulls FROM ({_FULL}) UNPIVOT INCLUDE NULLS (v FOR c IN ({', '.join(_FEATURES)})) GROUP BY 1""")
 def features_counts(spark, sf):
     d = _daily(spark, sf)
     f = E.build_features(d, _weather(spark, sf), KEYS)
     return E.feature_counts(f, E.feature_names(f, d.columns))
 
 
-@R.add("features_model_input", "UCP, FECHA:s, TOTAL:r, total_lag_1y:r, temp_lag1d:r, columns:i")
+@R.add("features_model_input", "UCP, FECHA:s, TOTAL:r, total_lag_1y:r, temp_lag1d:r, columns:i", with_tables(f"SELECT f.UCP, f.FECHA, d.TOTAL, f.total_lag_1y, f.temp_lag1d, {len([c for c in _FEATURES if c not in E.DIRECT_LAGS])} AS columns FROM ({_FULL}) f JOIN demand d USING (UCP, FECHA)", "demand"))
 def features_model_input(spark, sf):
     """Without direct lags, nulls as column means."""
     d = _daily(spark, sf)
