@@ -362,12 +362,28 @@ def _serving(spark, sf, n=30):
     return F_.serving_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), X.holidays(d), KEYS, n)
 
 
-@R.add("forecast_serving_features", "UCP, FECHA:s, total_lag_1d:r, total_lag_7d:r, p8_lag_7d:r, total_lag_1y:r, total_rolling_mean_7d:r, total_day_change:r, temp_lag1d:r, days_since_holiday:i, is_festivo:i")
+_ASKS = {**{f"b{n}": f"FECHA - {n}" for n in (1, 7, 14)}, **{f"y{n}": f"CAST(FECHA - INTERVAL {n} YEAR AS DATE)" for n in (1, 2, 3)}, **{f"d{n}": f"FECHA - {365 * n}" for n in (1, 2, 3)}}
+_MEANS = {n: _TIER.format(n=n, m=max(3, n // 2), s="mean") for n in (7, 14, 28)}
+_SERVED = f"""WITH h AS (SELECT UCP, FECHA, {', '.join(f'{at} AS at_{k}' for k, at in _ASKS.items())} FROM (SELECT UCP, e + CAST(k AS INT) AS FECHA FROM (SELECT UCP, MAX(FECHA) AS e FROM demand GROUP BY 1), (SELECT UNNEST(range(1, 31)) AS k))),
+firsts AS (SELECT UCP, ARG_MIN(TOTAL, FECHA) AS total, ARG_MIN(P8, FECHA) AS p8, ARG_MAX(TOTAL, FECHA) AS latest FROM demand_hours GROUP BY 1),
+lags AS (SELECT h.UCP, h.FECHA, {', '.join(f'COALESCE({k}.TOTAL, f.total, 0) AS {k}' for k in _ASKS)}, COALESCE(b7.P8, f.p8, 0) AS p8_b7, f.latest FROM h LEFT JOIN firsts f ON f.UCP = h.UCP {' '.join(f'ASOF LEFT JOIN demand_hours {k} ON {k}.UCP = h.UCP AND {k}.FECHA <= h.at_{k}' for k in _ASKS)}),
+same AS (SELECT h.UCP, h.FECHA, AVG(d.TOTAL) AS same_day_mean FROM h JOIN demand d ON d.UCP = h.UCP AND strftime(d.FECHA, '%m-%d') = strftime(h.FECHA, '%m-%d') AND d.FECHA < h.FECHA GROUP BY 1, 2),
+anchor AS ({_ANCHOR.replace(" WHERE FECHA <= DATE '2000-01-08'", "")}), off AS (SELECT d.UCP, MAX(d.FECHA) AS last_off FROM demand d JOIN holidays x ON x.UCP = d.UCP AND x.FECHA = d.FECHA GROUP BY 1),
+normals AS (SELECT UCP, month(FECHA) AS m, AVG(temp_mean) AS t FROM weather GROUP BY 1, 2)
+SELECT l.UCP, l.FECHA, b1 AS total_lag_1d, b7 AS total_lag_7d, b14 AS total_lag_14d, p8_b7 AS p8_lag_7d, {', '.join(f'CASE WHEN y{n} <> 0 THEN y{n} ELSE COALESCE(same_day_mean, NULLIF(d{n}, 0), b1) END AS total_lag_{n}y' for n in (1, 2, 3))},
+COALESCE({_MEANS[7]}, latest) AS total_rolling_mean_7d, COALESCE({_MEANS[28]}, {_MEANS[14]}, {_MEANS[7]}, latest) AS total_rolling_mean_28d, b1 - b7 AS total_day_change, CASE WHEN b7 <> 0 THEN (b1 - b7) * 100.0 / b7 ELSE 0 END AS total_day_change_pct, COALESCE(w.temp_mean, NULLIF(n.t, 0), 22.0) AS temp_lag1d,
+LEAST(30, COALESCE(l.FECHA - last_off, 30)) AS days_since_holiday, x.FECHA IS NOT NULL AS is_festivo
+FROM lags l LEFT JOIN same s ON s.UCP = l.UCP AND s.FECHA = l.FECHA LEFT JOIN anchor a ON a.UCP = l.UCP LEFT JOIN off o ON o.UCP = l.UCP LEFT JOIN weather w ON w.UCP = l.UCP AND w.FECHA = l.FECHA LEFT JOIN normals n ON n.UCP = l.UCP AND n.m = month(l.FECHA) LEFT JOIN holidays x ON x.UCP = l.UCP AND x.FECHA = l.FECHA"""
+_SERVED_TABLES = ("demand_hours", "weather", "holidays")
+_WEIGHT = f"CASE WHEN strftime(FECHA, '%m-%d') IN ({', '.join(repr(x) for x in F_.VERY_SPECIAL)}) THEN 0.7 WHEN is_festivo OR ({_CHRISTMAS} AND isodow(FECHA) > 5) THEN 0.6 END"
+
+
+@R.add("forecast_serving_features", "UCP, FECHA:s, total_lag_1d:r, total_lag_7d:r, total_lag_14d:r, p8_lag_7d:r, total_lag_1y:r, total_lag_2y:r, total_lag_3y:r, total_rolling_mean_7d:r, total_rolling_mean_28d:r, total_day_change:r, total_day_change_pct:r, temp_lag1d:r, days_since_holiday:i, is_festivo:i", with_tables(_SERVED, *_SERVED_TABLES))
 def forecast_serving_features(spark, sf):
     return _serving(spark, sf)
 
 
-@R.add("forecast_direct", "UCP, FECHA:s, demanda_predicha:r, predicted_raw:r, adjusted:b")
+@R.add("forecast_direct", "UCP, FECHA:s, demanda_predicha:r, predicted_raw:r, adjusted:b", with_tables(f"WITH served AS ({_SERVED}) SELECT UCP, FECHA, raw AS predicted_raw, w IS NOT NULL AND total_lag_1y > 0 AS adjusted, CASE WHEN w IS NOT NULL AND total_lag_1y > 0 THEN w * total_lag_1y + (1 - w) * raw ELSE raw END AS demanda_predicha FROM (SELECT *, (total_lag_1y + total_rolling_mean_28d) / 2 AS raw, {_WEIGHT} AS w FROM served)", *_SERVED_TABLES))
 def forecast_direct(spark, sf):
     """All horizon days at once, with a lag-free blend of last year and the recent mean as the model."""
     return F_.forecast_direct(_serving(spark, sf), lambda f: f.withColumn("demanda_predicha", (F.col("total_lag_1y") + F.col("total_rolling_mean_28d")) / 2))
