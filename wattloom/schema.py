@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The column names of the feeds.
 HOURS = [f"P{h}" for h in range(1, 25)]
 DEMAND_COLUMNS = ["UCP", "VARIABLE", "FECHA", "Clasificador interno", "TIPO DIA", *HOURS, "TOTAL"]
 WEATHER_HOURLY = ["fecha", "periodo", "p_t", "p_h", "p_v", "p_i"]
