@@ -1,5 +1,8 @@
 """Registered queries that fit models use the operators' own values."""
 
+import pytest
+
+from wattloom.operators import models as ML
 from wattloom.operators import profiles as H
 from wattloom.plans import forecast_queries as Q
 from wattloom.session import prepare
@@ -27,3 +30,39 @@ def test_training_takes_every_estimator(spark, sf, monkeypatch):
 def test_curves_reach_the_profile_rules(spark, sf):
     got = {r["source"] for r in Q.R.queries["curve_base_profiles"](spark, sf).select("source").distinct().collect()}
     assert "normal_cluster" in got
+
+
+def test_a_fit_reads_stored_rows(spark):
+    """A fit is some hundred jobs: its rows must not carry the plan that made them, nor the partitions of a shuffle."""
+    seen = []
+
+    class Fit:
+        def fit(self, v):
+            seen.append(v)
+            return ML.VectorAssembler(inputCols=["x"], outputCol="y")
+
+    own = prepare(spark)
+    own.conf.set("spark.sql.shuffle.partitions", "40")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = own.range(400).selectExpr("id % 90 as k", "cast(id as double) as x", "1.0 as TOTAL").groupBy("k").sum("x", "TOTAL").toDF("k", "x", "TOTAL")
+    ML.train(df, ["x"], models={"one": Fit(), "two": Fit()})
+    assert len(seen) == 2 and all(v.count() == 90 for v in seen)
+    for v in seen:
+        plan = v._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" in plan and not any(x in plan for x in ("InMemoryTableScan", "Exchange", "Aggregate"))
+        assert v.rdd.getNumPartitions() < 40
+
+
+@pytest.mark.parametrize("name", ["model_training", "model_fitted_importances"])
+def test_training_rows_are_stored(spark, sf, monkeypatch, name):
+    seen = []
+
+    def train(df, names, models=None):
+        seen.append(df)
+        raise InterruptedError  # what follows is not of interest
+
+    monkeypatch.setattr(Q.ML, "train", train)
+    with pytest.raises(InterruptedError):
+        getattr(Q, name)(prepare(spark), sf)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and not any(x in plan for x in ("InMemoryTableScan", "Exchange", "Window", "Join"))

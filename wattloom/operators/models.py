@@ -55,12 +55,13 @@ def estimators(seed: int = 42, target: str = "TOTAL") -> dict[str, object]:
 
 def train(df: DataFrame, features: list[str], target: str = "TOTAL", models: dict | None = None) -> dict[str, PipelineModel]:
     """One model of each kind over the rows of all keys (the caller adds a key index to features if wanted).
-    Rows need complete features and a target."""
+    Rows need complete features and a target.
+
+    The assembled rows are stored, not cached: a fit is some hundred jobs, and a task of a cached frame still carries
+    the metrics of its whole lineage to the driver, in as many partitions as the last shuffle had."""
     assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
-    v = assemble.transform(df).cache()
-    out = {name: PipelineModel([assemble, e.fit(v)]) for name, e in (models or estimators(target=target)).items()}
-    v.unpersist()
-    return out
+    v = stored(assemble.transform(df), "train")
+    return {name: PipelineModel([assemble, e.fit(v)]) for name, e in (models or estimators(target=target)).items()}
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

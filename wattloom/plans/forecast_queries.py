@@ -357,9 +357,15 @@ def forecast_backtest(spark, sf):
     return M.with_errors(F_.with_actuals(pred, actual, KEYS), "real", "pred")
 
 
-def _serving(spark, sf, n=30):
-    d = X.demand_hours(spark, sf).select("UCP", "FECHA", "TOTAL", "P8", "P12", "P18", "P20")
-    return F_.serving_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), X.holidays(d), KEYS, n)
+def _inputs(spark, sf):
+    """(demand by hours, daily weather), each written once: a row a key and day, which features and forecasts look up
+    many times, where each lookup would else aggregate the orders and line items again."""
+    return stored(X.demand_hours(spark, sf), "demand"), stored(C.weather_daily(X.weather_hours(spark, sf), KEYS), "weather")
+
+
+def _serving(d, w, n=30):
+    d = d.select("UCP", "FECHA", "TOTAL", "P8", "P12", "P18", "P20")
+    return F_.serving_features(d, w, X.holidays(d), KEYS, n)
 
 
 _ASKS = {**{f"b{n}": f"FECHA - {n}" for n in (1, 7, 14)}, **{f"y{n}": f"CAST(FECHA - INTERVAL {n} YEAR AS DATE)" for n in (1, 2, 3)}, **{f"d{n}": f"FECHA - {365 * n}" for n in (1, 2, 3)}}
@@ -380,13 +386,13 @@ _WEIGHT = f"CASE WHEN strftime(FECHA, '%m-%d') IN ({', '.join(repr(x) for x in F
 
 @R.add("forecast_serving_features", "UCP, FECHA:s, total_lag_1d:r, total_lag_7d:r, total_lag_14d:r, p8_lag_7d:r, total_lag_1y:r, total_lag_2y:r, total_lag_3y:r, total_rolling_mean_7d:r, total_rolling_mean_28d:r, total_day_change:r, total_day_change_pct:r, temp_lag1d:r, days_since_holiday:i, is_festivo:i", with_tables(_SERVED, *_SERVED_TABLES))
 def forecast_serving_features(spark, sf):
-    return _serving(spark, sf)
+    return _serving(*_inputs(spark, sf))
 
 
 @R.add("forecast_direct", "UCP, FECHA:s, demanda_predicha:r, predicted_raw:r, adjusted:b", with_tables(f"WITH served AS ({_SERVED}) SELECT UCP, FECHA, raw AS predicted_raw, w IS NOT NULL AND total_lag_1y > 0 AS adjusted, CASE WHEN w IS NOT NULL AND total_lag_1y > 0 THEN w * total_lag_1y + (1 - w) * raw ELSE raw END AS demanda_predicha FROM (SELECT *, (total_lag_1y + total_rolling_mean_28d) / 2 AS raw, {_WEIGHT} AS w FROM served)", *_SERVED_TABLES))
 def forecast_direct(spark, sf):
     """All horizon days at once, with a lag-free blend of last year and the recent mean as the model."""
-    return F_.forecast_direct(_serving(spark, sf), lambda f: f.withColumn("demanda_predicha", (F.col("total_lag_1y") + F.col("total_rolling_mean_28d")) / 2))
+    return F_.forecast_direct(_serving(*_inputs(spark, sf)), lambda f: f.withColumn("demanda_predicha", (F.col("total_lag_1y") + F.col("total_rolling_mean_28d")) / 2))
 
 
 _LINEAR = {"total_lag_1d": 0.5, "total_lag_7d": 0.25, "total_lag_14d": 0.15, "total_lag_1y": 0.1}
@@ -403,8 +409,7 @@ SELECT s.UCP, q.FECHA, s.r[14] AS demanda_predicha FROM s JOIN weighted q ON q.U
 @R.add("forecast_recursive_linear", "UCP, FECHA:s, demanda_predicha:r", recursive_with_tables(_RECURSIVE, "demand", "holidays"))
 def forecast_recursive_linear(spark, sf):
     """Thirty days, one after another, by a linear model of lags that are forecasts themselves from the second day on."""
-    d = X.demand(spark, sf)
-    w = C.weather_daily(X.weather_hours(spark, sf), KEYS)
+    d, w = stored(X.demand(spark, sf), "demand"), stored(C.weather_daily(X.weather_hours(spark, sf), KEYS), "weather")
     model = lambda f: f.withColumn("demanda_predicha", sum(F.col(c) * x for c, x in _LINEAR.items()))
     return F_.forecast_recursive(d, w, X.holidays(d), KEYS, 30, model)
 
@@ -412,10 +417,9 @@ def forecast_recursive_linear(spark, sf):
 @R.add("forecast_recursive_trained", "UCP, FECHA:s, demanda_predicha:r, method, P1:r, P12:r, P24:r, sum_valid:b")
 def forecast_recursive_trained(spark, sf):
     """End to end: boosted trees trained on lags, thirty days forecast one after another, and split into hours."""
-    d = X.demand_hours(spark, sf)
+    d, w = _inputs(spark, sf)
     hol = X.holidays(d)
-    s, names = _training(spark, sf, lag_free=False)
-    w = C.weather_daily(X.weather_hours(spark, sf), KEYS)
+    s, names = _training(d, w, lag_free=False)
     served = F_.recursive_features(F_.recursive_state(d, w, hol, KEYS, 1)).columns
     model = ML.train(s.where("split = 'train'"), [c for c in names if c in served], models={"boosted_flat": ML.estimators()["boosted_flat"]})["boosted_flat"]
     f = F_.forecast_recursive(d, w, hol, KEYS, 30, lambda x: ML.score(model, x.fillna(0, model.stages[0].getInputCols())))
@@ -542,25 +546,25 @@ def model_folds(spark, sf):
     return ML.cv_folds(X.demand(spark, sf), KEYS).groupBy("UCP", "fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("FECHA").alias("first_day"), F.max("FECHA").alias("last_day"))
 
 
-def _training(spark, sf, lag_free=True):
+def _training(d, w, lag_free=True):
     """(rows with their split, feature names): features of all keys, lag-free by default."""
-    d = C.clean_demand(X.demand_hours(spark, sf))
-    f = E.build_features(d, C.weather_daily(X.weather_hours(spark, sf), KEYS), KEYS, shift=1)
+    d = C.clean_demand(d)
+    f = E.build_features(d, w, KEYS, shift=1)
     names = E.feature_names(f, d.columns, lag_free=lag_free)
-    return ML.temporal_split(E.fill_zero(f, names), KEYS).cache(), names
+    return stored(ML.temporal_split(E.fill_zero(f, names), KEYS), "training"), names
 
 
 @R.add("model_training", "model, split, n:i, mape:r, rmape:r, mae:r, r2:r")
 def model_training(spark, sf):
     """Trees on lag-free features of all keys, measured on both parts of a temporal split."""
-    s, names = _training(spark, sf)
+    s, names = _training(*_inputs(spark, sf))
     return ML.evaluate(ML.train(s.where("split = 'train'"), names), s, ["split"])
 
 
 @R.add("model_fitted_importances", "model, feature, importance:r")
 def model_fitted_importances(spark, sf):
     """The twenty most important features of each trained model."""
-    s, names = _training(spark, sf)
+    s, names = _training(*_inputs(spark, sf))
     return M.top_importances(ML.importances(ML.train(s.where("split = 'train'"), names), s, names), 20, ["model"])
 
 
@@ -577,18 +581,19 @@ def model_cv_naive(spark, sf):
 @R.add("model_cross_validation", "model, mape_mean:r, mape_std:r, rmape_mean:r, rmape_std:r")
 def model_cross_validation(spark, sf):
     """All trained models over three expanding folds."""
-    s, names = _training(spark, sf)
+    s, names = _training(*_inputs(spark, sf))
     return ML.cross_validate(s.drop("split"), names, KEYS)
 
 
 def _champions(spark, sf):
-    """Models and champions of each key, written to a store and read back; and the training rows."""
-    s, names = _training(spark, sf)
-    served = _serving(spark, sf, 1).columns
+    """Models and champions of each key, written to a store and read back; and what they were made of, demand and weather."""
+    d, w = _inputs(spark, sf)
+    s, names = _training(d, w)
+    served = _serving(d, w, 1).columns
     models = ML.train(s.where("split = 'train'"), [c for c in names if c in served])
     path = f"{scratch(spark)}/models-{uuid.uuid4().hex}"
     ML.save_models(models, ML.champions(models, s.where("split = 'validation'"), KEYS), path)
-    return ML.load_models(spark, path), s
+    return ML.load_models(spark, path), (d, w)
 
 
 @R.add("model_champion_trained", "UCP, model, n:i, rmape:r, mape:r, mae:r")
@@ -600,6 +605,6 @@ def model_champion_trained(spark, sf):
 @R.add("forecast_champion", "UCP, FECHA:s, model, demanda_predicha:r, adjusted:b")
 def forecast_champion(spark, sf):
     """Thirty days of every key, each by its own champion out of the model store."""
-    (models, best), _ = _champions(spark, sf)
+    (models, best), inputs = _champions(spark, sf)
     used = next(iter(models.values())).stages[0].getInputCols()
-    return F_.forecast_direct(_serving(spark, sf).fillna(0, used), lambda f: ML.score_with_champions(models, best, f, KEYS, default="forest"))
+    return F_.forecast_direct(_serving(*inputs).fillna(0, used), lambda f: ML.score_with_champions(models, best, f, KEYS, default="forest"))
