@@ -66,3 +66,23 @@ def test_training_rows_are_stored(spark, sf, monkeypatch, name):
         getattr(Q, name)(prepare(spark), sf)
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" in plan and not any(x in plan for x in ("InMemoryTableScan", "Exchange", "Window", "Join"))
+
+
+@pytest.mark.parametrize("name, where, step", [
+    ("forecast_champion", "E", "build_features"), ("model_champion_trained", "E", "build_features"), ("forecast_recursive_trained", "E", "build_features"),
+    ("forecast_recursive_linear", "F_", "forecast_recursive"), ("forecast_serving_features", "F_", "serving_features"), ("forecast_direct", "F_", "serving_features"),
+])
+def test_days_are_made_once(spark, sf, monkeypatch, name, where, step):
+    """Features and forecasts look days up many times; none of the lookups may aggregate the orders and line items again."""
+    seen = []
+
+    def taken(demand, weather, *rest, **more):
+        seen.extend((demand, weather))
+        raise InterruptedError  # what follows is not of interest
+
+    monkeypatch.setattr(getattr(Q, where), step, taken)
+    with pytest.raises(InterruptedError):
+        getattr(Q, name)(prepare(spark), sf)
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" in plan and not any(x in plan for x in ("orders.parquet", "lineitem.parquet", "Exchange", "Aggregate", "Join"))
