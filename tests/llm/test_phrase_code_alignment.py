@@ -80,6 +80,15 @@ def test_automaton_tells_apart_phrases_of_one_hash():
     assert [(end // 2, first[k]) for end, k in find.iter(text)] == [(12, 2)]
 
 
+def test_letters_of_many_words_and_words_of_any_bytes():
+    """A part's words are coded at once; words are cut at the contract's six bytes and at no other."""
+    coded = substring_dedup.codes(np.arange(0, 9000, 2), 9000)
+    words = np.random.default_rng(1).integers(0, 9000, 500)
+    assert substring_dedup.in_letters(words, coded) == "".join(coded[k] for k in words.tolist())
+    raw = b"".join(bytes([65, k, 66, k, k]) for k in range(256))
+    assert substring_dedup._words(raw) == re.findall(rb"[^\x20\x09-\x0D]+", raw)
+
+
 @pytest.mark.parametrize("name", ["op11_substring_dedup", "op12_vector_codes"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()

@@ -11,7 +11,8 @@ and streams all of its documents through it.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import defaultdict
+from itertools import compress, count
 
 import ahocorasick
 import numpy as np
@@ -28,25 +29,18 @@ WINDOW, ANCHOR = 13, 6
 #: The id that a document without one counts as: none is larger.
 LAST = 2**63 - 1
 
-_words = re.compile(rb"[^\x20\x09-\x0D]+").findall
+#: The words of a text: split() of bytes cuts at runs of \x20 and \x09 to \x0D, and at nothing else.
+_words = bytes.split
 _SEEDS = np.random.default_rng(20250311).integers(1, 2**63, (3, WINDOW), dtype=np.uint64) * 2 + 1
 
 
-class _Vocabulary(dict):
-    """A number for each new word, from 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        return k
-
-
 class Part:
     """The documents of one part: word numbers, one after another, and where each document starts."""
 
     def __init__(self, table: pa.Table):
         self.keys = table.column("key").to_pylist()
         own = [LAST if k is None else k for k in self.keys]
-        self.vocabulary = _Vocabulary()
+        self.vocabulary: dict[bytes, int] = defaultdict(count().__next__)  # a number for each new word, from 0
         number = self.vocabulary.__getitem__
         each, digests = [], []
         for t in table.column("text"):
@@ -60,7 +54,7 @@ class Part:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.doc = np.repeat(np.arange(len(each)), self.sizes)
         self.ids = np.array(own, np.int64)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))
         self.hashes = hashes[self.words] if len(self.words) else np.zeros(0, np.uint64)
 
     def texts(self) -> tuple[np.ndarray, ...]:
@@ -187,6 +181,11 @@ def codes(used: np.ndarray, size: int) -> list[str]:
     return out
 
 
+def in_letters(words: np.ndarray, coded: list[str]) -> str:
+    """The codes of the words, one after another: those of word k are letters 2k and 2k + 1."""
+    return np.frombuffer("".join(coded).encode("utf-32-le"), "<u8")[words].tobytes().decode("utf-32-le")
+
+
 def automaton(part: Part, recurring: pa.Table, without: np.ndarray | None = None) -> tuple[ahocorasick.Automaton | None, list[str], np.ndarray]:
     """The part's recurring phrases as an automaton over coded words, the codes, and each phrase's least document id."""
     if not recurring.num_rows or not len(part.words):
@@ -208,10 +207,11 @@ def automaton(part: Part, recurring: pa.Table, without: np.ndarray | None = None
     if not len(phrase):
         return None, [], first
     places = at[where]
-    coded = codes(np.unique(part.words[places[:, None] + np.arange(WINDOW)]), len(part.vocabulary))
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, place in zip(phrase.tolist(), places.tolist()):
-        out.add_word("".join([coded[x] for x in part.words[place : place + WINDOW].tolist()]), k)
+    words = part.words[places[:, None] + np.arange(WINDOW)]
+    coded = codes(np.unique(words), len(part.vocabulary))
+    out, text = ahocorasick.Automaton(ahocorasick.STORE_INTS), in_letters(words.reshape(-1), coded)
+    for k, at in zip(phrase.tolist(), range(0, len(text), 2 * WINDOW)):
+        out.add_word(text[at : at + 2 * WINDOW], k)
     out.make_automaton()
     return out, coded, first
 
@@ -221,20 +221,21 @@ def _located(table: pa.Table, recurring: pa.Table) -> pa.Table:
     part = Part(table)
     copies = part.copies(recurring)
     find, coded, first = automaton(part, recurring, copies)
-    spelled = list(part.vocabulary)
+    least, letters = first.tolist(), "" if find is None else in_letters(part.words, coded)
     removed, digests = [], []
-    for start, size, own, copy in zip(part.starts.tolist(), part.sizes.tolist(), part.ids.tolist(), copies.tolist()):
-        words = part.words[start : start + (0 if copy else size)]
-        ends: list[int] | np.ndarray = []
+    for text, start, size, own, copy in zip(table.column("text"), part.starts.tolist(), part.sizes.tolist(), part.ids.tolist(), copies.tolist()):
+        words = [] if copy else _words(text.as_py() or b"")
+        ends: list[int] = []
         if find is not None and len(words) >= WINDOW:
-            ends = np.array([end // 2 for end, k in find.iter("".join([coded[x] for x in words.tolist()])) if first[k] < own], np.int64)
-        if len(ends):
+            ends = [end for end, k in find.iter(letters[2 * start : 2 * (start + size)]) if least[k] < own]
+        if ends:
+            last = np.array(ends, np.int64) // 2
             step = np.zeros(size + 1, np.int64)
-            np.add.at(step, ends - (WINDOW - 1), 1)
-            np.add.at(step, ends + 1, -1)
-            words = words[np.cumsum(step)[:size] == 0]
+            np.add.at(step, last - (WINDOW - 1), 1)
+            np.add.at(step, last + 1, -1)
+            words = list(compress(words, (np.cumsum(step)[:size] == 0).tolist()))
         removed.append(size - len(words))
-        digests.append(hashlib.sha256(b" ".join([spelled[k] for k in words.tolist()])).hexdigest())
+        digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
     return pa.table({"key": pa.array(part.keys, pa.int64()), "n_words": pa.array(part.sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
