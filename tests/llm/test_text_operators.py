@@ -367,3 +367,23 @@ def test_quality_edges(docs, empty, spark):
     assert quality.score(empty, model).count() == 0
     assert quality.train(docs, labels.where("false")) is None
     assert {r["score"] for r in quality.score(docs, None).collect()} == {1.0}
+
+
+def test_a_step_codes_many_blocks_and_settles_twice(monkeypatch):
+    """A step's calls cost what some thousand ids do, so blocks go by the ten thousand; a case and what follows it are settled together."""
+    from wattloom.llm import range_coder
+
+    calls, settle = [], range_coder._Coder.settle
+    monkeypatch.setattr(range_coder._Coder, "settle", lambda self, *a: (calls.append(len(a[1])), settle(self, *a)) and None)
+    x = np.random.default_rng(3).choice([7, 8, 9, 40000, 65000], 32 * 10000).astype(np.uint16)
+    x[::3] = np.random.default_rng(4).integers(0, 65534, len(x[::3]))
+    codes = range_coder.encode_blocks(x, 32)
+    assert len(codes) == 10000 and max(calls) == 10000 and len(calls) <= 2 * 32
+    assert (range_coder.decode_blocks(codes, len(x), 32) == x).all()
+
+
+def test_token_files_of_another_format_are_refused():
+    raw = token_files.write_segment([1], [3], np.array([5, 6, 7], np.uint16))
+    assert token_files.read_segment(raw)[2].tolist() == [5, 6, 7]
+    with pytest.raises(ValueError, match="bad head"):
+        token_files.read_segment(b"WLT1" + raw[4:])

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Fixed values of the format: contexts by hash, recent ids, confidence levels, counts added at each step.
+#: Fixed values of the format: contexts by hash at most (as many as a block has ids), recent ids, confidence levels, counts added at each step.
 CONTEXTS, SLOTS, LEVELS, ADD_CASE, ADD_SLOT = 1024, 256, 8, 6, 12
-#: Ids in a block at most (counts stay below 2^16), and blocks that are coded at once.
-BLOCK, LANES = 4096, 4096
+#: Ids in a block at most (counts stay below 2^16), and blocks that are coded at once: a step's calls cost what some
+#: thousand ids do.
+BLOCK, LANES = 4096, 16384
 _U = np.uint64
-_LOW32, _TOP, _M16 = _U(0xFFFFFFFF), _U(1 << 32), _U(0xFFFF)
+_LOW32, _TOP, _M16, _BYTES = _U(0xFFFFFFFF), _U(1 << 32), _U(0xFFFF), _U(0x0101010101010101)
 _STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.uint16) * np.uint16(ADD_SLOT)
 _CASE = np.array([ADD_CASE << 16 * k for k in range(4)], np.uint64)
 
@@ -57,33 +58,39 @@ class _Coder:
             self.low[idx], self.range[idx] = low, span
             need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _TOP))
 
-    def nibble(self, idx: np.ndarray, sums: np.ndarray, rows: np.ndarray, sym: np.ndarray | None) -> np.ndarray:
+    def nibble(self, idx: np.ndarray, sums: np.ndarray, rows: np.ndarray, sym: np.ndarray | None, settle: bool) -> np.ndarray:
         """Codes sym, or finds it where it is None, by the running sums in `rows` of the table, and counts it."""
         own = sums.take(rows, axis=0)
         low, part = self.low[idx], self.range[idx] // own[:, 15]
         if sym is None:
-            q = (self.code[idx] - low) // part
-            sym = np.minimum((own <= q[:, None]).sum(axis=1), 15)
+            q = np.minimum((self.code[idx] - low) // part, _M16).astype(np.uint16)
+            below = (own <= q[:, None]).view(np.uint64)  # sixteen bytes of 0 or 1 a lane
+            sym = np.minimum((below[:, 0] + below[:, 1]) * _BYTES >> _U(56), _U(15)).astype(np.int64)
         flat, at = own.reshape(-1), np.arange(0, len(own) * 16, 16) + sym
         hi = flat[at].astype(np.uint64)
         lo = np.where(sym > 0, flat[at - 1], 0).astype(np.uint64)
         sums[rows] = own + _STEP[sym]
-        self.settle(idx, low + part * lo, part * (hi - lo))
+        low, span = low + part * lo, part * (hi - lo)
+        if settle:
+            self.settle(idx, low, span)
+        else:
+            self.low[idx], self.range[idx] = low, span
         return sym
 
     def plain(self, idx: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """16 bits with even odds."""
+        """16 bits with even odds; nothing is settled yet."""
         low, part = self.low[idx], self.range[idx] >> _U(16)
         if value is None:
             value = np.minimum((self.code[idx] - low) // part, _M16).astype(np.int64)
-        self.settle(idx, low + part * value.astype(np.uint64), part)
+        self.low[idx], self.range[idx] = low + part * value.astype(np.uint64), part
         return value
 
 
 def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     """Codes, or fills in, the ids of all lanes; lengths don't rise from lane to lane."""
     n = len(lengths)
-    after = [np.zeros(n * CONTEXTS, np.uint32) for _ in range(2)]
+    contexts = min(CONTEXTS, 1 << max(0, ids.shape[1] - 1).bit_length())
+    after = [np.zeros(n * contexts, np.uint32) for _ in range(2)]
     odds = [np.full(n * LEVELS, sum(4 << 16 * k for k in range(4)), np.uint64) for _ in range(2)]
     recent = np.zeros(n * SLOTS, np.uint16)
     high = np.tile(np.arange(1, 17, dtype=np.uint16), (n, 1))
@@ -95,18 +102,20 @@ def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     for step, m in enumerate(active.tolist()):
         if m != was:
             row, p1, p2, was = row[:m], p1[:m], p2[:m], m
-            c_row, l_row, s_row = row * CONTEXTS, row * LEVELS, row * SLOTS
-        at1 = c_row + (p1 * 0x9E5 >> 2 & CONTEXTS - 1)
-        at2 = c_row + ((p1 * 0x2F35 + p2 * 0x6A9) >> 3 & CONTEXTS - 1)
+            bounds = np.zeros((5, m), np.uint64)  # where the four cases start and end
+            c_row, l_row, s_row = row * contexts, row * LEVELS, row * SLOTS
+        at1 = c_row + (p1 * 0x9E5 >> 2 & contexts - 1)
+        at2 = c_row + ((p1 * 0x2F35 + p2 * 0x6A9) >> 3 & contexts - 1)
         e1, e2 = after[0].take(at1), after[1].take(at2)
         said1, said2, sure1, sure2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
         o1, o2 = l_row + sure1, l_row + sure2
         w1, w2 = odds[0].take(o1), odds[1].take(o2)
         w = w1 + w2
-        a = (w & _M16) * (said2 > 0)
-        b = a + (w >> _U(16) & _M16) * ((said1 > 0) & (said1 != said2))
-        c = b + (w >> _U(32) & _M16)
-        d = c + (w >> _U(48))
+        _, a, b, c, d = bounds
+        np.multiply(w & _M16, said2 > 0, out=a)
+        np.add(a, (w >> _U(16) & _M16) * ((said1 > 0) & (said1 != said2)), out=b)
+        np.add(b, w >> _U(32) & _M16, out=c)
+        np.add(c, w >> _U(48), out=d)
         base, part = coder.low[:m], coder.range[:m] // d
         if coder.encoding:
             x = steps[step, :m].astype(np.int64)
@@ -118,27 +127,32 @@ def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
             case = (q >= a).astype(np.int64) + (q >= b) + (q >= c)
             y = np.where(case == 0, said2, said1).astype(np.int64)
             x = y - 1
-        lo = np.choose(case, (_U(0), a, b, c))
-        coder.settle(None, base + part * lo, part * (np.choose(case, (a, b, c, d)) - lo))
+        at = case * m + row
+        lo = bounds.take(at)
+        coder.range[:m] = part * (bounds.take(at + m) - lo)
+        coder.low[:m] = base + part * lo
+        # a range of 2^32 has room for a case and a nibble, or a case and 16 bits, before it is settled
         old, new = np.flatnonzero(case == 2), np.flatnonzero(case == 3)
-        if len(old):
-            slot = x[old] & SLOTS - 1 if coder.encoding else None
-            h = coder.nibble(old, high, old, None if slot is None else slot >> 4)
-            k = coder.nibble(old, low, old * 16 + h, None if slot is None else slot & 15)
-            if slot is None:
-                y[old] = recent.take(old * SLOTS + (h << 4 | k))
         if len(new):
             v = coder.plain(new, x[new] if coder.encoding else None)
             if not coder.encoding:
                 y[new] = v + 1
+        if len(old):
+            slot = x[old] & SLOTS - 1 if coder.encoding else None
+            h = coder.nibble(old, high, old, None if slot is None else slot >> 4, False)
+        coder.settle(None, coder.low[:m], coder.range[:m])
+        if len(old):
+            k = coder.nibble(old, low, old * 16 + h, None if slot is None else slot & 15, True)
+            if slot is None:
+                y[old] = recent.take(old * SLOTS + (h << 4 | k))
         if not coder.encoding:
             x = y - 1
             steps[step, :m] = x
         add = _CASE.take(case)
         odds[0][o1], odds[1][o2] = w1 + add, w2 + add
         fresh = y.astype(np.uint32) << 4
-        after[0][at1] = np.where(said1 == y, (e1 & ~np.uint32(15)) | np.minimum(sure1 + 1, LEVELS - 1), np.where(sure1 < 2, fresh, e1 & ~np.uint32(15)) | sure1 >> 1)
-        after[1][at2] = np.where(said2 == y, (e2 & ~np.uint32(15)) | np.minimum(sure2 + 1, LEVELS - 1), np.where(sure2 < 2, fresh, e2 & ~np.uint32(15)) | sure2 >> 1)
+        for table, where, e, said, sure in ((after[0], at1, e1, said1, sure1), (after[1], at2, e2, said2, sure2)):
+            table[where] = np.where(said == y, e + (sure < LEVELS - 1), np.where(sure < 2, fresh, e - (sure + 1 >> 1)))
         recent[s_row + (x & SLOTS - 1)] = y
         p1, p2 = x, p1
     if not coder.encoding:

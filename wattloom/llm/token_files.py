@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import P, stored
 from wattloom.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 
-MAGIC = b"WLT1"
+MAGIC = b"WLT2"  # files of WLT1 were coded otherwise, and are refused
 #: Ids stay below this.
 MOST = 65535
 #: Ids in a segment, from which on the next document starts another.
-SEGMENT = 2048 * LANES
+SEGMENT = 512 * LANES
 _HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, ids in a block, blocks, bytes of the index, its crc32
 _BLOCK = struct.Struct("<II")  # bytes, crc32
 
@@ -26,7 +26,7 @@ _BLOCK = struct.Struct("<II")  # bytes, crc32
 def write_segment(keys: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     """Head, index (keys and id counts of the documents), then each block's length, checksum and code."""
     block = 256
-    while block < BLOCK and len(ids) > block * LANES * 2:
+    while block < BLOCK and len(ids) > block * LANES // 2:
         block *= 2
     index = zlib.compress(np.array([k is None for k in keys], np.uint8).tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + np.array(counts, "<i8").tobytes(), 1)
     codes = encode_blocks(ids, block)

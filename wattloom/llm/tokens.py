@@ -97,7 +97,11 @@ class Encoder:
     def _run(self, run: bytes) -> bytes:
         if self.lower and not run.isascii():
             run = run.decode().lower().encode()
-        return array("I", [t.id for t in self.model.tokenize(run.decode("latin-1").translate(_LETTER))]).tobytes()
+        if run.isascii() and (plain := run.decode()).isprintable():  # these stand for themselves, but for the space
+            spelled = plain.replace(" ", _LETTER[32])
+        else:
+            spelled = run.decode("latin-1").translate(_LETTER)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _piece(self, piece: bytes, before: bytes) -> bytes:
         if piece.isalpha():
