@@ -387,3 +387,68 @@ def test_token_files_of_another_format_are_refused():
     assert token_files.read_segment(raw)[2].tolist() == [5, 6, 7]
     with pytest.raises(ValueError, match="bad head"):
         token_files.read_segment(b"WLT1" + raw[4:])
+
+
+RUNS_AND_ODD_TEXTS = ["'", "''s", "it's", " 's", "\n's", "'s's", "'sx", "x'll 're", "'S", "5've", "  a", "a  b", "a \n b", "a\n\n b ", "\t1\r2", " ", "\n", "", "é'd", "12ab.!?", ". 'm'", "<|endoftext|>", "a\u3000b", "日本 x", "a\x00b", "\u00a0", "!'s", '"\'re']
+
+
+def test_texts_together_have_the_ids_of_each_alone():
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        tk, e, rng = Tokenizer.from_file(path), Encoder(path), np.random.default_rng(5)
+        texts = RUNS_AND_ODD_TEXTS + ["".join(rng.choice(RUNS_AND_ODD_TEXTS, 6)) for _ in range(3000)]
+        ids, counts = e.encode_all([t.encode() for t in texts], 7)
+        at = np.cumsum(counts) - counts
+        for t, a, n in zip(texts, at, counts):
+            assert ids[a : a + n].tolist() == tk.encode(t, add_special_tokens=False).ids + [7], repr(t)
+        assert len(ids) == counts.sum()
+
+
+def test_texts_together_look_each_distinct_run_up_once(monkeypatch):
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, own = [], e.model
+    monkeypatch.setattr(e, "model", type("Model", (), {"tokenize": lambda self, s: (asked.append(s), own.tokenize(s))[1]})())
+    looked = []
+    monkeypatch.setattr(e, "run_ids_together", type("Runs", (type(e.run_ids_together),), {"__getitem__": lambda self, k: (looked.append(k), super(type(self), self).__getitem__(k))[1]})(e._run, 1 << 20))
+    ids, counts = e.encode_all([b"one two two three", b"", b"one two three three"] * 500, 0)
+    assert sorted(looked) == [b" three", b" two", b"one"] and len(asked) == 3
+    assert counts.tolist() == [5, 1, 5] * 500 and len(ids) == 5500
+
+
+@pytest.mark.parametrize("most,together", [(1, 1), (9, 1 << 20), (10, 30), (1 << 20, 40)])
+def test_segments_end_with_the_document_that_fills_them(most, together):
+    import pyarrow as pa
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [b"one two three four", b"", b"x", b"one", "\u3000a".encode(), b"", b"six seven"] * 3
+    keys = [None, *range(len(texts) - 1)]
+    rows = [pa.RecordBatch.from_arrays([pa.array([4] * len(t), pa.int32()), pa.array(k, pa.int64()), pa.array(t, pa.binary())], names=["part", "key", "t"]) for k, t in ((keys[:5], texts[:5]), ([], []), (keys[5:], texts[5:]))]
+    got = pa.Table.from_batches(token_files.segments(iter(rows), e, 0, most, together)).to_pylist()
+    assert [(r["part"], r["seq"]) for r in got] == [(4, k) for k in range(len(got))]
+    read = [token_files.read_segment(r["segment"]) for r in got]
+    assert [k for own, _, _ in read for k in own] == keys
+    assert np.concatenate([x for _, _, x in read]).astype("<u4").tobytes() == b"".join(e.encode(t) + bytes(4) for t in texts)
+    for _, counts, ids in read[:-1]:
+        assert counts.sum() == len(ids) >= most > len(ids) - counts[-1]
+
+
+def test_ids_by_chance_take_the_bits_of_their_shares():
+    rng = np.random.default_rng(6)
+    share = 1 / np.arange(1, 3001)
+    share /= share.sum()
+    ids = rng.choice(3000, 200_000, p=share).astype(np.uint16)
+    raw = token_files.write_segment([1], [len(ids)], ids)
+    assert (token_files.read_segment(raw)[2] == ids).all()
+    assert len(raw) * 8 / len(ids) < -(share * np.log2(share)).sum() + 1  # 9.2 bits, of which 8.5 are the shares'; with recent ids as order 0 it was 13
+
+
+@pytest.mark.parametrize("ids", [[], [0], [65534], [3] * 5000, [65534, 0] * 300])
+def test_shares_of_few_ids(ids):
+    from wattloom.llm.range_coder import shares_of
+
+    ids = np.array(ids, np.uint16)
+    shares = shares_of(ids).astype(int)
+    assert (shares[ids] > 0).all() and (shares.sum() == 65536 or not len(ids))
+    assert (token_files.read_segment(token_files.write_segment([1], [len(ids)], ids))[2] == ids).all()

@@ -1,27 +1,36 @@
 """An adaptive range coder for token ids, run over many independent blocks at once.
 
-Each block starts from nothing.  For every id three orders make their prediction: the id that last followed
-the two ids before (order 2), the one before (order 1), and the block's recent ids with their frequencies
-(order 0).  Counts by the confidence of orders 2 and 1 are mixed into the odds of four cases: order 2 is
-right, order 1 is right, order 0 holds the id, none does.  An id that order 0 holds is coded by its slot's
-adaptive odds in two nibbles, a new one with even odds.  All blocks take each step together, as vectors over
-flat tables: an entry of a context table is (id + 1) << 4 | confidence, an entry of the odds is four counts of
-16 bits in one word, and frequencies of nibbles are kept as running sums.
+For every id three orders make their prediction: the id that last followed the two ids before (order 2), the one
+before (order 1), and the shares of all ids, which are the same for all blocks and stand beside them (order 0).
+Counts by the confidence of orders 2 and 1 are mixed into the odds of three cases: order 2 is right, order 1 is
+right, none is; an id of the last case is coded by its share.  Contexts and counts start from nothing in each
+block.  All blocks take each step together, as vectors over flat tables: an entry of a context table is
+(id + 1) << 4 | confidence, an entry of the odds is three counts of 16 bits in one word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Fixed values of the format: contexts by hash at most (as many as a block has ids), recent ids, confidence levels, counts added at each step.
-CONTEXTS, SLOTS, LEVELS, ADD_CASE, ADD_SLOT = 1024, 256, 8, 6, 12
+#: Fixed values of the format: contexts by hash at most (as many as a block has ids), confidence levels, a count added at each step.
+CONTEXTS, LEVELS, ADD_CASE = 1024, 8, 6
 #: Ids in a block at most (counts stay below 2^16), and blocks that are coded at once: a step's calls cost what some
 #: thousand ids do.
 BLOCK, LANES = 4096, 16384
+#: Shares sum to this; the last id never occurs, so that none has all.
+WHOLE = 65536
 _U = np.uint64
-_LOW32, _TOP, _M16, _BYTES = _U(0xFFFFFFFF), _U(1 << 32), _U(0xFFFF), _U(0x0101010101010101)
-_STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.uint16) * np.uint16(ADD_SLOT)
-_CASE = np.array([ADD_CASE << 16 * k for k in range(4)], np.uint64)
+_LOW32, _TOP, _M16 = _U(0xFFFFFFFF), _U(1 << 32), _U(0xFFFF)
+_CASE = np.array([ADD_CASE << 16 * k for k in range(3)], np.uint64)
+
+
+def shares_of(ids: np.ndarray) -> np.ndarray:
+    """The share of each id below WHOLE, at least 1 for those that occur."""
+    count = np.bincount(ids, minlength=WHOLE)
+    count[-1] = 1
+    shares = (count > 0) + count * (WHOLE - np.count_nonzero(count)) // count.sum()
+    shares[shares.argmax()] += WHOLE - shares.sum()
+    return np.minimum(shares, WHOLE - 1).astype(np.uint16)
 
 
 class _Coder:
@@ -30,80 +39,49 @@ class _Coder:
     def __init__(self, n: int, words: np.ndarray | None, most: int):
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.at = np.zeros(n, np.int64)
         self.encoding = words is None
         self.words = np.zeros((n, most), np.uint32) if words is None else words
+        self.at = np.arange(n) * self.words.shape[1]
+        self.flat = self.words.reshape(-1)
         if not self.encoding:
             self.code = self.words[:, 0].astype(np.uint64) << _U(32) | self.words[:, 1].astype(np.uint64)
             self.at += 2
 
-    def settle(self, idx: np.ndarray | None, low: np.ndarray, span: np.ndarray) -> None:
-        """Moves on the words that are settled in the lanes idx (None: the first lanes)."""
+    def settle(self, low: np.ndarray, span: np.ndarray) -> None:
+        """Moves on the words that are settled in the first lanes."""
         m = len(low)
-        if idx is None:
-            self.low[:m], self.range[:m] = low, span
-        else:
-            self.low[idx], self.range[idx] = low, span
-        need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _TOP))
+        self.low[:m], self.range[:m] = low, span
+        need = np.flatnonzero(np.minimum(low ^ (low + span), span) < _TOP)
         while len(need):
-            lanes = need if idx is None else idx[need]
-            low, span = low[need], span[need]
-            span = np.where((low ^ (low + span)) < _TOP, span, (_U(0) - low) & _LOW32)
+            low, span = self.low.take(need), self.range.take(need)
+            span = np.where((low ^ (low + span)) < _TOP, span, (_U(0) - low) & _LOW32) << _U(32)
+            at = self.at.take(need)
             if self.encoding:
-                self.words[lanes, self.at[lanes]] = low >> _U(32)
+                self.flat[at] = low >> _U(32)
             else:
-                self.code[lanes] = self.code[lanes] << _U(32) | self.words[lanes, self.at[lanes]].astype(np.uint64)
-            self.at[lanes] += 1
-            low, span, idx = low << _U(32), span << _U(32), lanes
-            self.low[idx], self.range[idx] = low, span
-            need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _TOP))
-
-    def nibble(self, idx: np.ndarray, sums: np.ndarray, rows: np.ndarray, sym: np.ndarray | None, settle: bool) -> np.ndarray:
-        """Codes sym, or finds it where it is None, by the running sums in `rows` of the table, and counts it."""
-        own = sums.take(rows, axis=0)
-        low, part = self.low[idx], self.range[idx] // own[:, 15]
-        if sym is None:
-            q = np.minimum((self.code[idx] - low) // part, _M16).astype(np.uint16)
-            below = (own <= q[:, None]).view(np.uint64)  # sixteen bytes of 0 or 1 a lane
-            sym = np.minimum((below[:, 0] + below[:, 1]) * _BYTES >> _U(56), _U(15)).astype(np.int64)
-        flat, at = own.reshape(-1), np.arange(0, len(own) * 16, 16) + sym
-        hi = flat[at].astype(np.uint64)
-        lo = np.where(sym > 0, flat[at - 1], 0).astype(np.uint64)
-        sums[rows] = own + _STEP[sym]
-        low, span = low + part * lo, part * (hi - lo)
-        if settle:
-            self.settle(idx, low, span)
-        else:
-            self.low[idx], self.range[idx] = low, span
-        return sym
-
-    def plain(self, idx: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """16 bits with even odds; nothing is settled yet."""
-        low, part = self.low[idx], self.range[idx] >> _U(16)
-        if value is None:
-            value = np.minimum((self.code[idx] - low) // part, _M16).astype(np.int64)
-        self.low[idx], self.range[idx] = low + part * value.astype(np.uint64), part
-        return value
+                self.code[need] = self.code.take(need) << _U(32) | self.flat.take(at)
+            low = low << _U(32)
+            self.at[need], self.low[need], self.range[need] = at + 1, low, span
+            need = need[np.minimum(low ^ (low + span), span) < _TOP]
 
 
-def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
+def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder, shares: np.ndarray | None) -> None:
     """Codes, or fills in, the ids of all lanes; lengths don't rise from lane to lane."""
     n = len(lengths)
     contexts = min(CONTEXTS, 1 << max(0, ids.shape[1] - 1).bit_length())
     after = [np.zeros(n * contexts, np.uint32) for _ in range(2)]
-    odds = [np.full(n * LEVELS, sum(4 << 16 * k for k in range(4)), np.uint64) for _ in range(2)]
-    recent = np.zeros(n * SLOTS, np.uint16)
-    high = np.tile(np.arange(1, 17, dtype=np.uint16), (n, 1))
-    low = np.tile(np.arange(1, 17, dtype=np.uint16), (n * 16, 1))
+    odds = [np.full(n * LEVELS, sum(4 << 16 * k for k in range(3)), np.uint64) for _ in range(2)]
+    share = np.ones(WHOLE, np.uint64) if shares is None else shares.astype(np.uint64)
+    start = np.cumsum(share) - share
+    named = None if coder.encoding else np.repeat(np.arange(WHOLE), share.astype(np.int64))  # by place among the shares
     row = np.arange(n)
     active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), side="left")
     steps = np.ascontiguousarray(ids.T) if coder.encoding else np.zeros((ids.shape[1], n), np.uint32)
     p1, p2, was = np.zeros(n, np.int64), np.zeros(n, np.int64), -1
     for step, m in enumerate(active.tolist()):
         if m != was:
-            row, p1, p2, was = row[:m], p1[:m], p2[:m], m
-            bounds = np.zeros((5, m), np.uint64)  # where the four cases start and end
-            c_row, l_row, s_row = row * contexts, row * LEVELS, row * SLOTS
+            p1, p2, was = p1[:m], p2[:m], m
+            c_row, l_row = row[:m] * contexts, row[:m] * LEVELS
         at1 = c_row + (p1 * 0x9E5 >> 2 & contexts - 1)
         at2 = c_row + ((p1 * 0x2F35 + p2 * 0x6A9) >> 3 & contexts - 1)
         e1, e2 = after[0].take(at1), after[1].take(at2)
@@ -111,56 +89,41 @@ def _run(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
         o1, o2 = l_row + sure1, l_row + sure2
         w1, w2 = odds[0].take(o1), odds[1].take(o2)
         w = w1 + w2
-        _, a, b, c, d = bounds
-        np.multiply(w & _M16, said2 > 0, out=a)
-        np.add(a, (w >> _U(16) & _M16) * ((said1 > 0) & (said1 != said2)), out=b)
-        np.add(b, w >> _U(32) & _M16, out=c)
-        np.add(c, w >> _U(48), out=d)
-        base, part = coder.low[:m], coder.range[:m] // d
+        # where the first two cases end; an order that says nothing, or the same as order 2, has no case
+        a = (w & _M16) * (said2 > 0)
+        b = a + (w >> _U(16) & _M16) * ((said1 > 0) & (said1 != said2))
+        low, part = coder.low[:m], coder.range[:m] // (b + (w >> _U(32)))
         if coder.encoding:
-            x = steps[step, :m].astype(np.int64)
-            y = x + 1
-            held = recent.take(s_row + (x & SLOTS - 1))
-            case = np.where(said2 == y, 0, np.where(said1 == y, 1, np.where(held == y, 2, 3)))
+            x = steps[step, :m]
+            y = x + np.uint32(1)
+            right2 = said2 == y
+            right = right2 | (said1 == y)
         else:
-            q = (coder.code[:m] - base) // part
-            case = (q >= a).astype(np.int64) + (q >= b) + (q >= c)
-            y = np.where(case == 0, said2, said1).astype(np.int64)
-            x = y - 1
-        at = case * m + row
-        lo = bounds.take(at)
-        coder.range[:m] = part * (bounds.take(at + m) - lo)
-        coder.low[:m] = base + part * lo
-        # a range of 2^32 has room for a case and a nibble, or a case and 16 bits, before it is settled
-        old, new = np.flatnonzero(case == 2), np.flatnonzero(case == 3)
-        if len(new):
-            v = coder.plain(new, x[new] if coder.encoding else None)
-            if not coder.encoding:
-                y[new] = v + 1
-        if len(old):
-            slot = x[old] & SLOTS - 1 if coder.encoding else None
-            h = coder.nibble(old, high, old, None if slot is None else slot >> 4, False)
-        coder.settle(None, coder.low[:m], coder.range[:m])
-        if len(old):
-            k = coder.nibble(old, low, old * 16 + h, None if slot is None else slot & 15, True)
-            if slot is None:
-                y[old] = recent.take(old * SLOTS + (h << 4 | k))
+            q = coder.code[:m] - low
+            right2, right = q < part * a, q < part * b
+        # a range of 2^32 has room for a case and a share before it is settled
+        below = part * np.where(right2, _U(0), np.where(right, a, b))
+        span = part * np.where(right2, a, np.where(right, b - a, w >> _U(32)))
+        tail = span >> _U(16)
         if not coder.encoding:
-            x = y - 1
+            found = named.take(np.minimum((q - below) // tail, _M16).astype(np.int64), mode="clip")
+            x = np.where(right2, said2 - np.uint32(1), np.where(right, said1 - np.uint32(1), found.astype(np.uint32)))
+            y = x + np.uint32(1)
             steps[step, :m] = x
-        add = _CASE.take(case)
+        below += np.where(right, _U(0), tail * start.take(x))
+        coder.settle(low + below, np.where(right, span, tail * share.take(x)))
+        add = _CASE.take(2 - right.view(np.int8) - right2)
         odds[0][o1], odds[1][o2] = w1 + add, w2 + add
-        fresh = y.astype(np.uint32) << 4
+        fresh = y << np.uint32(4)
         for table, where, e, said, sure in ((after[0], at1, e1, said1, sure1), (after[1], at2, e2, said2, sure2)):
-            table[where] = np.where(said == y, e + (sure < LEVELS - 1), np.where(sure < 2, fresh, e - (sure + 1 >> 1)))
-        recent[s_row + (x & SLOTS - 1)] = y
-        p1, p2 = x, p1
+            table[where] = np.where(said == y, e + (sure < LEVELS - 1), np.where(sure < 2, fresh, e - (sure + np.uint32(1) >> np.uint32(1))))
+        p1, p2 = x.astype(np.int64), p1
     if not coder.encoding:
         ids[:] = steps.T
 
 
-def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
-    """The code of each block of `block` ids (the last may be shorter); ids below 2^16 - 1."""
+def encode_blocks(ids: np.ndarray, block: int, shares: np.ndarray | None = None) -> list[bytes]:
+    """The code of each block of `block` ids (the last may be shorter); ids below 2^16 - 1, each with a share (None: even ones)."""
     out: list[bytes] = []
     for at in range(0, len(ids), block * LANES):
         part = ids[at : at + block * LANES]
@@ -169,17 +132,18 @@ def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
         grid[: len(part)] = part
         lengths = np.minimum(block, len(part) - np.arange(n) * block)
         coder = _Coder(n, None, block * 3 // 2 + 8)
-        _run(grid.reshape(n, block), lengths, coder)
+        _run(grid.reshape(n, block), lengths, coder, shares)
         for half in range(2):
-            coder.words[np.arange(n), coder.at] = coder.low >> _U(32)
+            coder.flat[coder.at] = coder.low >> _U(32)
             coder.low = coder.low << _U(32)
             coder.at += 1
-        out += [coder.words[k, : coder.at[k]].astype("<u4").tobytes() for k in range(n)]
+        sizes = coder.at - np.arange(n) * coder.words.shape[1]
+        out += [w[:k].astype("<u4").tobytes() for w, k in zip(coder.words, sizes.tolist())]
     return out
 
 
-def decode_blocks(codes: list[bytes], total: int, block: int) -> np.ndarray:
-    """The `total` ids of the blocks' codes."""
+def decode_blocks(codes: list[bytes], total: int, block: int, shares: np.ndarray | None = None) -> np.ndarray:
+    """The `total` ids of the blocks' codes, which were coded with the same shares."""
     out = []
     for at in range(0, len(codes), LANES):
         part = codes[at : at + LANES]
@@ -189,6 +153,6 @@ def decode_blocks(codes: list[bytes], total: int, block: int) -> np.ndarray:
         for k, c in enumerate(part):
             words[k, : len(c) // 4] = np.frombuffer(c, "<u4")
         grid = np.zeros((n, block), np.uint32)
-        _run(grid, lengths, _Coder(n, words, 0))
+        _run(grid, lengths, _Coder(n, words, 0), shares)
         out.append(grid.reshape(-1)[: int(lengths.sum())])
     return np.concatenate(out) if out else np.zeros(0, np.uint32)

@@ -8,28 +8,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import P, stored
-from wattloom.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from wattloom.llm.range_coder import BLOCK, LANES, WHOLE, decode_blocks, encode_blocks, shares_of
 
-MAGIC = b"WLT2"  # files of WLT1 were coded otherwise, and are refused
+MAGIC = b"WLT3"  # files of WLT1 and WLT2 were coded otherwise, and are refused
 #: Ids stay below this.
 MOST = 65535
 #: Ids in a segment, from which on the next document starts another.
 SEGMENT = 512 * LANES
+#: Bytes of texts that are encoded together, so that each distinct run of letters is looked up once.
+TOGETHER = 8 << 20
 _HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, ids in a block, blocks, bytes of the index, its crc32
 _BLOCK = struct.Struct("<II")  # bytes, crc32
 
 
 def write_segment(keys: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    """Head, index (keys and id counts of the documents), then each block's length, checksum and code."""
+    """Head, index (keys and id counts of the documents, the ids' shares), then each block's length, checksum and code."""
     block = 256
     while block < BLOCK and len(ids) > block * LANES // 2:
         block *= 2
-    index = zlib.compress(np.array([k is None for k in keys], np.uint8).tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + np.array(counts, "<i8").tobytes(), 1)
-    codes = encode_blocks(ids, block)
+    shares = shares_of(ids)
+    index = zlib.compress(np.array([k is None for k in keys], np.uint8).tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + np.array(counts, "<i8").tobytes() + shares.astype("<u2").tobytes(), 1)
+    codes = encode_blocks(ids, block, shares)
     return b"".join([_HEAD.pack(MAGIC, len(keys), len(ids), block, len(codes), len(index), zlib.crc32(index)), index, *(x for c in codes for x in (_BLOCK.pack(len(c), zlib.crc32(c)), c))])
 
 
@@ -44,6 +48,7 @@ def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     none = np.frombuffer(plain, np.uint8, docs)
     keys = [None if x else k for x, k in zip(none.tolist(), np.frombuffer(plain, "<i8", docs, docs).tolist())]
     counts = np.frombuffer(plain, "<i8", docs, 9 * docs)
+    shares = np.frombuffer(plain, "<u2", WHOLE, 17 * docs)
     at += size
     codes = []
     for k in range(blocks):
@@ -53,7 +58,42 @@ def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += n
         if zlib.crc32(codes[-1]) != crc:
             raise ValueError(f"token file: bad checksum in block {k}")
-    return keys, counts, decode_blocks(codes, total, block)
+    return keys, counts, decode_blocks(codes, total, block, shares)
+
+
+def segments(batches: Iterator[pa.RecordBatch], encoder, end_id: int, most: int = SEGMENT, together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """(part, seq, segment) of a task's rows (part, key, text); a segment ends with the document that brings it to `most` ids."""
+    seq = part = held = 0
+    keys: list = []
+    counts: list[int] = []
+    ids: list[np.ndarray] = []
+
+    def segment() -> pa.RecordBatch:
+        raw = write_segment(keys, counts, np.concatenate(ids))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([raw], pa.binary())], names=["part", "seq", "segment"])
+
+    for b in batches:
+        sizes, at = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False)), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + together, side="right")))
+            part, own_keys, texts = b.column(0)[at].as_py(), b.column(1)[at:to].to_pylist(), b.column(2)[at:to].to_pylist()
+            wide, n = encoder.encode_all(texts, end_id)
+            if wide.max() >= MOST:
+                raise ValueError(f"token file: id {wide.max()}; the coder takes ids below {MOST}")
+            own, ends, done, before = wide.astype(np.uint16), np.cumsum(n), 0, 0
+            while done < len(n):
+                upto = min(len(n), int(np.searchsorted(ends, before + most - held)) + 1)
+                keys += own_keys[done:upto]
+                counts += n[done:upto].tolist()
+                ids.append(own[before : ends[upto - 1]])
+                held += int(ends[upto - 1]) - before
+                done, before = upto, int(ends[upto - 1])
+                if held >= most:
+                    yield segment()
+                    keys, counts, ids, held, seq = [], [], [], 0, seq + 1
+            at = to
+    if keys:
+        yield segment()
 
 
 def write(df: DataFrame, text: str = "text", key: str = "doc_id", *, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -67,31 +107,7 @@ def write(df: DataFrame, text: str = "text", key: str = "doc_id", *, tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from wattloom.llm.tokens import encoder
 
-        e, end, seq, part = encoder(tokenizer), end_id.to_bytes(4, "little"), 0, 0
-        keys: list = []
-        counts: list[int] = []
-        ids: list[np.ndarray] = []
-        held = 0
-
-        def segment() -> pa.RecordBatch:
-            raw = write_segment(keys, counts, np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([raw], pa.binary())], names=["part", "seq", "segment"])
-
-        for b in batches:
-            for part, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                wide = np.frombuffer(e.encode(t.as_py()) + end, "<u4")
-                if wide.max() >= MOST:
-                    raise ValueError(f"token file: id {wide.max()}; the coder takes ids below {MOST}")
-                own = wide.astype(np.uint16)
-                keys.append(k)
-                counts.append(len(own))
-                ids.append(own)
-                held += len(own)
-                if held >= SEGMENT:
-                    yield segment()
-                    keys, counts, ids, held, seq = [], [], [], 0, seq + 1
-        if keys:
-            yield segment()
+        return segments(batches, encoder(tokenizer), end_id)
 
     src = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(f"{P}t"))
     order = [F.col("key").asc_nulls_first(), f"{P}h1", f"{P}h2", f"{P}id"]  # a key or a text of any share of the rows is so cut over tasks

@@ -4,7 +4,8 @@ The library's own call normalises and splits every text anew, which costs ten ti
 does.  In a text of ASCII and plain Latin letters alone, the runs of letters, digits or signs that it splits a
 text into are found by one expression over bytes; a run is looked up, and only a new one goes to the model.
 Any other text is cut at white space into pieces whose ids don't depend on what lies around them, and a piece
-that holds anything unusual goes through the library's full encode().
+that holds anything unusual goes through the library's full encode().  Many texts together (encode_all) have the
+same runs found by comparing bytes as vectors, and each distinct run is looked up once.
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 #: Bytes that the memo of runs, and each memo of pieces, may take for its present and for its past entries; and
-#: what an entry takes besides its two strings.
-RUNS, PIECES, ENTRY = 64 << 20, 4 << 20, 160
+#: what an entry takes besides its two strings.  Texts together have a memo of runs of their own.
+RUNS, PIECES, ENTRY, RUNS_TOGETHER = 64 << 20, 4 << 20, 160, 128 << 20
+#: A longer text isn't encoded together with others (Arrow counts the bytes of ids in 32 bits).
+LONG = 256 << 20
 
 #: The bytes of ASCII text and of Latin letters below U+0250, and what of these keeps a text from the plain way.
 _USUAL = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
@@ -42,6 +48,35 @@ def _byte_chars() -> str:
 
 _LETTER = dict(enumerate(_byte_chars()))
 
+#: What a byte is in the byte-level file's split: an end of text, a letter, a digit, a sign or white space.
+_END, _ALPHA, _DIGIT, _SIGN, _SPACE = range(5)
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[*b"\t\n\x0b\x0c\r "]] = _SPACE
+_KIND[[*b"0123456789"]] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _ALPHA
+_KIND[0] = _END
+
+
+def _run_starts(raw: bytes) -> np.ndarray:
+    """Where the runs of _PLAIN_BYTE_LEVEL start in texts that each end with a zero byte, which is a run of its own."""
+    b = np.frombuffer(raw, np.uint8)
+    kind = _KIND.take(b)
+    start = np.ones(len(b), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _END
+    # the last white space before anything else stands alone, or goes with what follows if it is a space
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _END))
+    start[last] = True
+    start[last[b[last] == 32] + 1] = False
+    for at in np.flatnonzero(b == 39).tolist():
+        if at and (kind[at - 1] == _SIGN or b[at - 1] == 32):
+            continue  # within a run of signs, or behind a space that goes with it
+        n = 2 if raw[at + 1] in b"stmd" else 3 if raw[at + 1 : at + 3] in (b"re", b"ve", b"ll") else 0
+        if n:
+            start[at + 1 : at + n] = False
+            start[at] = start[at + n] = True
+    return np.flatnonzero(start)
+
 
 class _Memo(dict):
     """make(piece) by piece.  Full, its entries become the past ones; what is asked for again comes back from there."""
@@ -87,6 +122,7 @@ class Encoder:
         self.runs = _RUNS_SINGLE_DIGITS if self.lower else _RUNS
         self.plain = (_PLAIN_WORD_ENDS if self.lower else _PLAIN_BYTE_LEVEL).findall
         self.run_ids = _Memo(self._run, RUNS // 2)
+        self.run_ids_together = _Memo(self._run, RUNS_TOGETHER // 2)
         self.pieces = _Memo(lambda piece: self._piece(piece, b""), PIECES // 2)
         self.spaced = _Memo(lambda piece: self._piece(piece, b" "), PIECES // 2)
         self.newline = self._full(b"\n") if not self.lower else b""
@@ -143,6 +179,29 @@ class Encoder:
             out.extend(map(self.spaced.__getitem__, rest))
         return b"".join(out)
 
+    def encode_all(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, with `end` after each; how many each has, with the end).  Texts of some MB together, or one."""
+        last = end.to_bytes(4, "little")
+        odd = {k: self.encode(t) for k, t in enumerate(texts) if self.lower or len(t) > LONG or _odd(t)}
+        raw = b"\0".join([b"" if k in odd else t for k, t in enumerate(texts)] if odd else texts) + b"\0"
+        starts = np.append(_run_starts(raw), len(raw)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+        _, to, data = runs.dictionary.buffers()
+        to, data = np.frombuffer(to, np.int32, len(runs.dictionary) + 1).tolist(), data.to_pybytes()
+        known = self.run_ids_together
+        own = pa.array([known[run] if run != b"\0" else last for run in map(data.__getitem__, map(slice, to, to[1:]))], pa.binary()).take(runs.indices)
+        ids = np.frombuffer(own.buffers()[2], "<u4", own.buffers()[2].size // 4)
+        to = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1) // 4
+        ends = to[1:][np.frombuffer(raw, np.uint8)[starts[:-1]] == 0]
+        ids, counts = ids[: ends[-1]], np.diff(ends, prepend=0).astype(np.int64)
+        if odd:
+            at = ends - 1  # the odd texts' ids go before their end
+            more = [np.frombuffer(x, "<u4") for x in odd.values()]
+            sizes = np.array(list(map(len, more)))
+            ids = np.insert(ids, np.repeat(at[list(odd)], sizes), np.concatenate(more))
+            counts[list(odd)] += sizes
+        return ids, counts
+
     def _blocks(self, text: bytes):
         """Cuts before a space between two ASCII signs or letters: there no run of white space is split."""
         at = 0
