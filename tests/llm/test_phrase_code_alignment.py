@@ -13,7 +13,7 @@ import public_tokenizers as PT
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wattloom.llm import substring_dedup
+from wattloom.llm import substring_dedup, token_alignment
 from wattloom.llm.oracle import SQL
 from wattloom.llm.perfect_hash import PerfectHash, build
 from wattloom.llm.queries import QUERIES
@@ -235,6 +235,30 @@ def test_alignment_query(spark, sf):
     assert QUERIES["op13_token_alignment"](spark, sf).select(*COLUMNS).distinct().count() == len(rows)
 
 
+def test_alignment_reads_and_encodes_texts_once(spark, sf, monkeypatch):
+    """The second pass takes a part's runs and links as the first stored them."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    assert not [f for f in align_documents(df, paths=PATHS).inputFiles() if "documents.parquet" in f]
+
+    rows = [(1, None), (2, "▁"), (3, "plain words, and 12 more words"), (4, " a  b\n\nc "), (5, "words\nand don't"), (6, "")]
+    table = pa.table({"part": pa.array([9] * 6, pa.int32()), "key": [k for k, _ in rows], "text": pa.array([t and t.encode() for _, t in rows], pa.binary())})
+    for some in (table, table.slice(0, 2)):  # the second has no pair at all
+        found = token_alignment._first(PATHS, 4)(some)
+        held, asked = found.slice(found.num_rows - 1), found.slice(0, found.num_rows - 1)
+        own = alignment(rows[: some.num_rows])
+        high = defaultdict(int)
+        for (_, b), n in own[1].items():
+            high[b] = max(high[b], n)
+        flags = [bytes(int(n == high[int(k) & (2**32 - 1)]) for k, n in zip(np.frombuffer(x, "<u8"), np.frombuffer(y, "<i8"))) for x, y in zip(asked["keys"].to_pylist(), asked["counts"].to_pylist())]
+        answers = pa.table({"part": asked["part"], "keys": asked["keys"], "totals": asked["counts"], "best": pa.array(flags, pa.binary())})
+        with monkeypatch.context() as m:
+            m.setattr(token_alignment, "aligner", None)
+            got = token_alignment._measured(held, answers)
+        assert Counter(tuple(r.values()) for r in got.to_pylist()) == own[0]
+    with pytest.raises(ValueError):
+        token_alignment._measured(found.slice(found.num_rows - 1), pa.table({"keys": [b"\0" * 8], "totals": [b"\0" * 8], "best": [b"\0"]}))
+
+
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Word", "don't", "'s", "é", "é", "12", "<|endoftext|>", "<s>", "<0x41>", " ", "　", " ", "\x1c", "\x85", "​", "🙂", "中文", "!?", "a.b", "x\ny", "1", "\x00", "ﬁ", "_"]), max_size=24).map("".join))
 @settings(max_examples=80, deadline=None)
 def test_pieces_add_up_to_the_whole_text(text):

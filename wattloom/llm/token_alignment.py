@@ -1,8 +1,9 @@
 """Two tokenizers' tokens over the same texts, aligned by byte ranges (operator 13).
 
-The first pass aligns the documents and counts id pairs within each part.  Shards of the pairs, by the second
-tokenizer's id, then hash their distinct pairs minimally and perfectly; counts become dense vectors that the hash
-indexes, which are summed in a tree.  The second pass aligns again and looks its parts' pairs up, each key verified.
+The first pass aligns the documents, counts id pairs within each part and stores what the parts' runs of text link.
+Shards of the pairs, by the second tokenizer's id, then hash their distinct pairs minimally and perfectly; counts
+become dense vectors that the hash indexes, which are summed in a tree.  The second pass reads the stored links and
+looks its parts' pairs up, each key verified; no text is encoded twice for it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 #: (Aligner checks that no piece of the second mixes them).
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
 _simple = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*").fullmatch
-_runs = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n").findall
+_runs = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n").findall
 #: Where white space isn't single or is at an end; elsewhere every space is a border.
 _care = re.compile(r"\s\s|\A\s|\s\Z").search
 
@@ -64,14 +65,21 @@ class Aligner:
         #: What a token says in a list of groups: its id and what follows it, another, the other side, or another group.
         self.said = [f"{k}{sign}" for k in range(max(len(self.bytes_a), len(self.bytes_b))) for sign in ",|;"]
 
-    def runs(self, piece: str) -> list[str]:
-        """The runs, the first with its space, whose tokens one after another are those of a space and the piece."""
-        if piece.isalpha() and piece.isascii():
-            return [" " + piece]
-        if self.by_class and _simple(piece):
-            first, *rest = _runs(piece)
-            return [" " + first, *rest]
-        return [" " + piece]
+    def cut(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct runs, numbers of the pieces' runs one after another, runs of each piece).  The tokens of a piece's
+        runs, the first with its space, one after another are those of a space and the piece."""
+        known = Numbers()
+        simple = np.array([self.by_class and m is not None for m in map(_simple, pieces)], bool)
+        found = _runs("".join([" " + p for p, plain in zip(pieces, simple.tolist()) if plain]))
+        number = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        first = np.flatnonzero(np.array([t[0] == " " for t in known], bool)[number]) if len(number) else number
+        whole = np.array([known[" " + p] for p, plain in zip(pieces, simple.tolist()) if not plain], np.int64)
+        sizes = np.ones(len(pieces), np.int64)
+        sizes[simple] = np.diff(first, append=len(number))
+        of = np.repeat(simple, sizes)
+        flat = np.empty(len(of), np.int64)
+        flat[of], flat[~of] = number, whole
+        return list(known), flat, sizes
 
     def tokens(self, runs: list[str], raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, tokens of each run) of either tokenizer."""
@@ -143,56 +151,111 @@ class Numbers(dict):
         return k
 
 
+def _pieces(texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct pieces that no token crosses the border of, and each text's pieces by number.  None of a text that
+    holds the sign which reads as a space in the second's tokens."""
+    docs = [np.zeros(0, np.int64)] * len(texts)
+    full = [k for k, t in enumerate(texts) if t]
+    if not full:
+        return [], docs
+    raw = b" " + b" ".join([texts[k] for k in full])  # a piece goes with the space before it
+    starts = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), len(raw)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+    pieces, numbers = [x[1:].decode("utf-8", "replace") for x in found.dictionary.to_pylist()], found.indices.to_numpy().astype(np.int64)
+    # white space that isn't single, or is at an end of the text, shows in the pieces next to it
+    odd = np.array([0 if x.isalnum() else 2 if "▁" in x else 1 if not x or _care(x) else 0 for x in pieces], np.uint8)
+    cuts = np.searchsorted(starts, np.cumsum([0, *[len(texts[k]) + 1 for k in full]]))
+    more, own = Numbers(), len(pieces)
+    for k, x, how in zip(full, np.split(numbers, cuts[1:-1]), np.maximum.reduceat(odd[numbers], cuts[:-1]).tolist()):
+        if how == 1:
+            docs[k] = np.array([own + more[t] for t in _border(texts[k].decode("utf-8", "replace"))], np.int64)
+        elif not how:
+            docs[k] = x
+    pieces += more
+    used = np.zeros(len(pieces), bool)
+    used[np.concatenate(docs)] = True
+    new = np.cumsum(used) - 1
+    return [pieces[k] for k in np.flatnonzero(used).tolist()], [new[x] for x in docs]
+
+
+def _spans(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of the values up to each end from the one before."""
+    return np.diff(np.append(0, np.cumsum(values))[ends], prepend=0)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(np.uint32)))
+
+
 class Part:
     """One part's documents: their distinct runs, aligned, and each document's runs by number."""
 
     def __init__(self, table: pa.Table, paths: tuple[str, str]):
         own = aligner(*paths)
-        number = Numbers()
-        self.keys = table.column("key").to_pylist()
-        docs = []
-        for t in table.column("text"):
-            text = (t.as_py() or b"").decode("utf-8", "replace")
-            cut = [] if not text or "▁" in text else _border(text) if _care(text) else text.split(" ")  # that sign reads as a space in the second's tokens
-            docs.append(np.fromiter(map(number.__getitem__, cut), np.int64, len(cut)))
-        known = Numbers()
-        runs = [[known[x] for x in own.runs(piece)] for piece in number]
-        self.runs = Aligned(own, list(known))
-        sizes = np.array(list(map(len, runs)), np.int64)
-        flat, starts = np.fromiter(chain.from_iterable(runs), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+        self.keys = table.column("key")
+        pieces, docs = _pieces([t or b"" for t in table.column("text").to_pylist()])
+        runs, flat, sizes = own.cut(pieces)
+        self.runs = Aligned(own, runs)
+        starts = np.cumsum(sizes) - sizes
         self.docs = []
         for x in docs:
             n = sizes[x]
             each = flat[np.repeat(starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             self.docs.append(each if not self.runs.bad[each].any() else each[:0])
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct pairs, links of each) of the part."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pairs in order, links of each; the runs' links as places among these, links of each run).  Runs that
+        only occur in documents without tokens have none."""
         used = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.docs]), minlength=len(self.runs.bad))
-        keys, where = np.unique(self.runs.links, return_inverse=True)
-        n = np.bincount(where, np.repeat(used, np.diff(self.runs.ends)), len(keys)).astype(np.int64)
-        return keys[n > 0], n[n > 0]
+        sizes = np.diff(self.runs.ends)
+        times = np.repeat(used, sizes)
+        keys, where = np.unique(self.runs.links[times > 0], return_inverse=True)
+        return keys, np.bincount(where, times[times > 0], len(keys)).astype(np.int64), where, np.where(used > 0, sizes, 0)
+
+    def rows(self) -> dict[str, pa.Array]:
+        """What the documents' own alignment says of each."""
+        flat, ends = np.concatenate([np.zeros(0, np.int64), *self.docs]), np.cumsum(list(map(len, self.docs)), dtype=np.int64)
+        names = ["n_a", "n_b", "n_groups", "n_links"]
+        said = [hashlib.sha256("".join([self.runs.said[k] for k in x.tolist()])[:-1].encode()).hexdigest() if len(x) else "" for x in self.docs]
+        return {**{n: pa.array(_spans(self.runs.counts[flat, k], ends)) for k, n in enumerate(names)}, "groups_sha256": pa.array(said, pa.string()), "runs": _lists(flat, ends)}
+
+
+_FIRST = "part int, shard int, leaf int, keys binary, counts binary, docs binary, links binary"
 
 
-_PARTIAL = "part int, shard int, leaf int, keys binary, counts binary"
+def _held(columns: dict) -> bytes:
+    """The columns as a compressed Arrow stream."""
+    table, sink = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(column) -> pa.Table:
+    return pa.ipc.open_stream(column[0].as_py()).read_all()
 
 
 def _blobs(x: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     return [x[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
 
 
-def _partial(paths: tuple[str, str], shards: int):
+def _first(paths: tuple[str, str], shards: int):
+    """A row a shard with the part's distinct pairs and their counts, and one with its documents and its runs' links."""
+
     def run(table: pa.Table) -> pa.Table:
-        keys, n = Part(table, paths).counts()
+        part = Part(table, paths)
+        keys, n, links, sizes = part.pairs()
+        docs, links = _held({"key": part.keys, **part.rows()}), _held({"links": _lists(links, np.cumsum(sizes))})
         shard = (keys & np.uint64(2**32 - 1)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         keys, n, shard = keys[order], n[order], shard[order]
         cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else [], len(shard)).astype(np.int64)
         rows = len(cuts) - 1
-        part = table.column("part")[0].as_py()
+        of = table.column("part")[0].as_py()
         return pa.table({
-            "part": pa.array([part] * rows, pa.int32()), "shard": pa.array(shard[cuts[:-1]], pa.int32()), "leaf": pa.array([part % LEAVES] * rows, pa.int32()),
-            "keys": pa.array(_blobs(keys, cuts), pa.binary()), "counts": pa.array(_blobs(n, cuts), pa.binary()),
+            "part": pa.array([of] * (rows + 1), pa.int32()), "shard": pa.array([*shard[cuts[:-1]].tolist(), None], pa.int32()), "leaf": pa.array([of % LEAVES] * rows + [None], pa.int32()),
+            "keys": pa.array([*_blobs(keys, cuts), None], pa.binary()), "counts": pa.array([*_blobs(n, cuts), None], pa.binary()),
+            "docs": pa.array([None] * rows + [docs], pa.binary()), "links": pa.array([None] * rows + [links], pa.binary()),
         })
 
     return run
@@ -257,33 +320,32 @@ def _answers(asked: pa.Table, counted: pa.Table) -> pa.Table:
     return pa.table([asked.column("part"), asked.column("keys"), pa.array(totals, pa.binary()), pa.array(flags, pa.binary())], names=names)
 
 
-def _measured(paths: tuple[str, str]):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(table, paths)
-        keys, totals, best = _joined(answers.column("keys"), "<u8"), _joined(answers.column("totals"), "<i8"), _joined(answers.column("best"), np.uint8)
-        runs, order = part.runs, np.argsort(keys)
-        at = order[np.searchsorted(keys, runs.links, sorter=order).clip(max=max(0, len(keys) - 1))] if len(keys) else None
-        before = lambda x: np.append(0, np.cumsum(x[at] if at is not None else np.zeros(len(runs.links), np.int64)))
-        # runs that only occur in documents without tokens may hold pairs that nothing counts; no document reads these
-        each = np.column_stack([runs.counts, *[np.diff(before(x)[runs.ends]) for x in (best.astype(np.int64), totals)]])
-        rows = np.array([each[x].sum(0) for x in part.docs], np.int64).reshape(-1, 6)
-        said = [hashlib.sha256("".join([runs.said[k] for k in x.tolist()])[:-1].encode()).hexdigest() if len(x) else "" for x in part.docs]
-        names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-        return pa.table({"key": pa.array(part.keys, pa.int64()), **{n: pa.array(rows[:, k]) for k, n in enumerate(names)}, "groups_sha256": pa.array(said, pa.string())})
-
-    return run
+def _measured(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """A part's documents with the sums of what the shards answered for their links."""
+    docs, links = _read(table.column("docs")), _read(table.column("links")).column("links").combine_chunks()
+    keys, totals, best = _joined(answers.column("keys"), "<u8"), _joined(answers.column("totals"), "<i8"), _joined(answers.column("best"), np.uint8)
+    at, order = links.values.to_numpy().astype(np.int64), np.argsort(keys)
+    if len(keys) != at.max(initial=-1) + 1:
+        raise ValueError("a part's pairs aren't those that its links are of")
+    runs = docs.column("runs").combine_chunks()
+    flat, ends, to = runs.values.to_numpy(), runs.offsets.to_numpy()[1:], links.offsets.to_numpy()[1:]
+    sums = {n: pa.array(_spans(_spans(x[order][at], to)[flat], ends)) for n, x in (("n_best", best.astype(np.int64)), ("count_sum", totals))}
+    own = docs.select(["key", "n_a", "n_b", "n_groups", "n_links"])
+    return pa.table({**dict(zip(own.column_names, own.columns)), **sums, "groups_sha256": docs.column("groups_sha256")})
 
 
 def _stages(df: DataFrame, text: str, key: str, paths: tuple[str, str]):
     ship(df.sparkSession)
     docs, parts = dealt(df, text, key, PART)
     shards = max(16, parts // PARTS_A_SHARD)
-    partial = stored(docs.groupBy("part").applyInArrow(_partial(paths, shards), _PARTIAL), "alignment-pairs")
+    first = stored(docs.groupBy("part").applyInArrow(_first(paths, shards), _FIRST), "alignment-pairs")
+    partial = first.where(F.col("shard").isNotNull()).select("part", "shard", "leaf", "keys", "counts")
+    held = first.where(F.col("docs").isNotNull()).select("part", "docs", "links").repartition(parts, "part")
     leaves = stored(partial.groupBy("shard", "leaf").applyInArrow(_leaf, "shard int, leaf int, keys binary, counts binary"), "alignment-leaves")
     hashed = stored(leaves.groupBy("shard").applyInArrow(_hashed, "shard int, hash binary, known binary"), "alignment-hash")
     vectors = leaves.groupBy("shard").cogroup(hashed.groupBy("shard")).applyInArrow(_dense, "shard int, vector binary")
     total = vectors.groupBy("shard").applyInArrow(_summed, "shard int, total binary")
-    return docs, partial, stored(hashed.join(total, "shard"), "alignment-counts")
+    return held, partial, stored(hashed.join(total, "shard"), "alignment-counts")
 
 
 def pair_counts(df: DataFrame, text: str = "text", key: str = "doc_id", *, paths: tuple[str, str]) -> DataFrame:
@@ -307,9 +369,10 @@ def align_documents(df: DataFrame, text: str = "text", key: str = "doc_id", *, p
     of their own, each of which counts; an empty table gives no row.  Keys are integers.  A very long text is cut at
     single spaces as any other, and a run without one is aligned in one piece.
 
-    Both passes shuffle the documents by part; between them the parts' pairs are stored.  A part hands on a row a shard with its distinct pairs; a shard
+    The first pass shuffles the documents by part and stores, for each part, a row a shard with its distinct pairs, and one with its documents' runs
+    by number and the runs' links as places among the part's pairs; the second shuffles that last row alone.  A shard
     holds the pairs of two parts at most on average, whatever the input; no id has more pairs than the other vocabulary has ids."""
-    docs, partial, counted = _stages(df, text, key, paths)
+    held, partial, counted = _stages(df, text, key, paths)
     answers = partial.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(_answers, "part int, keys binary, totals binary, best binary")
     kinds = "key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    return docs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_measured(paths), kinds).withColumnRenamed("key", key)
+    return held.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_measured, kinds).withColumnRenamed("key", key)
